@@ -1,0 +1,4 @@
+"""All registered queries."""
+
+from busward.catalog import frames  # noqa: F401
+from busward.catalog.registry import QUERIES  # noqa: F401

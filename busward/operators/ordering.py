@@ -8,17 +8,23 @@ Keys must not be null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_ROWS = 65_536
 PARTS = 128
-SAMPLE = 4_096
+SMALL_ROWS = 200_000
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether the table has at most `rows` rows, counted no further than needed."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def attach(df: DataFrame, one_per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Columns of a table with one row per key; without keys, of a single-row table."""
     if keys:
@@ -55,30 +61,23 @@ def number_by_hash(df: DataFrame, keys: Sequence[str], digest: Column, tie: Sequ
     return number_rows(named, keys, ["_digest", *tie], F.shiftright("_digest", 22), into).drop("_digest")
 
 
-def value_buckets(distinct: DataFrame, keys: Sequence[str], value: str, parts: int = PARTS,
-                  sample: int = SAMPLE, into: str = "_bucket") -> DataFrame:
-    """Order-preserving buckets of distinct values per key, cut at a hash-chosen sample of them.
+def value_buckets(df: DataFrame, value: str, parts: int = PARTS, into: str = "_bucket",
+                  small: int = SMALL_ROWS) -> DataFrame:
+    """Order-preserving buckets of a numeric column, cut at approximate quantiles.
 
-    The sample depends on the values alone, so a recomputed partition gets the same buckets.
+    The cuts are fitted once, at most `parts` numbers, and then are literals of the plan, so a
+    recomputed partition gets the same buckets. Rough cuts cost balance only, never exactness.
+    A table counted as small keeps a single bucket.
     """
-    keys = list(keys)
-    count = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
-    step = F.greatest(F.lit(1), F.expr(f"_distinct div {sample}"))
-    picked = attach(distinct.select(*keys, value), count, keys).where(
-        F.pmod(F.xxhash64(value), step) == 0)
-    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_all")).select(
-        *keys,
-        F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.lit(parts - 1)),
-            lambda i: F.get(F.col("_all"), F.floor(i * F.size("_all") / parts).cast("int")),
-        )).alias("_cuts"),
-    )
-    if keys:
-        joined = distinct.join(cuts, keys, "left")
-    else:
-        joined = attach(distinct, cuts, keys)
-    cut_list = F.coalesce(F.col("_cuts"), F.array().cast("array<double>"))
-    return joined.withColumn(into, F.size(F.filter(cut_list, lambda c: c < F.col(value)))).drop("_cuts")
+    cuts = []
+    if not is_small(df, small):
+        share = F.expr(f"array({','.join(str(i / parts) for i in range(1, parts))})")
+        found = df.agg(F.percentile_approx(F.col(value).cast("double"), share, F.lit(100 * parts))).first()[0]
+        cuts = sorted({c for c in found or [] if math.isfinite(c)})
+    if not cuts:
+        return df.withColumn(into, F.lit(0))
+    literal = F.expr(f"array({','.join(repr(c) + 'D' for c in cuts)})")
+    return df.withColumn(into, F.size(F.filter(literal, lambda c: c < F.col(value))))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, bucket: str, sums: Mapping[str, str],
@@ -109,7 +108,7 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     distinct = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
                 .agg(F.count(F.lit(1)).alias("_weight")))
-    cut = value_buckets(distinct, keys, value)
+    cut = value_buckets(distinct, value)
     whole = Window.partitionBy(*keys)
     totals = (
         cut.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_size"))
@@ -133,9 +132,15 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per key, for groups of any size."""
+                    probabilities: Mapping[str, float], small: int = SMALL_ROWS) -> DataFrame:
+    """Exact linear-interpolated quantiles, one row per key, for groups of any size.
+
+    A table counted as small goes through the built-in aggregate, a larger one through the rank search.
+    """
     keys = list(keys)
+    if is_small(df, small):
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[
+            F.percentile(value, F.lit(float(p))).alias(n) for n, p in probabilities.items()])
 
     def position(n: Column, p: float) -> Column:
         return (n - 1) * F.lit(float(p))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +23,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **extra: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]")
         .appName("busward")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
     )
@@ -29,10 +34,32 @@ def local_session(cores: int | str = 8, memory: str = "8g", **extra: str) -> Spa
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The cluster's shared checkpoint folder; the fallback only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = shared or fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="busward-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def staged(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write a reduced table (windows, scores, decisions) that several steps read, and read it back.
+
+    This cuts the lineage, keeps column pruning and survives lost executors. Within one application
+    the same table of the same source is written once.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark).rstrip('/')}/busward-{uuid.uuid4().hex}/{name}"
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def forget_staged() -> None:
+    """Let the next use write its tables anew, for changed sources or for timing."""
+    _WRITTEN.clear()
