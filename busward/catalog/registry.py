@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from busward.plans.adapters import Tables
 
 _CTES: dict[str, str] = {}
+# Moves exact decimal ties (0.4157005) off the rounding edge, alike in both engines.
+NUDGE = 1e-10
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class Query:
             if kind == "i":
                 value = value.cast("bigint")
             elif kind == "d":
-                value = F.round(value.cast("double"), 6) + F.lit(0.0)
+                value = F.round(value.cast("double") + NUDGE, 6) + F.lit(0.0)
             shaped.append(value.alias(name))
         return df.select(*shaped)
 
@@ -44,7 +46,7 @@ class Query:
             if kind == "i":
                 shaped.append(f"CAST({name} AS BIGINT) AS {name}")
             elif kind == "d":
-                shaped.append(f"round(CAST({name} AS DOUBLE), 6) + 0e0 AS {name}")
+                shaped.append(f"round(CAST({name} AS DOUBLE) + {NUDGE!r}, 6) + 0e0 AS {name}")
             else:
                 shaped.append(name)
         return with_ctes(f"SELECT {', '.join(shaped)} FROM (\n{self.body}\n) AS result")
@@ -67,7 +69,7 @@ def with_ctes(body: str) -> str:
             needed.add(name)
             todo.append(_CTES[name])
     parts = [f"{n} AS (\n{b}\n)" for n, b in _CTES.items() if n in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def query(name: str, columns: str, sql: str | None = None):

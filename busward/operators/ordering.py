@@ -90,12 +90,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, bucket: str,
     carry = df.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     carry = carry.select(*keys, bucket, *[
         F.coalesce(F.sum(f"_t_{n}").over(across), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    out = df
-    for name, column in sums.items():
-        out = out.withColumn(f"_l_{name}", F.sum(column).over(local))
-    out = out.join(carry, [*keys, bucket])
-    for name in sums:
-        out = out.withColumn(name, F.col(f"_l_{name}") + F.col(f"_b_{name}"))
+    out = df.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in sums.items()}).join(carry, [*keys, bucket])
+    out = out.withColumns({n: F.col(f"_l_{n}") + F.col(f"_b_{n}") for n in sums})
     return out.drop(*[f"_l_{n}" for n in sums], *[f"_b_{n}" for n in sums])
 
 
@@ -163,9 +159,7 @@ def last_known(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[
                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Latest non-null value up to and including each row, chunk by chunk with a carry."""
     keys = list(keys)
-    out = df.withColumn("_chunk", F.floor(F.col(order) / chunk_rows))
-    for name, column in columns.items():
-        out = out.withColumn(f"_v_{name}", column)
+    out = df.withColumns({"_chunk": F.floor(F.col(order) / chunk_rows), **{f"_v_{n}": c for n, c in columns.items()}})
     local = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(*_UPTO)
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
     ends = out.groupBy(*keys, "_chunk").agg(*[
@@ -173,11 +167,9 @@ def last_known(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[
         .alias(f"_e_{n}") for n in columns])
     carry = ends.select(*keys, "_chunk", *[
         F.last(f"_e_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in columns])
-    for name in columns:
-        out = out.withColumn(f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(local))
+    out = out.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(local) for n in columns})
     out = out.join(carry, [*keys, "_chunk"])
-    for name in columns:
-        out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}")))
+    out = out.withColumns({n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in columns})
     return out.drop("_chunk", *[f"{p}{n}" for n in columns for p in ("_v_", "_l_", "_c_")])
 
 
@@ -186,9 +178,8 @@ def streaks(df: DataFrame, keys: Sequence[str], order: str, conditions: Mapping[
     """Length of the run of rows ending here in which each condition holds. `order` counts from 0."""
     breaks = {f"_s_{n}": F.when(~F.coalesce(c, F.lit(False)), F.col(order)) for n, c in conditions.items()}
     out = last_known(df, keys, order, breaks, chunk_rows)
-    for name in conditions:
-        out = out.withColumn(name, F.col(order) - F.coalesce(F.col(f"_s_{name}"), F.lit(-1)))
-    return out.drop(*breaks)
+    return out.withColumns({
+        n: F.col(order) - F.coalesce(F.col(f"_s_{n}"), F.lit(-1)) for n in conditions}).drop(*breaks)
 
 
 def with_halo(df: DataFrame, order: str, lookback: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -211,6 +202,5 @@ def previous(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[st
     lookback = max(k for _, k, _ in columns.values())
     out = with_halo(df, order, lookback, chunk_rows)
     local = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    for name, (column, k, default) in columns.items():
-        out = out.withColumn(name, F.lag(column, k, default).over(local))
+    out = out.withColumns({n: F.lag(c, k, default).over(local) for n, (c, k, default) in columns.items()})
     return out.where(~F.col("_halo")).drop("_chunk", "_halo")

@@ -44,9 +44,7 @@ def hysteresis(df: DataFrame, keys: Sequence[str], order: str, bad: Mapping[str,
     events = {name: F.when(F.col(f"_bad_{name}") >= a, 1).when(F.col(f"_good_{name}") >= r, 0)
               for name, (_, a, r) in bad.items()}
     out = last_known(out, keys, order, events, chunk_rows)
-    for name in bad:
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return out.drop(*runs)
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in bad}).drop(*runs)
 
 
 def memory_rules(df: DataFrame, keys: Sequence[str], order: str, alarm: str,
@@ -55,9 +53,9 @@ def memory_rules(df: DataFrame, keys: Sequence[str], order: str, alarm: str,
     """k-of-n alarm memories: on at k hits in the last n rows, held until h rows without a hit."""
     longest = max(n for _, n, _ in rules.values())
     out = with_halo(df, order, longest, chunk_rows)
-    for name, (k, n, _) in rules.items():
-        span = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-(n - 1), 0)
-        out = out.withColumn(f"_t_{name}", (F.sum(alarm).over(span) >= k).cast("int"))
+    by_order = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    out = out.withColumns({f"_t_{name}": (F.sum(alarm).over(by_order.rowsBetween(-(n - 1), 0)) >= k).cast("int")
+                           for name, (k, n, _) in rules.items()})
     out = out.where(~F.col("_halo")).drop("_chunk", "_halo")
     held = {name: h for name, (_, _, h) in rules.items() if h}
     if held:
@@ -66,9 +64,8 @@ def memory_rules(df: DataFrame, keys: Sequence[str], order: str, alarm: str,
         out = last_known(out, keys, order, {
             f"{prefix}{n}": F.when(F.col(f"_t_{n}") == 1, 1).when(F.col(f"_q_{n}") >= h, 0)
             for n, h in held.items()}, chunk_rows)
-    for name in rules:
-        state = F.coalesce(F.col(f"{prefix}{name}"), F.lit(0)) if name in held else F.col(f"_t_{name}")
-        out = out.withColumn(f"{prefix}{name}", state)
+    out = out.withColumns({
+        f"{prefix}{n}": F.coalesce(F.col(f"{prefix}{n}"), F.lit(0)) if n in held else F.col(f"_t_{n}") for n in rules})
     return out.drop(*[f"_t_{n}" for n in rules], *[f"_q_{n}" for n in held])
 
 

@@ -51,9 +51,7 @@ def window_features(frames: DataFrame, size: int, payload: bool = False,
     group = [*keys, "window_index"]
     order = Window.partitionBy(*group).orderBy("seq")
     last = {c: F.lag(c).over(order) for c in ("can_id", *BYTES)}
-    frames = with_window(frames, size)
-    for name, value in last.items():
-        frames = frames.withColumn(f"_p_{name}", value)
+    frames = with_window(frames, size).withColumns({f"_p_{n}": v for n, v in last.items()})
     same_id = F.col("can_id") == F.col("_p_can_id")
     same_all = same_id
     for b in BYTES:
