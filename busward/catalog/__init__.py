@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from busward.catalog import frames, context  # noqa: F401
+from busward.catalog import frames, context, leakage, statistics  # noqa: F401
 from busward.catalog.registry import QUERIES  # noqa: F401

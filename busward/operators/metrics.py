@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from busward.functions.columns import safe_divide
-from busward.operators.ordering import attach, running_totals, value_buckets
+from busward.operators.ordering import attach, running_totals, value_buckets, values_at_ranks
 
 RATES = ("precision", "recall", "f1", "false_positive_rate", "false_negative_rate", "accuracy")
 
@@ -143,6 +143,21 @@ def first_allowed(points: DataFrame, pooled: float = 0.05, macro: float = 0.05,
     return points.agg(best.alias("_b")).select("_b.*")
 
 
+def quantile_candidates(df: DataFrame, score: str, points: int = 2001) -> DataFrame:
+    """Distinct exact pooled quantiles at an even grid of probabilities, as candidate thresholds."""
+    def place(n: Column, i: Column) -> Column:
+        return (n - 1) * (i / F.lit(points - 1))
+
+    grid = F.sequence(F.lit(0), F.lit(points - 1))
+    found = values_at_ranks(df, [], score, lambda n: F.concat(
+        F.transform(grid, lambda i: F.floor(place(n, i)).cast("bigint")),
+        F.transform(grid, lambda i: F.ceil(place(n, i)).cast("bigint"))))
+    at = found.agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", score))).alias("at"))
+    spot = at.select("n", "at", F.explode(grid).alias("i")).withColumn("p", place(F.col("n"), F.col("i")))
+    low, high = F.col("at")[F.floor("p").cast("bigint")], F.col("at")[F.ceil("p").cast("bigint")]
+    return spot.select((low + (high - low) * (F.col("p") - F.floor("p"))).alias("threshold")).distinct()
+
+
 def candidate_operating_points(df: DataFrame, captures: str, score: str, candidates: DataFrame) -> DataFrame:
     """Alarm rates at arbitrary candidate thresholds (columns threshold, strict).
 
