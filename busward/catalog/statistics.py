@@ -216,12 +216,15 @@ def a19(t):
     return stats.latency_summary(latencies(t), ["method"], "latency")
 
 
+cte(rounded="SELECT role, window_index, round(deviation + 1e-10, 6) AS deviation FROM micro_scored")
+
+
 @query("a22_ecdf", "role deviation:d ecdf:d",
-       """SELECT DISTINCT v.role, v.deviation, (SELECT count(*) FROM micro_scored r WHERE r.role = v.role AND r.window_index % 2 = 0
-    AND r.deviation <= v.deviation) / (SELECT count(*) FROM micro_scored r WHERE r.role = v.role AND r.window_index % 2 = 0)::DOUBLE AS ecdf
-  FROM micro_scored v""")
+       """SELECT DISTINCT v.role, v.deviation, (SELECT count(*) FROM rounded r WHERE r.role = v.role AND r.window_index % 2 = 0
+    AND r.deviation <= v.deviation) / (SELECT count(*) FROM rounded r WHERE r.role = v.role AND r.window_index % 2 = 0)::DOUBLE AS ecdf
+  FROM rounded v""")
 def a22(t):
-    scores = can_gate.micro_scores(t)
+    scores = can_gate.micro_scores(t).withColumn("deviation", F.round(F.col("deviation") + 1e-10, 6))
     return stats.ecdf(scores.where(F.col("window_index") % 2 == 0), scores, ["role"], "deviation")
 
 
@@ -272,7 +275,7 @@ def m3(t):
 
 
 cte(
-    scored=f"SELECT CASE WHEN capture = '{HEALTHY}' THEN 'healthy' ELSE capture END AS capture, binary_target AS y, attack_probability AS s FROM p100",
+    scored=f"SELECT CASE WHEN capture = '{HEALTHY}' THEN 'healthy' ELSE capture END AS capture, binary_target AS y, round(attack_probability + 1e-11, 9) AS s FROM p100",
     score_levels="SELECT capture, s, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY 1, 2",
     points="""SELECT *, CASE WHEN p = 0 THEN 0e0 ELSE tp / p::DOUBLE END AS tpr, CASE WHEN n = 0 THEN 0e0 ELSE fp / n::DOUBLE END AS fpr,
   tp / (tp + fp)::DOUBLE AS prec FROM (SELECT capture, s, pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
@@ -287,7 +290,8 @@ cte(
 
 def scored(t):
     return can_gate.parent_windows(t).select(
-        F.when(F.col("capture") == HEALTHY, "healthy").otherwise(F.col("capture")).alias("capture"), "binary_target", "attack_probability")
+        F.when(F.col("capture") == HEALTHY, "healthy").otherwise(F.col("capture")).alias("capture"), "binary_target",
+        F.round(F.col("attack_probability") + 1e-11, 9).alias("attack_probability"))
 
 
 def points(t):
@@ -523,13 +527,13 @@ def scalar_guard(t):
 
 cte(
     guard_scalar_s=_guard_sql("spread_parent", ("scale", "half_gap", "range")),
-    guard_scalar="""SELECT *, CASE WHEN guard_score >= guard_threshold THEN 1 ELSE 0 END AS guard_rejected FROM guard_scalar_s,
+    guard_scalar="""SELECT *, CASE WHEN guard_score >= guard_threshold - 1e-9 THEN 1 ELSE 0 END AS guard_rejected FROM guard_scalar_s,
   (SELECT quantile_cont(guard_score, 0.95::DOUBLE) AS guard_threshold FROM guard_scalar_s WHERE starts_with(session_id, 'N_F#'))""",
     ratio_micro=f"""SELECT session_id, quantile_cont(scale / fl, 0.75::DOUBLE) AS scale, quantile_cont(half_gap / fl, 0.75::DOUBLE) AS half_gap,
   quantile_cont(range / fl, 0.75::DOUBLE) AS range FROM spread_micro JOIN ({each_feature("SELECT DISTINCT '{f}' AS feature, l_{f} AS fl FROM micro_floor", S)})
   USING (feature) GROUP BY 1""",
     guard_multi_s=_guard_sql("ratio_micro", ("scale", "half_gap", "range")),
-    guard_multi="""SELECT *, CASE WHEN guard_score >= guard_threshold THEN 1 ELSE 0 END AS guard_rejected FROM guard_multi_s,
+    guard_multi="""SELECT *, CASE WHEN guard_score >= guard_threshold - 1e-9 THEN 1 ELSE 0 END AS guard_rejected FROM guard_multi_s,
   (SELECT quantile_cont(guard_score, 0.95::DOUBLE) AS guard_threshold FROM guard_multi_s WHERE starts_with(session_id, 'N_F#'))""",
 )
 
@@ -537,7 +541,7 @@ cte(
 @query("e7_startup_guard_scalar", "session_id scale:d half_gap:d range:d guard_score:d guard_threshold:d guard_rejected:i", "SELECT * FROM guard_scalar")
 def e7(t):
     rows, _, limit = scalar_guard(t)
-    return rows.withColumn("guard_threshold", F.lit(limit)).withColumn("guard_rejected", (F.col("guard_score") >= limit).cast("int"))
+    return rows.withColumn("guard_threshold", F.lit(limit)).withColumn("guard_rejected", (F.col("guard_score") >= limit - 1e-9).cast("int"))
 
 
 def micro_spread(t):
@@ -552,7 +556,7 @@ def e8(t):
     fitted = guards.fit_guard(healthy_sessions(ratios), ["scale", "half_gap", "range"])
     rows = ratios.withColumn("guard_score", guards.guard_score(fitted))
     limit = stats.fit_quantiles(healthy_sessions(rows), ["guard_score"], {"t": 0.95})["guard_score"]["t"]
-    return rows.withColumn("guard_threshold", F.lit(limit)).withColumn("guard_rejected", (F.col("guard_score") >= limit).cast("int"))
+    return rows.withColumn("guard_threshold", F.lit(limit)).withColumn("guard_rejected", (F.col("guard_score") >= limit - 1e-9).cast("int"))
 
 
 GUARD9 = ("scale", "half_gap", "range", "center_shift", "window_deviation_q90", "window_deviation_max", "outlier_fraction")

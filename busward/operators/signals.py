@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
-from busward.operators.ordering import last_known, number_rows, previous
+from busward.functions.columns import row_quantile
+from busward.operators.ordering import number_rows, previous
+from busward.operators.stats import three_way_scale_by
+
+UNKNOWN_SCORE = 50.0
 
 
 def with_previous(rows: DataFrame, columns: Sequence[str], prefix: str, keys: Sequence[str] = ("capture", "can_id"),
@@ -14,3 +20,114 @@ def with_previous(rows: DataFrame, columns: Sequence[str], prefix: str, keys: Se
     """Signal values of the previous row of the same ID, whatever lies between."""
     numbered = number_rows(rows, list(keys), [order], F.floor(F.col(order) / 65_536), "_nth")
     return previous(numbered, list(keys), "_nth", {f"{prefix}{c}": (F.col(c), 1, None) for c in columns}).drop("_nth")
+
+
+def with_deltas(rows: DataFrame, signals: Sequence[str]) -> DataFrame:
+    """Change of each signal since the previous row of the same ID."""
+    out = with_previous(rows, signals, "_p_")
+    return out.withColumns({f"delta_{s}": F.col(s) - F.col(f"_p_{s}") for s in signals}).drop(*[f"_p_{s}" for s in signals])
+
+
+def signal_scales(sample: DataFrame, signals: Sequence[str], min_values: int) -> DataFrame:
+    """Centre and robust scale per ID and signal from a bounded sample per ID; rare signals are inactive."""
+    long = sample.unpivot(["can_id"], list(signals), "signal", "value")
+    return three_way_scale_by(long, ["can_id", "signal"], "value").where(F.col("n") >= min_values)
+
+
+def profile_table(values: DataFrame, deltas: DataFrame, signals: Sequence[str], min_values: int,
+                  min_deltas: int) -> DataFrame:
+    """One row per ID: for every signal the value and delta centre and scale, null when inactive."""
+    value = signal_scales(values, signals, min_values)
+    renamed = deltas.select("can_id", *[F.col(f"delta_{s}").alias(s) for s in signals])
+    delta = signal_scales(renamed, signals, min_deltas)
+
+    def wide(table: DataFrame, prefix: str) -> DataFrame:
+        return table.groupBy("can_id").agg(*[
+            F.max(F.when(F.col("signal") == s, F.col(c))).alias(f"{prefix}{c}_{s}") for s in signals for c in ("center", "scale")])
+
+    return wide(value, "v_").join(wide(delta, "d_"), "can_id", "left")
+
+
+def row_scores(rows: DataFrame, profile: DataFrame, signals: Sequence[str], quantile: float = 0.90) -> DataFrame:
+    """Marginal and transition scores and novelty of each row.
+
+    An unknown ID, a signal never active for the ID, or a row without any known signal is novel; its
+    scores are at least the unknown score. `rows` carries delta_<signal> columns.
+    """
+    both = rows.join(profile.withColumn("_known", F.lit(1)), "can_id", "left")
+
+    def z(column: str, kind: str, s: str) -> Column:
+        return F.abs((F.col(column) - F.col(f"{kind}_center_{s}")) / F.col(f"{kind}_scale_{s}"))
+
+    values = F.array(*[z(s, "v", s) for s in signals])
+    steps = F.array(*[z(f"delta_{s}", "d", s) for s in signals])
+    never_active = F.lit(False)
+    no_known = F.lit(True)
+    for s in signals:
+        inactive = F.col(f"v_center_{s}").isNull()
+        never_active = never_active | (inactive & F.col(s).isNotNull())
+        no_known = no_known & (inactive | F.col(s).isNull())
+    novel = F.col("_known").isNull() | never_active | no_known
+    base = both.withColumn("unknown_signal", novel.cast("int"))
+
+    def score(array: Column) -> Column:
+        plain = F.coalesce(row_quantile(array, quantile), F.lit(0.0))
+        return F.when(F.col("_known").isNull(), UNKNOWN_SCORE).when(
+            F.col("unknown_signal") == 1, F.greatest(plain, F.lit(UNKNOWN_SCORE))).otherwise(plain)
+
+    return base.withColumn("marginal_score", score(values)).withColumn("transition_score", score(steps)).drop(
+        "_known", *profile.columns[1:])
+
+
+def precision_matrices(sample: DataFrame, profile: DataFrame, signals: Sequence[str]) -> DataFrame:
+    """Shrunk precision matrix per ID from standardized sample rows; missing values count as zero.
+
+    The sample is bounded per ID (a reservoir), so one ID fits one task; Spark spreads the IDs.
+    """
+    joined = sample.join(profile, "can_id")
+    z = [F.coalesce((F.col(s) - F.col(f"v_center_{s}")) / F.col(f"v_scale_{s}"), F.lit(0.0)).alias(s) for s in signals]
+    active = F.array_compact(F.array(*[F.when(F.col(f"v_center_{s}").isNotNull(), i) for i, s in enumerate(signals)]))
+    rows = joined.select("can_id", active.alias("active"), *z)
+    names = list(signals)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = list(pdf["active"].iloc[0])
+        if not keep:
+            return pd.DataFrame(columns=["can_id", "active", "rows", "shrinkage", "precision"])
+        matrix = pdf[[names[i] for i in keep]].to_numpy(float)
+        shrinkage, precision = shrunk_precision(matrix)
+        return pd.DataFrame([(pdf["can_id"].iloc[0], keep, len(pdf), shrinkage, precision.tolist())],
+                            columns=["can_id", "active", "rows", "shrinkage", "precision"])
+
+    return rows.groupBy("can_id").applyInPandas(
+        fit, "can_id int, active array<int>, rows bigint, shrinkage double, precision array<array<double>>")
+
+
+def shrunk_precision(matrix: np.ndarray) -> tuple[float, np.ndarray]:
+    """Inverse of the covariance shrunk towards its mean variance with the Ledoit-Wolf weight."""
+    n, p = matrix.shape
+    if p == 1:
+        return 0.0, np.ones((1, 1))
+    x = matrix - matrix.mean(axis=0)
+    covariance = x.T @ x / n
+    mean_variance = np.trace(covariance) / p
+    target = mean_variance * np.eye(p)
+    distance = ((covariance - target) ** 2).sum()
+    noise = ((x ** 2).T @ (x ** 2) / n - covariance ** 2).sum() / n
+    weight = float(min(noise, distance) / distance) if distance > 0 else 0.0
+    return weight, np.linalg.pinv((1.0 - weight) * covariance + weight * target)
+
+
+def context_score(rows: DataFrame, profile: DataFrame, precision: DataFrame, signals: Sequence[str]) -> DataFrame:
+    """sqrt(z' P z / k) over the active signals of the ID; the unknown score where nothing is known."""
+    both = rows.join(profile, "can_id", "left").join(precision.select("can_id", "active", "precision"), "can_id", "left")
+    every = F.array(*[F.coalesce((F.col(s) - F.col(f"v_center_{s}")) / F.col(f"v_scale_{s}"), F.lit(0.0)) for s in signals])
+    named = both.withColumn("_z", F.transform("active", lambda i: F.get(every, i)))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+
+    form = F.aggregate(F.zip_with("_z", "precision", lambda zi, row: zi * dot(row, F.col("_z"))), F.lit(0.0), lambda acc, v: acc + v)
+    score = F.sqrt(F.greatest(form, F.lit(0.0)) / F.greatest(F.size("active"), F.lit(1)))
+    return named.withColumn("context_score", F.coalesce(score, F.lit(UNKNOWN_SCORE))).drop(
+        "_z", "active", "precision", *profile.columns[1:])

@@ -62,7 +62,6 @@ def main(argv: list[str]) -> int:
     patterns = argv[1:] or ["*"]
     folder = str(DATA / scale)
     spark = local_session()
-    con = duck(folder)
     failed = 0
     for name, q in QUERIES.items():
         if not any(fnmatch.fnmatch(name, p) for p in patterns):
@@ -74,7 +73,7 @@ def main(argv: list[str]) -> int:
                 note = f"rows {df.count()}"
                 problem = None
             else:
-                problem = difference(df, con, q.sql())
+                problem = difference(df, duck(folder), q.sql())
                 note = "ok"
         except Exception as error:  # noqa: BLE001 - report and go on with the next query
             problem, note = f"{type(error).__name__}: {str(error)[:1500]}", ""
