@@ -116,8 +116,10 @@ _ARRAY_SQL = "list_filter(string_split(active_noncan_sources, ';'), x -> x <> ''
 
 
 def alarm_union(methods: dict[str, str], keys: str, table: str = "decisions", truth: str = "ground_truth_attack") -> str:
-    return " UNION ALL ".join(f"SELECT {keys}, '{m}' AS method, {counts_sql(truth, c)} FROM {table} GROUP BY {keys}"
-                              for m, c in methods.items())
+    """Confusion counts per keys and method; the methods are unnested, not united."""
+    pairs = ", ".join(f"{{'m': '{m}', 'a': {c}}}" for m, c in methods.items())
+    return f"""SELECT {keys}, p.m AS method, {counts_sql('t', 'p.a')} FROM (SELECT {keys}, {truth} AS t, unnest([{pairs}]) AS p FROM {table})
+  GROUP BY {keys}, p.m"""
 
 
 cte(run_metrics=rates_sql(alarm_union(policy.POLICY_METHODS, "run, source_file, density_scenario")))
@@ -158,8 +160,8 @@ def t4(t):
 
 
 def _memory_ctes() -> None:
-    rules = " UNION ALL ".join(f"SELECT '{n}' AS rule, {k} AS k, {w} AS n, {h} AS h"
-                               for n, (k, w, h) in state.MEMORY_RULES.items())
+    rules = "SELECT * FROM (VALUES " + ", ".join(
+        f"('{n}', {k}, {w}, {h})" for n, (k, w, h) in state.MEMORY_RULES.items()) + ") v(rule, k, n, h)"
     hits = ", ".join(f"sum(alarm) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS h{w}"
                      for w in (1, 2, 3, 4, 5))
     cte(
@@ -448,9 +450,8 @@ def risk_rows(t):
 
 
 def _perturb_sql() -> None:
-    variants = " UNION ALL ".join(
-        ["SELECT 'reference' AS scenario, 'none' AS target"]
-        + [f"SELECT '{s}', '{x}'" for s in policy.SCENARIOS for x in policy.SOURCES])
+    variants = "SELECT * FROM (VALUES ('reference', 'none'), " + ", ".join(
+        f"('{s}', '{x}')" for s in policy.SCENARIOS for x in policy.SOURCES) + ") v(scenario, target)"
     names = {**{f"risk_{s}": c for s, c in _RISKS.items()}, "instant": "multi_instant"}
     late = ", ".join(f"{c} AS {n}, lag({c}, 5, 0) OVER (PARTITION BY run ORDER BY seq) AS {n}_late" for n, c in names.items())
 

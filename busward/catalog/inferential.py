@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busward.catalog.context import perturbed_runs, run_metrics
-from busward.catalog.frames import RATE_COLUMNS, counts_sql, rates_sql
+from busward.catalog.context import alarm_union, perturbed_runs, run_metrics
+from busward.catalog.frames import rates_sql
 from busward.catalog.registry import cte, query
 from busward.catalog.statistics import clustered
 from busward.operators import inference, metrics, policy, quality, state, stats
@@ -18,26 +18,25 @@ BASELINES = ("context_only_without_vehicle_state", "frozen_w100_persistent_witho
 B, P = 200, 200
 
 
-def boot_ctes(name: str, units: str, keys: str, unit: str, value: str, replicates: int) -> None:
-    """Bootstrap of `units` (a SELECT) by keys, in the same hash draws."""
-    first = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+def boot_ctes(name: str, units: str, key: str, unit: str, value: str, replicates: int) -> None:
+    """Bootstrap of `units` (a SELECT) by one key, in the same hash draws; groups are joined by number."""
     cte(**{
-        f"{name}_u": f"SELECT {keys}, {unit} AS unit, {value} AS v FROM ({units}) WHERE {value} IS NOT NULL",
-        f"{name}_n": f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {_num.format("'17|unit|' || unit")}, unit) - 1 AS slot,
-  count(*) OVER (PARTITION BY {keys}) AS n FROM {name}_u""",
-        f"{name}_m": f"""SELECT {first}, b, avg(x.v) AS m FROM {name}_n a, range({replicates}) r(b) JOIN {name}_n x ON
-    {' AND '.join(f'x.{k.strip()} = a.{k.strip()}' for k in keys.split(','))}
-    AND x.slot = {_num.format("'17|' || b || '|' || a.slot")} % a.n GROUP BY {first}, b""",
-        f"{name}_ci": f"""SELECT * EXCLUDE (lo, hi), CASE WHEN n_units > 1 THEN lo END AS ci_low, CASE WHEN n_units > 1 THEN hi END AS ci_high FROM
-  (SELECT {keys}, count(v) AS n_units, avg(v) AS mean FROM {name}_u GROUP BY {keys}) JOIN (SELECT {keys}, quantile_cont(m, 0.025::DOUBLE) AS lo,
-    quantile_cont(m, 0.975::DOUBLE) AS hi FROM {name}_m GROUP BY {keys}) USING ({keys})""",
+        f"{name}_u": f"SELECT {key}, {_num.format(f'{key}::VARCHAR')} AS cid, {unit} AS unit, {value} AS v FROM ({units}) WHERE {value} IS NOT NULL",
+        f"{name}_n": f"""SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY {_num.format("'17|unit|' || unit")}, unit) - 1 AS slot,
+  count(*) OVER (PARTITION BY cid) AS n FROM {name}_u""",
+        f"{name}_m": f"""SELECT a.cid, b, avg(x.v) AS m FROM {name}_n a, range({replicates}) r(b) JOIN {name}_n x ON x.cid = a.cid
+    AND x.slot = {_num.format("'17|' || b || '|' || a.slot")} % a.n GROUP BY a.cid, b""",
+        f"{name}_ci": f"""SELECT {key}, n_units, mean, CASE WHEN n_units > 1 THEN lo END AS ci_low, CASE WHEN n_units > 1 THEN hi END AS ci_high FROM
+  (SELECT {key}, cid, count(v) AS n_units, avg(v) AS mean FROM {name}_u GROUP BY {key}, cid) JOIN (SELECT cid, quantile_cont(m, 0.025::DOUBLE) AS lo,
+    quantile_cont(m, 0.975::DOUBLE) AS hi FROM {name}_m GROUP BY cid) USING (cid)""",
     })
 
 
-boot_ctes("boot_f1", "SELECT density_scenario, method, run, f1 FROM run_metrics", "density_scenario, method", "run", "f1", B)
+boot_ctes("boot_f1", "SELECT density_scenario || '/' || method AS cell, run, f1 FROM run_metrics", "cell", "run", "f1", B)
 
 
-@query("i1_bootstrap_interval", "density_scenario method n_units:i mean:d ci_low:d ci_high:d", "SELECT * FROM boot_f1_ci")
+@query("i1_bootstrap_interval", "density_scenario method n_units:i mean:d ci_low:d ci_high:d", 
+       "SELECT *, split_part(cell, '/', 1) AS density_scenario, split_part(cell, '/', 2) AS method FROM boot_f1_ci")
 def i1(t):
     return inference.bootstrap_interval(run_metrics(t), ["density_scenario", "method"], "run", "f1", B)
 
@@ -52,7 +51,8 @@ def i2(t):
 
 
 METRICS = ("f1", "recall", "false_positive_rate")
-_long = " UNION ALL ".join(f"SELECT run, source_file, density_scenario, method, '{m}' AS metric, {m} AS v FROM run_metrics" for m in METRICS)
+_long = ("SELECT run, source_file, density_scenario, method, p.m AS metric, p.v AS v FROM (SELECT *, unnest(["
+         + ", ".join(f"{{'m': '{m}', 'v': {m}}}" for m in METRICS) + "]) AS p FROM run_metrics)")
 cte(
     long_runs=_long,
     pairs=f"""SELECT a.run, a.source_file, a.density_scenario, a.metric, b.method AS baseline_method, a.v AS proposed, b.v AS baseline, a.v - b.v AS difference
@@ -70,12 +70,13 @@ def j10(t):
 
 
 cte(
-    flips=f"""SELECT density_scenario, metric, baseline_method, b, avg(CASE WHEN {_num.format("'19|' || b || '|' || run")} % 2 = 1 THEN -difference
-  ELSE difference END) AS m FROM pairs, range({P}) r(b) GROUP BY 1, 2, 3, 4""",
-    flip_p=f"""SELECT density_scenario, metric, baseline_method, n_units, observed, CASE WHEN largest = 0 THEN 1e0 ELSE (count(*) FILTER (abs(m) >=
-    abs(observed) - 1e-12) + 1) / {P + 1}e0 END AS p_two_sided, (count(*) FILTER (m >= observed - 1e-12) + 1) / {P + 1}e0 AS p_one_sided
-  FROM flips JOIN (SELECT density_scenario, metric, baseline_method, count(*) AS n_units, avg(difference) AS observed, max(abs(difference)) AS largest
-    FROM pairs GROUP BY 1, 2, 3) USING (density_scenario, metric, baseline_method) GROUP BY 1, 2, 3, 4, 5, largest""",
+    cells="SELECT density_scenario || '/' || metric || '/' || baseline_method AS cell, run, difference FROM pairs",
+    flips=f"""SELECT cell, b, avg(CASE WHEN {_num.format("'19|' || b || '|' || run")} % 2 = 1 THEN -difference ELSE difference END) AS m
+  FROM cells, range({P}) r(b) GROUP BY 1, 2""",
+    flip_p=f"""SELECT split_part(cell, '/', 1) AS density_scenario, split_part(cell, '/', 2) AS metric, split_part(cell, '/', 3) AS baseline_method, n_units, observed,
+  CASE WHEN largest = 0 THEN 1e0 ELSE (count(*) FILTER (abs(m) >= abs(observed) - 1e-12) + 1) / {P + 1}e0 END AS p_two_sided,
+  (count(*) FILTER (m >= observed - 1e-12) + 1) / {P + 1}e0 AS p_one_sided FROM flips JOIN (SELECT cell, count(*) AS n_units, avg(difference) AS observed,
+    max(abs(difference)) AS largest FROM cells GROUP BY 1) USING (cell) GROUP BY cell, n_units, observed, largest""",
     holmed="""SELECT *, max(least(1e0, (m - i) * p_two_sided)) OVER (PARTITION BY density_scenario, metric ORDER BY p_two_sided, baseline_method
     ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY density_scenario, metric ORDER BY p_two_sided, baseline_method) - 1 AS i,
     count(*) OVER (PARTITION BY density_scenario, metric) AS m FROM flip_p)""",
@@ -171,7 +172,7 @@ def i8(t):
     SELECT 'H1' AS hypothesis, count(*) AS tests, count(*) FILTER (p_holm < 0.05e0 AND observed > 0) AS passed FROM holmed WHERE metric = 'f1'
     UNION ALL SELECT 'H2', count(*), count(*) FILTER (f >= 0.9e0 AND r <= 0.05e0) FROM (SELECT avg(f1) AS f, avg(false_positive_rate) AS r FROM run_metrics
       WHERE method = 'proposed_persistent_without_vehicle_state' GROUP BY density_scenario)
-    UNION ALL SELECT hypothesis, count(*), sum(passed) FROM loss_checks GROUP BY 1)""")
+    UNION ALL SELECT h, count(*), sum(passed) FROM (SELECT hypothesis || '' AS h, passed FROM loss_checks) GROUP BY 1)""")
 def i9(t):
     n = F.count(F.lit(1)).alias("tests")
     h1 = inference.holm(flip_p(t), ["density_scenario", "metric"], "p_two_sided", "baseline_method").where(F.col("metric") == "f1").agg(
@@ -202,10 +203,9 @@ def i10_duplicates(t):
 _rules = list(state.MEMORY_RULES)
 cte(
     ruled="SELECT d.*, " + ", ".join(f"greatest(m.can__{r}, no_state) AS policy__{r}" for r in _rules) + " FROM decisions d JOIN memory m USING (run, seq)",
-    rule_runs=rates_sql(" UNION ALL ".join(
-        f"SELECT run, density_scenario, '{r}' AS rule, {counts_sql('ground_truth_attack', 'policy__' + r)} FROM ruled WHERE run % 5 < 3 GROUP BY 1, 2" for r in _rules)),
-    rule_phases=rates_sql(" UNION ALL ".join(
-        f"SELECT run, density_scenario, phase, '{r}' AS rule, {counts_sql('ground_truth_attack', 'policy__' + r)} FROM ruled WHERE run % 5 < 3 GROUP BY 1, 2, 3" for r in _rules)),
+    ruled_dev="SELECT * FROM ruled WHERE run % 5 < 3",
+    rule_runs="SELECT *, method AS rule FROM (" + rates_sql(alarm_union({r: f"policy__{r}" for r in _rules}, "run, density_scenario", "ruled_dev")) + ")",
+    rule_phases="SELECT *, method AS rule FROM (" + rates_sql(alarm_union({r: f"policy__{r}" for r in _rules}, "run, density_scenario, phase", "ruled_dev")) + ")",
     rule_summary="""SELECT rule, count(*) AS runs, avg(f1) AS f1_mean, avg(false_positive_rate) AS overall_fpr_mean, any_value(low) AS low_can_recall_mean,
   any_value(hf) AS healthy_fpr_macro FROM rule_runs LEFT JOIN (SELECT rule, avg(recall) AS low FROM rule_phases WHERE density_scenario = 'low_1_5' AND phase = 'error' GROUP BY 1)
     USING (rule) LEFT JOIN (SELECT rule, avg(false_positive_rate) AS hf FROM rule_phases WHERE phase IN ('view', 'signup') GROUP BY 1) USING (rule) GROUP BY 1""",

@@ -417,7 +417,7 @@ def m13(t):
     return metrics.cluster_macro(clustered(t), ["binary_target"], "cluster", "multi_instant")
 
 
-cte(pooled_methods=rates_sql(alarm_union(policy.POLICY_METHODS, "1").replace("SELECT 1,", "SELECT").replace(" GROUP BY 1", "")))
+cte(pooled_methods=rates_sql(alarm_union(policy.POLICY_METHODS, "has_noncan >= 0 AS everything").replace("GROUP BY has_noncan >= 0 AS everything", "GROUP BY everything").replace("SELECT has_noncan >= 0 AS everything, p.m", "SELECT everything, p.m")))
 
 
 @query("m14_method_comparison", f"method tp:i fp:i tn:i fn:i {RATE_COLUMNS}", "SELECT * FROM pooled_methods")
