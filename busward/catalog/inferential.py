@@ -24,8 +24,9 @@ def boot_ctes(name: str, units: str, key: str, unit: str, value: str, replicates
         f"{name}_u": f"SELECT {key}, {_num.format(f'{key}::VARCHAR')} AS cid, {unit} AS unit, {value} AS v FROM ({units}) WHERE {value} IS NOT NULL",
         f"{name}_n": f"""SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY {_num.format("'17|unit|' || unit")}, unit) - 1 AS slot,
   count(*) OVER (PARTITION BY cid) AS n FROM {name}_u""",
-        f"{name}_m": f"""SELECT a.cid, b, avg(x.v) AS m FROM {name}_n a, range({replicates}) r(b) JOIN {name}_n x ON x.cid = a.cid
-    AND x.slot = {_num.format("'17|' || b || '|' || a.slot")} % a.n GROUP BY a.cid, b""",
+        f"{name}_l": f"SELECT cid, list(v ORDER BY slot) AS vals FROM {name}_n GROUP BY cid",
+        f"{name}_m": f"""SELECT cid, b, list_avg(list_transform(range(len(vals)), lambda s:
+    vals[({_num.format("'17|' || b || '|' || s")} % len(vals)) + 1])) AS m FROM {name}_l, range({replicates}) r(b)""",
         f"{name}_ci": f"""SELECT {key}, n_units, mean, CASE WHEN n_units > 1 THEN lo END AS ci_low, CASE WHEN n_units > 1 THEN hi END AS ci_high FROM
   (SELECT {key}, cid, count(v) AS n_units, avg(v) AS mean FROM {name}_u GROUP BY {key}, cid) JOIN (SELECT cid, quantile_cont(m, 0.025::DOUBLE) AS lo,
     quantile_cont(m, 0.975::DOUBLE) AS hi FROM {name}_m GROUP BY cid) USING (cid)""",
