@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from busward.catalog import frames, context, leakage, statistics, inferential, signal_gate  # noqa: F401
+from busward.catalog import frames, context, leakage, statistics, inferential, signal_gate, sources  # noqa: F401
 from busward.catalog.registry import QUERIES  # noqa: F401

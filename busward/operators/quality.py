@@ -53,7 +53,7 @@ def check_counts(checked: DataFrame, key: str, checks: Sequence[str]) -> DataFra
     names = F.split("failure_reasons", ";")
     counted = checked.groupBy(key).agg(F.count(F.lit(1)).alias("rows_checked"), *[
         F.sum(F.array_contains(names, c).cast("int")).alias(c) for c in checks])
-    return counted.unpivot([key, "rows_checked"], list(checks), "check", "failed_rows").withColumn(
+    return counted.unpivot([key, "rows_checked"], list(checks), "check_name", "failed_rows").withColumn(
         "passed", (F.col("failed_rows") == 0).cast("int"))
 
 
