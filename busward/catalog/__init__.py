@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from busward.catalog import frames, context, leakage, statistics, inferential, signal_gate, sources  # noqa: F401
+from busward.catalog import (  # noqa: F401
+    frames, context, leakage, statistics, inferential, signal_gate, sources, online, modelling)
 from busward.catalog.registry import QUERIES  # noqa: F401
