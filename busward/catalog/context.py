@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from busward.catalog.frames import RATE_COLUMNS, RATES_SQL, counts_sql, div, rates_sql
 from busward.catalog.registry import cte, query
-from busward.functions.columns import digest_number
 from busward.operators import joins, metrics, policy, state, stats
+from busward.operators.ordering import exact_quantiles, running_totals, streaks
 from busward.plans import can_gate, replay
 from busward.plans.replay import UNIT
 
@@ -240,7 +240,6 @@ def t9(t):
     seq - row_number() OVER (PARTITION BY run, bad ORDER BY seq) AS g FROM (SELECT run, seq,
       CASE WHEN gnss_score < 0.5e0 THEN 1 ELSE 0 END AS bad FROM context)))""")
 def t10(t):
-    from busward.operators.ordering import streaks
     bad = F.col("gnss_score") < 0.5
     return streaks(t.context(), ["run"], "seq", {"bad_streak": bad, "good_streak": ~bad})
 
@@ -248,7 +247,6 @@ def t10(t):
 @query("t11_running_totals", "run:i seq:i running_attacks:i",
        """SELECT run, seq, sum(ground_truth_attack) OVER (PARTITION BY run ORDER BY seq) AS running_attacks FROM context""")
 def t11(t):
-    from busward.operators.ordering import running_totals
     rows = t.context().withColumn("_bucket", F.floor(F.col("seq") / 65_536))
     return running_totals(rows, ["run"], "seq", "_bucket", {"running_attacks": "ground_truth_attack"})
 
@@ -301,8 +299,7 @@ cte(
 
 def severity_rows(t):
     context = t.context()
-    medians = context.where(F.col("phase") == "view").groupBy("run").agg(
-        F.percentile("gnss_score", F.lit(0.5)).alias("_m"))
+    medians = exact_quantiles(context.where(F.col("phase") == "view"), ["run"], "gnss_score", {"_m": 0.5})
     return policy_severity(context.where(F.col("phase").isin("view", "error", "click")), medians)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from busward.operators.ordering import number_rows
 from busward.session import staged
 
-KEY_BUCKET = 65_536
+KEY_BUCKET = 16_384
 CLEAN_FRAMES = 500
 HEALTHY = "N_F"
 PAYLOAD = [f"d{i}" for i in range(8)]
