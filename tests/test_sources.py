@@ -60,7 +60,7 @@ def test_typed_checks_name_each_failure(spark):
 
 
 def test_signature_run_key_and_phase(spark):
-    df = spark.createDataFrame([(16, "0011", "10", "00XXXXXXXXXXXXXX", "sumo_context_attacks_seed_2031.csv")],
+    df = spark.createDataFrame([(16, "0011", "10", "00XXXXXXXXXXXXXX", "context_runs_seed_2031.csv")],
                                "can_id int, payload string, injected string, mask string, file string")
     r = df.select(windows.signature_match(F.col("can_id"), F.col("payload"), F.col("injected"), F.col("mask")).alias("m"),
                   captures.run_key(F.col("file")).alias("k"),
