@@ -55,22 +55,22 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def running(df: DataFrame, key: str, order: list, value: str | None, name: str, stage: str) -> DataFrame:
+def running(df: DataFrame, key: str, order: list, value: str | None, name: str, stage: str, row_id: str | None = None) -> DataFrame:
     """Adds `name`: the sum of `value` (1 if None) over the rows of the same key that come before, in `order`.
 
     key is a non-null integer column. Rows are dealt by range of (key, order), so a hot key spreads over
     many tasks; each task sums its sorted rows batch by batch, and sums of tasks before are added from a
     table with one row for each task and key. order must decide, else equal rows are ranked arbitrarily
-    among themselves.
+    among themselves. row_id names a further column with a number that tells all rows apart.
     """
     spark = df.sparkSession
     by = [F.col(key), *order]
     dealt = df.repartitionByRange(width(spark), *by).sortWithinPartitions(*by)
     dealt = dealt.select("*", F.spark_partition_id().alias("_task"))
-    out = T.StructType([*dealt.schema.fields, T.StructField("_local", T.LongType()), T.StructField("_own", T.LongType())])
+    out = T.StructType([*dealt.schema.fields, T.StructField("_local", T.LongType()), T.StructField("_own", T.LongType()), T.StructField("_at", T.LongType())])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, total = None, 0
+        last, total, at_row = None, 0, 0
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -83,11 +83,13 @@ def running(df: DataFrame, key: str, order: list, value: str | None, name: str,
             if keys[0] == last:
                 local[at == 0] += total
             last, total = keys[-1], int(local[-1] + own[-1])
-            yield pdf.assign(_local=local, _own=own)
+            yield pdf.assign(_local=local, _own=own, _at=np.arange(at_row, at_row + len(pdf)))
+            at_row += len(pdf)
 
     rows = staged(dealt.mapInPandas(sums, out), stage)
     tasks = rows.groupBy(F.col(key).alias("_key"), "_task").agg(F.sum("_own").alias("_sum"))
     before = W.partitionBy("_key").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
     tasks = tasks.select("_key", F.col("_task").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     joined = rows.join(tasks, (rows[key] == tasks["_key"]) & (rows["_task"] == tasks["_of"]))
-    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
+    extra = [(F.col("_task").cast("long") * (1 << 36) + F.col("_at")).alias(row_id)] if row_id else []
+    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(name), *extra)
