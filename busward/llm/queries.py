@@ -190,3 +190,25 @@ def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     out = deduplicated(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op2_near_dedup",
+    rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM w
+), shingles AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h, len(s) AS n FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (SELECT a AS doc_id, a AS root FROM links UNION SELECT b, root FROM reach JOIN links ON a = reach.doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM sets LEFT JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) USING (doc_id)""",
+)
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.near import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
