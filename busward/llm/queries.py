@@ -212,3 +212,47 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from busward.llm.near import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.decontaminate import leaks
+
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.filter("contaminated").select("doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "n_changed")
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.secrets import scan
+
+    out = scan(table(spark, folder, "documents"))
+    return out.filter("secret").select("doc_id", "at", "candidate", F.round("probability", 3).alias("probability"))
+
+
+def _license_sql() -> str:
+    from busward.llm.licenses import TEMPLATES
+
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+    grams = "list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))])"
+    tokens = lambda text: f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+    return rf"""
+WITH templates AS (SELECT license, {grams} AS g FROM (SELECT license, {tokens("text")} AS t FROM (VALUES {rows}) AS v(license, text))),
+lines AS (SELECT r, doc_id, text, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+  FROM (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents)),
+parted AS (SELECT *, count(*) FILTER (trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) = '') OVER (PARTITION BY r ORDER BY pos) AS part FROM lines),
+sections AS (
+  SELECT r, doc_id, line AS section FROM lines
+  UNION SELECT r, doc_id, string_agg(line, chr(10) ORDER BY pos) FROM parted WHERE regexp_matches(lower(line), '[a-z0-9]') GROUP BY r, doc_id, part
+  UNION SELECT r, doc_id, text FROM lines
+), grams AS (SELECT r, doc_id, {grams} AS g FROM (SELECT r, doc_id, {tokens("section")} AS t FROM sections)),
+found AS (SELECT r, doc_id, license, max(2 * len(list_intersect(grams.g, templates.g)) / (len(grams.g) + len(templates.g))) AS dice
+  FROM grams JOIN templates ON len(grams.g) * 80 <= 120 * len(templates.g) AND len(templates.g) * 80 <= 120 * len(grams.g) GROUP BY r, doc_id, license)
+SELECT doc_id, license, dice, license = first_value(license) OVER (PARTITION BY r ORDER BY dice DESC, license) AS is_best FROM found WHERE dice >= 0.8"""
+
+
+@query("op4_licenses", _license_sql())
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.licenses import licensed
+
+    return licensed(table(spark, folder, "documents"))
