@@ -1,28 +1,74 @@
 """From raw documents to shards: quality rules, near-duplicates, benchmark leaks, source mix, sharding.
 
-Each stage takes (spark, docs, sf_dir), reads what its predecessor kept, and returns a DataFrame.
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns a DataFrame; all but
+the last return the columns of documents. A document that the mix takes twice has two rows after it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from busward.llm.common import staged
+from busward.llm.decontaminate import clean
+from busward.llm.mixing import mixed, sized
+from busward.llm.near import near_duplicates
+from busward.llm.quality import judge
+from busward.llm.shards import sharded, sized_documents
+
+SHARDS = 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the threshold table."""
-    from busward.llm.quality import judge
-
     return judge(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group, and those without an id; repeated rows of one id stay one."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.filter("doc_id IS NOT NULL")
+    one = named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes a block in which it begins: not at all, once or twice."""
+    whole = F.concat(F.lit("row:"), F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), whole))
+    rows, pieces = mixed(sized(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).drop("text"))
+    begun = pieces.filter("from_word = 0").groupBy("row").agg(F.count("*").alias("n"))
+    times = rows.join(begun, "row").groupBy(F.col("doc_id").alias("_taken")).agg(F.sum("n").cast("int").alias("_times"))
+    # Rows without an id that are equal in all columns share a key: one of them stands for all.
+    single = keyed.filter("doc_id IS NOT NULL").unionByName(keyed.filter("doc_id IS NULL").dropDuplicates(["_key"]))
+    taken = single.join(times, single["_key"] == times["_taken"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def best_fit_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size (UTF-8 bytes and 1), shard and slot: shards of near equal size, equal texts together."""
+    sizes = staged(sized_documents(docs), "sizes")
+    out = sharded(sizes, "text_key", "size", shards=SHARDS, slot_order=["text_key", "doc_id"])
+    return out.select("doc_id", "size", F.col("shard").cast("int").alias("shard"), "slot")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mix", source_mix),
+    ("best_fit_shards", best_fit_shards),
+]
+
+#: Packing into shards is not SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from busward.llm.common import staged
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
