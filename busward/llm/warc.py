@@ -31,17 +31,17 @@ def _header_value(value: str) -> str:
     return "".join(c if c >= " " and c not in "%\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def _record_id(page_id: str | None) -> str:
-    return f"<{PREFIX}{'none' if page_id is None else page_id}>"
+def _record_id(page: str) -> str:
+    return f"<{PREFIX}{page}>"
 
 
-def _record(kind: str, page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
+def _record(kind: str, page: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Record-ID: {_record_id(page)}",
         f"WARC-Target-URI: {_header_value(url)}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -114,7 +114,9 @@ def write_archives(
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    # Ids travel as text: joins need no null-safe keys, and pandas makes doubles of numbers with nulls.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    rows = pages.select("page_id", key.alias("page"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     slim = staged(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")), "warc-digests")
     (total,) = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
     first = slim.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -122,17 +124,13 @@ def write_archives(
     revisits = (
         slim.join(first.drop("n"), "digest")
         .filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-        .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+        .select(key.alias("page"), "digest", F.col("first").cast("string").alias("first"))
         .distinct()
     )
     files = max(1, -(-total // archive_bytes))
     parts = max(files, min(width(spark), files * 4))
-    left, right = rows.repartition(parts, "page_id", "digest"), revisits.repartition(parts, "_page", "_digest")
-    joined = left.join(right, left["page_id"].eqNullSafe(right["_page"]) & (left["digest"] == right["_digest"]), "left")
-    # Ids travel as text: a column of numbers and nulls would become one of doubles in pandas.
-    dealt = joined.sortWithinPartitions("page_id", "digest", "url").select(
-        F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("first").cast("string").alias("first")
-    )
+    joined = rows.repartition(parts, "page", "digest").join(revisits.repartition(parts, "page", "digest"), ["page", "digest"], "left")
+    dealt = joined.sortWithinPartitions("page", "digest", "url").select("page", "url", "payload", "digest", "first")
 
     def archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[bytes] = []
@@ -149,7 +147,7 @@ def write_archives(
 
         for pdf in batches:
             out: list[bytes] = []
-            for page, url, body, digest, origin in zip(*(pdf[c] for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
+            for page, url, body, digest, origin in zip(*(pdf[c] for c in ("page", "url", "payload", "digest", "first")), strict=True):
                 record = _record("response" if origin is None else "revisit", page, url, bytes(body), digest, origin, date)
                 if packer:
                     out.append(packer.compress(record))
