@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from busward.llm.common import BLANKS, ascii_lower, staged
 
@@ -93,7 +93,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, runs:
     return reduce(DataFrame.union, lost)
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _stays(own: pd.Series, lost: pd.Series) -> pd.Series:
     """For each line of a document whether it stays; null where the document loses none."""
 
