@@ -107,19 +107,21 @@ def test_decontamination(spark):
     items = [(1, QUESTION), (2, prose(40)), (3, "so few words"), (4, "exactly six words in this item"), (5, None), (6, ""), (7, items_text := prose(30)), (7, items_text), (None, "no id")]
     text = {i: t for i, t in items if t and i}
     changed = QUESTION.replace("Alice", "Carol").replace("12", "40").replace("3 dollars", "7 dollars").replace("Bob", "Dan")
-    mixed_up = changed.replace("does Carol keep", "does Dan keep")
+    pens = "when Bob has 5 pens in the box he gives 5 pens to the girl who sits near the window of the room"
+    items.append((8, pens))
+    text[8], mixed_up = pens, pens.replace("5", "7", 1).replace("5", "9")  # one value of the item, two of the document
     docs = [
         (10, f"{prose(50)}\n{QUESTION}\n{prose(20)}"), (11, f"{prose(30)}\n{changed}\n{prose(20)}"), (12, mixed_up), (13, prose(300)), (14, f"{prose(9)} {text[2]} {prose(9)}"),
         (15, text[2].upper()), (16, "so few words"), (17, "and so few words more"), (18, f"{prose(20)}. exactly six words in this item {prose(3)}"), (19, None), (20, ""),
-        (21, " ".join(text[2].split()[:12]) + " " + prose(40)), (22, " ".join(text[2].split()[:30]) + " " + prose(40)), (23, text[7]), (23, text[7]), (None, QUESTION), (24, "12 3 5 7 kg 40 5 3 12 " * 20),
+        (21, " ".join(text[2].split()[:12]) + " " + prose(40)), (22, " ".join(text[2].split()[:30]) + " " + prose(40)), (23, text[7]), (23, text[7]), (None, QUESTION), (25, pens.replace("5", "7").replace("Bob", "Eve")), (24, "12 3 5 7 kg 40 5 3 12 " * 20),
     ]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]): r for r in leaks(df, bench).collect()}
     found = {k for k, r in got.items() if r["contaminated"]}
-    assert found == {(10, 1), (11, 1), (14, 2), (15, 2), (16, 3), (18, 4), (22, 2), (23, 7)}
+    assert found == {(10, 1), (11, 1), (14, 2), (15, 2), (16, 3), (18, 4), (22, 2), (23, 7), (25, 8)}
     assert got[10, 1]["n_changed"] == 0 and got[11, 1]["n_changed"] >= 4
-    assert not got[12, 1]["contaminated"] and not got[21, 2]["contaminated"]
+    assert got[12, 8]["n_windows"] == got[12, 8]["n_item_windows"] and not got[12, 8]["contaminated"] and not got[21, 2]["contaminated"]
     kept = [r["doc_id"] for r in clean(df, bench).collect()]
     assert sorted(kept, key=str) == sorted([12, 13, 17, 19, 20, 21, 24, None], key=str)
     assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
