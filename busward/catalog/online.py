@@ -11,12 +11,13 @@ from busward.plans import replay
 from busward.streaming import online
 
 
-def arrive(t, df, order, name, parts=3):
-    """Write a table as `parts` files that a stream reads one per batch, oldest first."""
-    path = folder(t, name)
+def drained(t, df, order, keys, name, process, parts=3):
+    """The table arrives in `parts` deliveries of many files each; the stream drains each before the next comes."""
+    source, target = folder(t, name), folder(t, f"{name}_out")
     for i in range(parts):
-        df.where(F.pmod(order, F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(F.pmod(order, F.lit(parts)) == i).repartition(*keys).write.mode("append").parquet(source)
+        out = online.run_to_table(process(t.spark.readStream.schema(df.schema).parquet(source)), target)
+    return t.spark.read.parquet(out)
 
 
 @query("t13_streaming_windows", "capture window_index:i start_row:i end_row:i id_unique_count:i dominant_id_fraction:d id_change_rate:d attack_frame_count:i",
@@ -24,8 +25,7 @@ def arrive(t, df, order, name, parts=3):
 def t13(t):
     online.use_rocksdb(t.spark)
     frames = t.frames().select("capture", F.floor(F.col("seq") / 20).alias("window_index"), "seq", "can_id", "is_attack")
-    stream = arrive(t, frames, F.col("seq"), "stream_frames")
-    return t.spark.read.parquet(online.run_to_table(online.stream_windows(stream, 20), folder(t, "stream_windows")))
+    return drained(t, frames, F.col("seq"), ["capture", "window_index"], "stream_frames", lambda s: online.stream_windows(s, 20))
 
 
 @query("t3_streaming_monitor", "run:i seq:i active:i trust:d late:i",
@@ -35,5 +35,5 @@ def t3_stream(t):
     context = t.context()
     cap = F.coalesce(policy.failure_cap(F.col("identity_failure"), F.col("device_failure")), F.lit(1.0))
     rows = context.select("run", "seq", F.col("gnss_score").alias("score"), policy.fuse(replay.evidence(context)).alias("fused"), cap.alias("cap"))
-    stream = arrive(t, rows, F.least(F.floor(F.col("seq") / 25), F.lit(2)), "stream_context")
-    return t.spark.read.parquet(online.run_to_table(online.stream_monitor(stream, 0.30), folder(t, "stream_monitor")))
+    delivery = F.least(F.floor(F.col("seq") / 25), F.lit(2))
+    return drained(t, rows, delivery, ["run"], "stream_context", lambda s: online.stream_monitor(s, 0.30))

@@ -10,13 +10,9 @@ from busward.functions.columns import clamp
 from busward.operators.metrics import confusion, with_rates
 from busward.operators.ordering import last_known, streaks
 
-PARAMETER_ROWS = 100_000
-
 
 def lookup(rows: DataFrame, parameters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach parameters by key. The side is broadcast only when counted small; else an ordinary join."""
-    if parameters.limit(PARAMETER_ROWS + 1).count() <= PARAMETER_ROWS:
-        parameters = F.broadcast(parameters)
+    """Attach parameters by key; whether that side is broadcast is left to Spark's byte limit."""
     return rows.join(parameters, list(keys), "left")
 
 

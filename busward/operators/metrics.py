@@ -54,7 +54,7 @@ def score_counts(df: DataFrame, keys: Sequence[str], truth: str, score: str) ->
     """Positives and negatives per distinct score, with order-preserving buckets."""
     counted = df.groupBy(*keys, score).agg(
         F.sum(truth).alias("positives"), F.sum(1 - F.col(truth)).alias("negatives"))
-    return value_buckets(counted, score)
+    return value_buckets(counted, keys, score)
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
@@ -170,7 +170,7 @@ def candidate_operating_points(df: DataFrame, captures: str, score: str, candida
         captures, F.explode(wanted).alias(score), F.lit(0).alias("_w"), F.lit(1).alias("_ask"))
     both = held.select(captures, score, "_w", "_ask").unionByName(ask).groupBy(captures, score).agg(
         F.sum("_w").alias("_w"), F.max("_ask").alias("_ask"))
-    run = running_totals(value_buckets(both, score), [captures], score, "_bucket", {"_at": "_w"},
+    run = running_totals(value_buckets(both, [captures], score), [captures], score, "_bucket", {"_at": "_w"},
                          descending=True)
     total = df.groupBy(captures).agg(F.count(F.lit(1)).alias("_n"))
     asked = run.where(F.col("_ask") == 1).join(total, captures)

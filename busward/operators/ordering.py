@@ -8,23 +8,21 @@ Keys must not be null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_ROWS = 65_536
-PARTS = 128
-SMALL_ROWS = 200_000
+# Values that one bucket of a key is to hold, and the most buckets of a key.
+BUCKET_VALUES = 4096
+BUCKETS = 1024
+# Rows that one hash bucket is to hold; a digest has 32 bits.
+HASH_ROWS = 16_384
+_STEP = 32
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether the table has at most `rows` rows, counted no further than needed."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def attach(df: DataFrame, one_per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Columns of a table with one row per key; without keys, of a single-row table."""
     if keys:
@@ -55,29 +53,39 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
 
 
 def number_by_hash(df: DataFrame, keys: Sequence[str], digest: Column, tie: Sequence[str],
-                   into: str = "rank") -> DataFrame:
-    """Position in hash order: a reproducible permutation. The buckets are hash prefixes, so even."""
+                   into: str = "rank", bucket_rows: int = HASH_ROWS) -> DataFrame:
+    """Position in hash order: a reproducible permutation.
+
+    The buckets are hash prefixes, so even; a key has as many as its counted rows need.
+    """
     named = df.withColumn("_digest", digest)
-    return number_rows(named, keys, ["_digest", *tie], F.shiftright("_digest", 22), into).drop("_digest")
+    bits = F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / bucket_rows, F.lit(1.0)))).cast("int")
+    sized = attach(named, named.groupBy(*keys).agg(bits.alias("_bits")), keys)
+    prefix = F.floor(F.col("_digest") / F.pow(F.lit(2.0), 32 - F.col("_bits"))).cast("bigint")
+    return number_rows(sized, keys, ["_digest", *tie], prefix, into).drop("_digest", "_bits")
 
 
-def value_buckets(df: DataFrame, value: str, parts: int = PARTS, into: str = "_bucket",
-                  small: int = SMALL_ROWS) -> DataFrame:
-    """Order-preserving buckets of a numeric column, cut at approximate quantiles.
+def value_buckets(df: DataFrame, keys: Sequence[str], value: str, into: str = "_bucket",
+                  bucket_values: int = BUCKET_VALUES) -> DataFrame:
+    """Order-preserving buckets of a numeric column, cut per key at approximate quantiles.
 
-    The cuts are fitted once, at most `parts` numbers, and then are literals of the plan, so a
-    recomputed partition gets the same buckets. Rough cuts cost balance only, never exactness.
-    A table counted as small keeps a single bucket.
+    A key has a bucket for each `bucket_values` of its rows, at most BUCKETS. The cuts are one row per key
+    and part of the plan. Rough cuts cost balance only, never exactness.
     """
-    cuts = []
-    if not is_small(df, small):
-        share = F.expr(f"array({','.join(str(i / parts) for i in range(1, parts))})")
-        found = df.agg(F.percentile_approx(F.col(value).cast("double"), share, F.lit(100 * parts))).first()[0]
-        cuts = sorted({c for c in found or [] if math.isfinite(c)})
-    if not cuts:
-        return df.withColumn(into, F.lit(0))
-    literal = F.expr(f"array({','.join(repr(c) + 'D' for c in cuts)})")
-    return df.withColumn(into, F.size(F.filter(literal, lambda c: c < F.col(value))))
+    keys = list(keys)
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    fitted = df.groupBy(*keys).agg(
+        F.least(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / bucket_values)).cast("int").alias("_parts"),
+        F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10 * BUCKETS)).alias("_all"))
+    chosen = F.when(F.col("_parts") > 1, F.transform(
+        F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.get("_all", F.floor(i * BUCKETS / F.col("_parts")).cast("int") - 1)))
+    cuts = fitted.select(*keys, F.coalesce(chosen, F.array().cast("array<double>")).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: F.pmod(i + 1, F.lit(_STEP)) == 0))
+    before = _STEP * F.size(F.filter("_coarse", lambda c: c < F.col(value)))
+    inside = F.slice("_cuts", F.col("_skip") + 1, F.lit(_STEP))
+    return (attach(df, cuts, keys).withColumn("_skip", before)
+            .withColumn(into, F.col("_skip") + F.size(F.filter(inside, lambda c: c < F.col(value))))
+            .drop("_cuts", "_coarse", "_skip"))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, bucket: str, sums: Mapping[str, str],
@@ -104,7 +112,7 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     distinct = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
                 .agg(F.count(F.lit(1)).alias("_weight")))
-    cut = value_buckets(distinct, value)
+    cut = value_buckets(distinct, keys, value)
     whole = Window.partitionBy(*keys)
     totals = (
         cut.groupBy(*keys, "_bucket").agg(F.sum("_weight").alias("_size"))
@@ -128,15 +136,9 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Mapping[str, float], small: int = SMALL_ROWS) -> DataFrame:
-    """Exact linear-interpolated quantiles, one row per key, for groups of any size.
-
-    A table counted as small goes through the built-in aggregate, a larger one through the rank search.
-    """
+                    probabilities: Mapping[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles by rank search, one row per key, for groups of any size."""
     keys = list(keys)
-    if is_small(df, small):
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[
-            F.percentile(value, F.lit(float(p))).alias(n) for n, p in probabilities.items()])
 
     def position(n: Column, p: float) -> Column:
         return (n - 1) * F.lit(float(p))
@@ -183,15 +185,16 @@ def streaks(df: DataFrame, keys: Sequence[str], order: str, conditions: Mapping[
 
 
 def with_halo(df: DataFrame, order: str, lookback: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Copy the last `lookback` rows of each chunk into the next one, marked `_halo`.
+    """Copy the last `lookback` rows before each chunk into it, marked `_halo`.
 
-    A window of at most `lookback` rows over (keys, _chunk) is then exact on rows that are not halo.
-    `order` must be dense, as number_rows makes it.
+    A window of at most `lookback` rows over (keys, _chunk) is then exact on rows that are not halo. A
+    lookback above the chunk reaches over as many chunks as it needs. `order` must be dense, as number_rows
+    makes it.
     """
     chunk = F.floor(F.col(order) / chunk_rows)
-    spills = F.pmod(F.col(order), F.lit(chunk_rows)) >= chunk_rows - lookback
+    last = F.floor((F.col(order) + lookback) / chunk_rows)
     return (
-        df.withColumn("_chunk", F.explode(F.when(spills, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
+        df.withColumn("_chunk", F.explode(F.sequence(chunk, last)))
         .withColumn("_halo", F.floor(F.col(order) / chunk_rows) < F.col("_chunk"))
     )
 

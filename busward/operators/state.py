@@ -71,16 +71,21 @@ def memory_rules(df: DataFrame, keys: Sequence[str], order: str, alarm: str,
 
 def trust_memory(df: DataFrame, keys: Sequence[str], order: str, value: Column, cap: Column | None = None,
                  memory: float = 0.65, initial: float = 0.80, into: str = "continuous_trust",
-                 chunk_rows: int = 1024) -> DataFrame:
+                 chunk_rows: int | None = None) -> DataFrame:
     """Exponential trust memory t = m t + (1-m) min(x, cap), capped again by `cap` and kept in [0, 1].
 
     The memory forgets geometrically: after `halo` rows an earlier state weighs less than 1e-24, below
     double precision. A chunk therefore starts `halo` rows early from the initial trust and needs no
     state from another task. Inside the chunk the recursion is two running windows: with w = m^-p,
-    t_p = m^p (S_p + min(m t0, min_k(cap_k w_k - S_k))), S_p the running sum of (1-m) x w.
+    t_p = m^p (S_p + min(m t0, min_k(cap_k w_k - S_k))), S_p the running sum of (1-m) x w. A chunk is as
+    long as the halo where that is above 1024 rows, and short enough for w to stay finite.
     """
-    halo = math.ceil(math.log(1e-24) / math.log(memory)) if memory > 0 else 1
     limit = F.lit(1.0) if cap is None else F.least(F.lit(1.0), F.coalesce(cap, F.lit(1.0)))
+    if memory == 0:
+        return df.withColumn(into, F.greatest(F.lit(0.0), F.least(value, limit)))
+    rate = -math.log(memory)
+    halo = math.ceil(24 * math.log(10) / rate)
+    chunk_rows = min(chunk_rows or max(1024, halo), max(1, int(600 / rate)))
     out = df.withColumn("_cap", limit).withColumn("_x", F.least(value, F.col("_cap")))
     out = with_halo(out, order, halo, chunk_rows)
     start = F.greatest(F.col("_chunk") * chunk_rows - halo, F.lit(0))

@@ -235,7 +235,7 @@ def ecdf(reference: DataFrame, values: DataFrame, keys: Sequence[str], value: st
     ref = reference.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"), F.lit(0).alias("_asked"))
     ask = values.select(*keys, value).distinct().select(*keys, value, F.lit(0).alias("_w"), F.lit(1).alias("_asked"))
     both = ref.unionByName(ask).groupBy(*keys, value).agg(F.sum("_w").alias("_w"), F.max("_asked").alias("_asked"))
-    run = running_totals(value_buckets(both, value), keys, value, "_bucket", {"_upto": "_w"})
+    run = running_totals(value_buckets(both, keys, value), keys, value, "_bucket", {"_upto": "_w"})
     size = reference.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return attach(run.where(F.col("_asked") == 1), size, keys).select(
         *keys, value, (F.col("_upto") / F.greatest(F.col("_n"), F.lit(1))).alias(into))

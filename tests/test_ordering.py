@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from busward.functions.columns import row_quantile, wilson_interval
+from busward.functions.columns import digest_number, row_quantile, wilson_interval
 from busward.operators import inference, metrics, ordering, splits, state, stats
 from busward.plans import replay
 
@@ -30,12 +30,12 @@ def test_number_rows_over_many_buckets(spark):
     assert {(r["key"], r["at"]): r["seq"] for r in out} == {k: v for k, v in seen.items() if k[0] != "n"}
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_exact_quantiles_equal_numpy(spark, small, monkeypatch):
+@pytest.mark.parametrize("values_of_a_bucket", [1, 9, 4096])
+def test_exact_quantiles_equal_numpy(spark, values_of_a_bucket, monkeypatch):
     rows, df = skewed(spark)
-    monkeypatch.setattr(ordering.value_buckets, "__defaults__", (8, "_bucket", small))
+    monkeypatch.setattr(ordering.value_buckets, "__defaults__", ("_bucket", values_of_a_bucket))
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.975, "e": 1.0}
-    out = {r["key"]: r for r in ordering.exact_quantiles(df, ["key"], "value", probs, small=small).collect()}
+    out = {r["key"]: r for r in ordering.exact_quantiles(df, ["key"], "value", probs).collect()}
     for key in {r[0] for r in rows}:
         values = [v for k, _, v in rows if k == key]
         for name, p in probs.items():
@@ -193,7 +193,7 @@ def test_fill_takes_many_equal_groups_at_once():
 
 
 def test_auc_and_thresholds_with_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ordering.value_buckets, "__defaults__", (8, "_bucket", 0))
+    monkeypatch.setattr(ordering.value_buckets, "__defaults__", ("_bucket", 16))
     rng = random.Random(9)
     rows = [("x", int(rng.random() < 0.3), round(rng.random(), 2)) for _ in range(500)]
     df = spark.createDataFrame(rows, "g string, y int, s double")
@@ -206,7 +206,7 @@ def test_auc_and_thresholds_with_many_buckets(spark, monkeypatch):
 
 
 def test_ecdf_and_conformal(spark, monkeypatch):
-    monkeypatch.setattr(ordering.value_buckets, "__defaults__", (8, "_bucket", 0))
+    monkeypatch.setattr(ordering.value_buckets, "__defaults__", ("_bucket", 16))
     rng = random.Random(2)
     values = [round(rng.random(), 3) for _ in range(400)]
     df = spark.createDataFrame([("r", v) for v in values], "g string, v double")
@@ -248,3 +248,47 @@ def test_policy_and_trust_on_the_scripted_rows(spark):
     out = state.trust_memory(df, ["run"], "seq", F.col("x"), F.when(F.col("failed") == 1, 0.25)).orderBy("seq").collect()
     assert out[2]["continuous_trust"] > 0.80 and all(r["continuous_trust"] <= 0.25 for r in out[3:])
     assert replay.WARNED == ("R_O",)
+
+
+def test_value_buckets_are_cut_per_key(spark):
+    """Keys whose values lie in different ranges each get buckets of their own."""
+    rows = [("narrow", 1000 + i / 1e6) for i in range(3000)] + [("wide", i * 1e3 - 5e5) for i in range(3000)] + [("one", 7.0)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    sizes = ordering.value_buckets(df, ["key"], "v", bucket_values=100).groupBy("key", "_bucket").agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("key", "_bucket").collect()
+    for key in ("narrow", "wide"):
+        own = [r for r in sizes if r["key"] == key]
+        assert len(own) >= 28 and max(r["n"] for r in own) <= 200
+        assert all(a["high"] < b["low"] for a, b in zip(own, own[1:]))
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 50, 100_000])
+def test_hash_positions_are_a_permutation(spark, bucket_rows):
+    rows, df = skewed(spark)
+    out = ordering.number_by_hash(df, ["key"], digest_number("s", F.col("at")), ["at"], "rank", bucket_rows).collect()
+    for key in {r[0] for r in rows}:
+        own = sorted(r["rank"] for r in out if r["key"] == key)
+        assert own == list(range(len(own)))
+    order = {(r["key"], r["at"]): r["rank"] for r in out}
+    again = ordering.number_by_hash(df, ["key"], digest_number("s", F.col("at")), ["at"]).collect()
+    assert {(r["key"], r["at"]): r["rank"] for r in again} == order
+
+
+@pytest.mark.parametrize("lookback", [1, 16, 20, 50])
+def test_previous_reaches_over_chunks(spark, lookback):
+    df = spark.range(300).select(F.lit(1).alias("run"), F.col("id").alias("seq"), (F.col("id") * 3).alias("v"))
+    out = ordering.previous(df, ["run"], "seq", {"old": (F.col("v"), lookback, -1)}, chunk_rows=16).collect()
+    assert len(out) == 300 and all(r["old"] == (r["v"] - 3 * lookback if r["seq"] >= lookback else -1) for r in out)
+
+
+@pytest.mark.parametrize("memory", [0.0, 0.1, 0.5, 0.65, 0.995])
+def test_trust_memory_of_any_length(spark, memory):
+    rng = random.Random(4)
+    rows = [(1, i, rng.random(), rng.choice([None, None, 0.2, 0.7])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run int, seq bigint, x double, cap double")
+    out = {r["seq"]: r["continuous_trust"] for r in state.trust_memory(df, ["run"], "seq", F.col("x"), F.col("cap"), memory=memory).collect()}
+    trust = 0.80
+    for _, i, x, cap in rows:
+        cap = 1.0 if cap is None else cap
+        trust = max(0.0, min(1.0, cap, memory * trust + (1 - memory) * min(x, cap)))
+        assert out[i] == pytest.approx(trust, abs=1e-9), i

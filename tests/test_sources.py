@@ -89,3 +89,40 @@ def test_quality_require_columns(spark):
         assert "b" in str(error)
     else:
         raise AssertionError("missing column not reported")
+
+
+def test_malformed_hex_is_not_zero(spark):
+    names = "timestamp string, can_id_hex string, dlc_text string, " + ", ".join(f"t{i} string" for i in range(9))
+    cases = [("1.0", "ZZ", "0", "R", *[None] * 8), ("1.1", "0260", "1", "GG", "R", *[None] * 7), ("1.2", "FFFFFFFF", "0", "R", *[None] * 8)]
+    out = {r["ts"]: r for r in captures.parse_variable_csv(spark.createDataFrame(cases, names)).collect()}
+    assert [out[t]["valid"] for t in (1.0, 1.1, 1.2)] == [0, 0, 1]
+    assert out[1.0]["can_id"] is None and out[1.2]["can_id"] == 0xFFFFFFFF
+    lines = [("c", "(1.0) can0 FFFFFFFF#00"), ("c", "(1.5) can0 ZZ#00"), ("c", "(2.0) can0 1#0G"), ("c", "1.0 can0 1#00"), ("c", "(3.0) can0 1#00 more")]
+    dump = captures.parse_bus_dump(spark.createDataFrame(lines, "capture string, value string")).collect()
+    assert sorted((r["can_id"] or -1, r["valid"]) for r in dump) == sorted([(0xFFFFFFFF, 1), (-1, 0), (1, 0), (1, 0), (1, 0)])
+    logs = [("Timestamp: 1.0 ID: ZZ 000 DLC: 1 00",), ("Timestamp: x ID: 1 000 DLC: 1 00",), ("Timestamp: 1.0 ID: FFFFFFFF 000 DLC: 1 GG",), ("ID: 1 DLC:",)]
+    text = captures.parse_text_log(spark.createDataFrame(logs, "value string")).collect()
+    assert sorted((r["can_id"] or -1, r["d0"], r["valid"]) for r in text) == sorted([(-1, 0, 0), (1, 0, 0), (0xFFFFFFFF, 0, 1), (1, 0, 0)])
+
+
+def test_labelled_frames_by_name_in_file_order(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("category,ID," + ",".join(f"DATA_{i}" for i in range(8)) + ",label,specific_class\n" + "".join(
+        f"bus,{i},{','.join(str((i + k) % 256) for k in range(8))},Benign ,x\n" for i in range(500)))
+    (tmp_path / "y.csv").write_text("ID," + ",".join(f"DATA_{i}" for i in range(8)) + ",label,category,specific_class\n" + "7,1,2,3,4,5,6,7,8, dos,a,DoS\n")
+    rows = captures.read_labelled_frames(spark, f"{tmp_path}/x.csv").orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(500)) and all(r["can_id"] == r["seq"] and r["d7"] == (r["seq"] + 7) % 256 for r in rows)
+    assert {(r["label"], r["category"]) for r in rows} == {("BENIGN", "bus")}
+    (other,) = captures.read_labelled_frames(spark, f"{tmp_path}/y.csv").collect()
+    assert (other["can_id"], other["d0"], other["d7"], other["label"], other["specific_class"]) == (7, 1, 8, "DOS", "DoS")
+
+
+def test_lines_keep_their_order_over_blocks(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert spark.read.text(f"file://{tmp_path}").rdd.getNumPartitions() > 1
+        rows = captures.read_lines(spark, f"file://{tmp_path}", order=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(r["value"] == f"line {r['seq']}" for r in rows) and len(rows) == 3000
