@@ -323,11 +323,11 @@ def severity_metrics(t):
 
 
 @query("a17_detection_boundary", "attack_type minimum_severity:d",
-       """SELECT attack_type, min(severity) FILTER (recall_mean >= 0.3e0) AS minimum_severity FROM (SELECT attack_type, severity,
+       """SELECT attack_type, min(severity) FILTER (recall_mean >= 0.95e0) AS minimum_severity FROM (SELECT attack_type, severity,
   avg(recall) AS recall_mean FROM severity_metrics GROUP BY 1, 2) GROUP BY 1""")
 def a17(t):
     means = stats.run_summary(severity_metrics(t), ["attack_type", "severity"], ["recall"])
-    return stats.first_reaching(means, ["attack_type"], "severity", {"minimum_severity": F.col("recall_mean") >= 0.3})
+    return stats.first_reaching(means, ["attack_type"], "severity", {"minimum_severity": F.col("recall_mean") >= 0.95})
 
 
 _PHASES = {0: "healthy_baseline", 1: "gps_spoofing", 2: "v2x_falsification", 3: "can_injection",

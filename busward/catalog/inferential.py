@@ -108,13 +108,21 @@ def i5(t):
     return inference.summary_interval(stats.run_summary(run_metrics(t), ["density_scenario", "method"], ["f1"]), "f1_mean", "f1_std", "runs")
 
 
-@query("i6_paired_comparison", "density_scenario metric baseline_method n_pairs:i proposed_mean:d baseline_mean:d mean_difference:d benefit_effect:d standardized_effect:d",
-       """SELECT *, CASE WHEN sd > 1e-12 THEN benefit_effect / sd WHEN benefit_effect <= 0 THEN 0e0 END AS standardized_effect FROM (SELECT *,
+boot_ctes("boot_diff", "SELECT cell, run, difference FROM cells", "cell", "run", "difference", B)
+
+
+@query("i6_paired_comparison", "density_scenario metric baseline_method n_pairs:i proposed_mean:d baseline_mean:d mean_difference:d benefit_effect:d "
+       "standardized_effect:d ci_low:d ci_high:d p_two_sided:d",
+       """SELECT e.*, CASE WHEN sd > 1e-12 THEN benefit_effect / sd WHEN benefit_effect <= 0 THEN 0e0 END AS standardized_effect, ci_low, ci_high, p_two_sided FROM (SELECT *,
     CASE WHEN metric = 'false_positive_rate' THEN -mean_difference ELSE mean_difference END AS benefit_effect FROM (SELECT density_scenario, metric, baseline_method,
       count(*) AS n_pairs, avg(proposed) AS proposed_mean, avg(baseline) AS baseline_mean, avg(difference) AS mean_difference, stddev_samp(difference) AS sd
-      FROM pairs GROUP BY 1, 2, 3))""")
+      FROM pairs GROUP BY 1, 2, 3)) e JOIN boot_diff_ci c ON c.cell = e.density_scenario || '/' || e.metric || '/' || e.baseline_method
+    JOIN flip_p f ON f.density_scenario = e.density_scenario AND f.metric = e.metric AND f.baseline_method = e.baseline_method""")
 def i6(t):
-    return inference.paired_effects(pairs(t), ["density_scenario"])
+    keys = ["density_scenario", "metric", "baseline_method"]
+    interval = inference.bootstrap_interval(pairs(t), keys, "run", "difference", B).select(*keys, "ci_low", "ci_high")
+    flips = flip_p(t).select(*keys, "p_two_sided")
+    return inference.paired_effects(pairs(t), ["density_scenario"]).join(interval, keys).join(flips, keys)
 
 
 boot_ctes("boot_loss", "SELECT target || '/' || density_scenario AS cell, run, f1_loss FROM perturbed_runs WHERE scenario = 'missing_full_session'",
@@ -204,7 +212,7 @@ def i10_duplicates(t):
 _rules = list(state.MEMORY_RULES)
 cte(
     ruled="SELECT d.*, " + ", ".join(f"greatest(m.can__{r}, no_state) AS policy__{r}" for r in _rules) + " FROM decisions d JOIN memory m USING (run, seq)",
-    ruled_dev="SELECT * FROM ruled WHERE run % 5 < 3",
+    ruled_dev="SELECT * FROM ruled",
     rule_runs="SELECT *, method AS rule FROM (" + rates_sql(alarm_union({r: f"policy__{r}" for r in _rules}, "run, density_scenario", "ruled_dev")) + ")",
     rule_phases="SELECT *, method AS rule FROM (" + rates_sql(alarm_union({r: f"policy__{r}" for r in _rules}, "run, density_scenario, phase", "ruled_dev")) + ")",
     rule_summary="""SELECT rule, count(*) AS runs, avg(f1) AS f1_mean, avg(false_positive_rate) AS overall_fpr_mean, any_value(low) AS low_can_recall_mean,
@@ -223,7 +231,7 @@ def rule_tables(t):
 
 
 def rule_summary(t):
-    runs, phases = (x.where(F.col("run") % 5 < 3) for x in rule_tables(t))
+    runs, phases = rule_tables(t)
     low = phases.where((F.col("density_scenario") == "low_1_5") & (F.col("phase") == "error")).groupBy("rule").agg(
         F.avg("recall").alias("low_can_recall_mean"))
     healthy = phases.where(F.col("phase").isin("view", "signup")).groupBy("rule").agg(F.avg("false_positive_rate").alias("healthy_fpr_macro"))
@@ -231,7 +239,7 @@ def rule_summary(t):
                                     F.avg("false_positive_rate").alias("overall_fpr_mean")).join(low, "rule", "left").join(healthy, "rule", "left")
 
 
-LIMIT = 0.90
+LIMIT = 0.05
 
 
 @query("e27_rule_selection", "rule runs:i f1_mean:d overall_fpr_mean:d low_can_recall_mean:d healthy_fpr_macro:d eligible:i selected:i",
@@ -244,14 +252,14 @@ def e27(t):
     return inference.select_eligible(rule_summary(t), ok, order, "rule", "strict_consecutive_2")
 
 
-cte(base_summary="SELECT method, avg(f1) AS f1_mean, avg(false_positive_rate) AS fpr_mean FROM run_metrics WHERE run % 5 < 3 GROUP BY 1")
+cte(base_summary="SELECT method, avg(f1) AS f1_mean, avg(false_positive_rate) AS fpr_mean FROM run_metrics GROUP BY 1")
 
 
 @query("e28_baseline_selection", "method f1_mean:d fpr_mean:d eligible:i selected:i",
        f"""SELECT *, CASE WHEN fpr_mean <= {LIMIT}e0 THEN 1 ELSE 0 END AS eligible, CASE WHEN method = (SELECT method FROM base_summary WHERE fpr_mean <= {LIMIT}e0
   ORDER BY round(f1_mean, 9) DESC, method LIMIT 1) THEN 1 ELSE 0 END AS selected FROM base_summary""")
 def e28(t):
-    table = run_metrics(t).where(F.col("run") % 5 < 3).groupBy("method").agg(
+    table = run_metrics(t).groupBy("method").agg(
         F.avg("f1").alias("f1_mean"), F.avg("false_positive_rate").alias("fpr_mean"))
     return inference.select_eligible(table, F.col("fpr_mean") <= LIMIT, [F.round("f1_mean", 9).desc(), F.col("method")], "method")
 
@@ -262,7 +270,7 @@ def e28(t):
     AND phase = 'error' GROUP BY 1) USING (density_scenario) LEFT JOIN (SELECT density_scenario, avg(false_positive_rate) AS healthy_fpr_macro FROM rule_phases
     WHERE rule = 'strict_consecutive_2' AND phase IN ('view', 'signup') GROUP BY 1) USING (density_scenario)""")
 def j7(t):
-    runs, phases = (x.where((F.col("run") % 5 < 3) & (F.col("rule") == "strict_consecutive_2")) for x in rule_tables(t))
+    runs, phases = (x.where(F.col("rule") == "strict_consecutive_2") for x in rule_tables(t))
     primary = runs.groupBy("density_scenario").agg(F.count(F.lit(1)).alias("runs"), F.avg("f1").alias("f1_mean"))
     can = phases.where(F.col("phase") == "error").groupBy("density_scenario").agg(F.avg("recall").alias("can_recall_mean"))
     healthy = phases.where(F.col("phase").isin("view", "signup")).groupBy("density_scenario").agg(F.avg("false_positive_rate").alias("healthy_fpr_macro"))

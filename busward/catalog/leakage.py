@@ -199,12 +199,11 @@ def p15(t):
 @query("p16_capacity_audit", "capture band total_unique:i used_unique:i unseen_unique:i required:i exhaustion_rate:d feasible:i",
        f"""SELECT *, {div('used_unique', 'total_unique')} AS exhaustion_rate, CASE WHEN unseen_unique >= required THEN 1 ELSE 0 END AS feasible
   FROM (SELECT capture, band, required, count(*) AS total_unique, count(*) FILTER (used) AS used_unique, count(*) FILTER (NOT used) AS unseen_unique
-    FROM (SELECT p.*, EXISTS (SELECT 1 FROM replayed d WHERE d.source_file = p.capture AND d.parent_window_index = p.parent_window_index
-      AND d.run < 40) AS used FROM attack_pool p) JOIN (VALUES ('low_1_5', 5), ('medium_6_20', 10), ('high_21_100', 20)) v(band, required) USING (band)
+    FROM (SELECT p.*, EXISTS (SELECT 1 FROM replayed d WHERE d.source_file = p.capture AND d.parent_window_index = p.parent_window_index) AS used FROM attack_pool p) JOIN (VALUES ('low_1_5', 5), ('medium_6_20', 10), ('high_21_100', 20)) v(band, required) USING (band)
     GROUP BY 1, 2, 3)""")
 def p16(t):
     required = t.spark.createDataFrame([("low_1_5", 5), ("medium_6_20", 10), ("high_21_100", 20)], "band string, required int")
-    used = replay.decisions(t).where((F.col("run") < 40) & F.col("parent_window_index").isNotNull()).select(
+    used = replay.decisions(t).where(F.col("parent_window_index").isNotNull()).select(
         F.col("source_file").alias("capture"), "parent_window_index")
     return splits.capacity_audit(attack_pool(t), used, ["capture"], "parent_window_index", "band", required)
 
@@ -273,9 +272,9 @@ def j3(t):
 
 @query("j4_unused_windows", "capture parent_window_index:i",
        """SELECT capture, parent_window_index FROM parents p WHERE role = 'attack_capture' AND NOT EXISTS (SELECT 1 FROM replayed d
-  WHERE d.source_file = p.capture AND d.parent_window_index = p.parent_window_index AND d.run < 40)""")
+  WHERE d.source_file = p.capture AND d.parent_window_index = p.parent_window_index)""")
 def j4(t):
-    used = replay.decisions(t).where(F.col("run") < 40).select(F.col("source_file").alias("capture"), "parent_window_index").distinct()
+    used = replay.decisions(t).select(F.col("source_file").alias("capture"), "parent_window_index").distinct()
     return can_gate.multiscale(t).where(F.col("role") == "attack_capture").join(used, ["capture", "parent_window_index"], "left_anti")
 
 

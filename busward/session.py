@@ -38,9 +38,15 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Without that setting a local master, whose tasks see the driver's disk, gets a temporary folder; on a
+    cluster this is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="busward-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
