@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from busward.llm.components import components
@@ -82,12 +83,13 @@ def near_corpus():
     return rows
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1 << 14])
+def test_near_duplicates(spark, block_bytes):
     rows = near_corpus()
     n = len(rows)
     rows += [(n, "a b c"), (n + 1, "A  B\nc"), (n + 2, "a b"), (n + 3, ""), (n + 4, None), (n + 5, " \t"), (n + 6, "é b c d"), (n + 7, "É b c d"), (n + 8, "x y z z z z"), (0, rows[0][1])]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, component_id string")
-    got = sorted(tuple(r) for r in near_duplicates(docs).collect())
+    got = sorted(tuple(r) for r in near_duplicates(docs, block_bytes=block_bytes).collect())
     assert got == plain_near(rows)
 
 
