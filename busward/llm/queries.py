@@ -227,7 +227,7 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from busward.llm.secrets import scan
 
     out = scan(table(spark, folder, "documents"))
-    return out.filter("secret").select("doc_id", "at", "candidate", F.round("probability", 3).alias("probability"))
+    return out.select("doc_id", "at", "candidate", "secret", F.round("probability", 3).alias("probability"))
 
 
 def _license_sql() -> str:

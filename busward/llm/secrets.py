@@ -61,7 +61,7 @@ def dictionary(docs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def _any(text: Column, listed: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(listed)).cast("double")
+    return text.rlike(rf"\b(?:{'|'.join(listed)})\b").cast("double")
 
 
 def described(found: DataFrame, entries: DataFrame) -> DataFrame:
