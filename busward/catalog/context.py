@@ -254,8 +254,7 @@ def t11(t):
 @query("t12_first_seen", "run:i phase first_seen:i rows:i",
        "SELECT run, phase, min(seq) AS first_seen, count(*) AS rows FROM context GROUP BY 1, 2")
 def t12(t):
-    return t.context().groupBy("run", "phase").agg(F.min("seq").alias("first_seen"), F.count(F.lit(1)).alias("rows")) \
-        .orderBy("run", "first_seen")
+    return t.context().groupBy("run", "phase").agg(F.min("seq").alias("first_seen"), F.count(F.lit(1)).alias("rows"))
 
 
 # --- policy ----------------------------------------------------------------------------------------
@@ -492,7 +491,8 @@ def e23(t):
 
 def perturbed_runs(t):
     return t.staged("perturbed_runs", lambda: policy.perturbed_run_metrics(
-        policy.perturbed_actions(policy.perturb(risk_rows(t), "multi_instant")), UNIT, "ground_truth_attack"))
+        policy.perturbed_actions(policy.perturb(policy.counted_rows(risk_rows(t), UNIT, ["ground_truth_attack"], "multi_instant"), "multi_instant")),
+        UNIT, "ground_truth_attack"))
 
 
 @query("e24_perturbed_evaluation", f"run:i scenario target tp:i fp:i tn:i fn:i {RATE_COLUMNS} attack_rows:i unsafe_allow_count:i "

@@ -26,11 +26,6 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def flag(condition: Column) -> Column:
-    """Condition as 0/1; null counts as 0."""
-    return F.coalesce(condition.cast("int"), F.lit(0))
-
-
 def row_quantile(values: Column, probability: float) -> Column:
     """Linear-interpolated quantile of an array column, nulls skipped; null when nothing is left."""
     ordered = F.array_sort(F.filter(values, lambda x: x.isNotNull()))

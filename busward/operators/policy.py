@@ -17,6 +17,7 @@ WEIGHTS = {
 SOURCE_THRESHOLDS = {"gnss": 0.30, "v2x": 0.30, "sensor_control": 0.35}
 ATTACK_ROWS, RECOVERY_ROWS = 2, 3
 IDENTITY_CAP, POSTURE_CAP = 0.25, 0.35
+# Names of the compared methods, sources and scenarios.
 POLICY_METHODS = {
     "legacy_weighted_threshold": "legacy_alarm",
     "hard_startup_guard": "hard_guard_alarm",
@@ -248,8 +249,17 @@ def perturbed_actions(rows: DataFrame) -> DataFrame:
         .otherwise("ALLOW"))
 
 
+def counted_rows(rows: DataFrame, unit: Sequence[str], others: Sequence[str], instant: str, late: str = "_late") -> DataFrame:
+    """Rows that agree in unit, 0/1 columns and `others`, counted as `_rows`: what perturb needs, in few rows."""
+    bits = [c for c in rows.columns if c.startswith("risk_") or c == instant or c.endswith(late)]
+    return rows.groupBy(*dict.fromkeys([*unit, *others, *bits])).agg(F.count(F.lit(1)).alias("_rows"))
+
+
 def perturbed_run_metrics(rows: DataFrame, unit: Sequence[str], truth: str) -> DataFrame:
-    """Counts, unsafe allows and restriction per unit and variant, with the F1 loss to the reference."""
+    """Counts, unsafe allows and restriction per unit and variant, with the F1 loss to the reference.
+
+    A row stands for `_rows` rows.
+    """
     from busward.operators.metrics import with_rates
     from busward.functions.columns import safe_divide
 
@@ -257,15 +267,15 @@ def perturbed_run_metrics(rows: DataFrame, unit: Sequence[str], truth: str) -> D
     allow = F.col("action") == "ALLOW"
 
     def n(c: Column) -> Column:
-        return F.sum(c.cast("int"))
+        return F.sum(F.col("_rows") * c.cast("int"))
 
     counted = rows.groupBy(*unit, "scenario", "target").agg(
         n(attack & alarm).alias("tp"), n(~attack & alarm).alias("fp"), n(~attack & ~alarm).alias("tn"),
         n(attack & ~alarm).alias("fn"), n(attack).alias("attack_rows"), n(~attack).alias("benign_rows"),
         n(attack & allow).alias("unsafe_allow_count"), n(alarm & allow).alias("high_risk_allow_count"),
         n((F.col("quality_issue") == 1) & allow).alias("quality_issue_allow_count"),
-        n(~attack & ~allow).alias("_restricted"), F.avg(allow.cast("int")).alias("full_allow_rate"),
-        F.avg((F.col("action") == "SAFE_FALLBACK").cast("int")).alias("safe_fallback_rate"))
+        n(~attack & ~allow).alias("_restricted"), (n(allow) / F.sum("_rows")).alias("full_allow_rate"),
+        (n(F.col("action") == "SAFE_FALLBACK") / F.sum("_rows")).alias("safe_fallback_rate"))
     rated = with_rates(counted).withColumn(
         "unsafe_allow_rate", safe_divide(F.col("unsafe_allow_count"), F.col("attack_rows"))).withColumn(
         "benign_restriction_rate", safe_divide(F.col("_restricted"), F.col("benign_rows"))).drop("_restricted")
@@ -276,8 +286,10 @@ def perturbed_run_metrics(rows: DataFrame, unit: Sequence[str], truth: str) -> D
 def observability(rows: DataFrame, unit: Sequence[str], truth: str, instant: str, warning: str) -> DataFrame:
     """What remains visible when one source reports healthy: shared codes, silent rows, Bayes error.
 
-    Each row becomes a bit code of its visible evidence; rows are counted per code before anything else.
+    Rows that agree in all bits are counted first; each of those few becomes a bit code of its visible evidence.
     """
+    bits = [*[f"risk_{s}" for s in SOURCES], instant, warning]
+    rows = rows.groupBy(*unit, *bits).agg(F.sum(truth).alias("_attacks"), F.sum(1 - F.col(truth)).alias("_benign"))
     views = F.array(*[F.struct(F.lit(s).alias("target"), F.lit(w).alias("with_warning"))
                       for s in SOURCES for w in (0, 1)])
     seen = rows.withColumn("_v", F.explode(views))
@@ -288,7 +300,7 @@ def observability(rows: DataFrame, unit: Sequence[str], truth: str, instant: str
     code = code.bitwiseOR(F.when(target == "can", 0).otherwise(F.shiftleft(F.col(instant), 5)))
     code = code.bitwiseOR(F.shiftleft(F.col(warning) * F.col("_v.with_warning"), 6))
     codes = seen.groupBy(*unit, target.alias("target"), F.col("_v.with_warning").alias("with_warning"),
-                         code.alias("code")).agg(F.sum(truth).alias("_a"), F.sum(1 - F.col(truth)).alias("_b"))
+                         code.alias("code")).agg(F.sum("_attacks").alias("_a"), F.sum("_benign").alias("_b"))
     shared = (F.col("_a") > 0) & (F.col("_b") > 0)
     return codes.groupBy(*unit, "target", "with_warning").agg(
         F.sum("_a").alias("attack_rows"), F.sum("_b").alias("benign_rows"),

@@ -20,11 +20,6 @@ def signature(columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
 
 
-def fast_signature(columns: Sequence[str]) -> Column:
-    """64-bit signature where no other engine has to agree."""
-    return F.xxhash64(*columns)
-
-
 def hash_split(digest: Column) -> Column:
     """70/15/15 by the hash modulo 100."""
     bucket = F.pmod(digest, F.lit(100))
