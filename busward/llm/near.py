@@ -3,9 +3,10 @@
 Documents are posted under each (coordinate, value) of their signature. A pair counts if at least
 `matches` of `coordinates` agree, so of the values that anyone shares, ordered from rare to frequent, only
 a prefix needs posting (prefix merging): two documents with enough matches meet in both prefixes, and most
-documents have no prefix at all. Long lists are skipped through: all members meet one leader, then those
-in other components meet a few random ones, and only what is still apart in a list is paired, once for
-each pair, in the first list that both share. Links are confirmed on full shingle sets.
+documents have no prefix at all. Long lists are skipped through: their members meet one leader, and lists
+that are one component then are done with. What is still apart is compared inside blocks of bounded size,
+and between the blocks of one family of lists, so that no pair needs a row of its own. Links are confirmed
+on full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from busward.llm.common import staged
+from busward.llm.common import running, staged
 from busward.llm.components import components
 from busward.llm.text import Vocabulary, shingle_set, words_of
 
@@ -38,7 +39,7 @@ def _set_hash(shingles: bytes) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(shingles), np.int64)
 
 
-def sketches(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle_width: int, coordinates: int) -> DataFrame:
     """doc_id, n_shingles, c1, c2 (128-bit hash of the set), sig; sig is null for an empty set."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +47,7 @@ def sketches(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                own = shingle_set(words.hashes(words_of(text)), width) if text else np.zeros(0, np.uint64)
+                own = shingle_set(words.hashes(words_of(text)), shingle_width) if text else np.zeros(0, np.uint64)
                 rows.append((len(own), *_set_hash(own.tobytes()), signature(own, coordinates) if len(own) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "sig"])
             yield out.assign(doc_id=pdf["doc_id"].to_numpy())
@@ -56,13 +57,13 @@ def sketches(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle_width: int) -> DataFrame:
     """id, own, c1, c2: the sorted distinct shingle hashes of each document as bytes, and their hash."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Vocabulary()
         for pdf in batches:
-            own = [shingle_set(words.hashes(words_of(t or "")), width).tobytes() for t in pdf["text"]]
+            own = [shingle_set(words.hashes(words_of(t or "")), shingle_width).tobytes() for t in pdf["text"]]
             hashes = np.array([_set_hash(x) for x in own], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"id": pdf["id"], "own": own, "c1": hashes[:, 0], "c2": hashes[:, 1]})
 
@@ -97,56 +98,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) ->
     return joined.mapInPandas(linked, "a long, b long")
 
 
-def _ordered(x, y):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def block_links(apart: DataFrame, sets: DataFrame, percent: int, matches: int, block_bytes: int) -> DataFrame:
+    """The links (a, b) between documents of different roots that share a list. apart: key, id, root.
+
+    Lists with a common document are a family; links exist inside families only. A block holds whole small
+    families, or a part of a family above block_bytes, in the order of roots. A document counts its set, a
+    512th of block_bytes at least. Blocks are compared with themselves, and with the blocks of their own
+    large family unless both hold one and the same root.
+    """
+    first = apart.groupBy("key").agg(F.min("id").alias("b"))
+    near = components(apart.join(first, "key").select(F.col("id").alias("a"), "b")).withColumnRenamed("root", "family")
+    docs = apart.select("id", "root").distinct().join(sets.select("id", "sig", "own"), "id").join(near, F.col("id") == F.col("node")).drop("node")
+    weighed = docs.withColumns({"_all": F.lit(0), "_weight": F.greatest(F.octet_length("own"), F.lit(block_bytes // 512)).cast("long")})
+    placed = running(weighed, "_all", [F.col("family"), F.col("root"), F.col("id")], "_weight", "_at", "block-order")
+    extent = placed.groupBy("family").agg(F.min("_at").alias("_from"), F.sum("_weight").alias("_total"))
+    large, cut = F.col("_total") > block_bytes, lambda x: F.floor(x / block_bytes)
+    placed = placed.join(extent, "family").select(
+        "id", "root", "sig", "own", large.alias("large"), F.when(large, F.col("family")).otherwise(cut(F.col("_from"))).alias("part"),
+        F.when(large, cut(F.col("_at") - F.col("_from"))).otherwise(0).alias("chunk"),
+    )
+    blocks = placed.groupBy("large", "part", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sort_array(F.collect_list(F.struct("id", "root", "sig", "own"))).alias("m"))
+    blocks = staged(blocks.select("large", "part", "chunk", "low", "high", *[F.col(f"m.{c}").alias(c) for c in _BLOCK]), "blocks")
+    nothing = [F.lit(None).cast(dict(blocks.dtypes)[c]).alias(f"{c}_b") for c in _BLOCK]
+    alone = blocks.filter("low <> high").select(*[F.col(c).alias(f"{c}_a") for c in _BLOCK], *nothing)
+    one = blocks.filter("large").select("part", F.col("chunk").alias("x"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), *[F.col(c).alias(f"{c}_a") for c in _BLOCK])
+    two = blocks.filter("large").select("part", F.col("chunk").alias("y"), "low", "high", *[F.col(c).alias(f"{c}_b") for c in _BLOCK])
+    apart_blocks = one.join(two, "part").filter("x < y AND (low_a <> high_a OR low <> high OR low_a <> low)").select(*alone.columns)
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                found = _compared([row.id_a, row.root_a, row.sig_a, row.own_a], None if row.id_b is None else [row.id_b, row.root_b, row.sig_b, row.own_b], percent, matches)
+                yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return alone.union(apart_blocks).mapInPandas(linked, "a long, b long")
+
+
+_BLOCK = ("id", "root", "sig", "own")
+
+
+def _compared(one: list, two: list | None, percent: int, matches: int) -> list[tuple[int, int]]:
+    """Links that join different roots, inside a block or between two; a pair already joined is skipped."""
+    skip = len(one[0]) if two else 0
+    ids, roots, sigs, owns = ([*x, *y] for x, y in zip(one, two, strict=True)) if two else map(list, one)
+    owns = [np.frombuffer(x, np.uint64) for x in owns]
+    up = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    sigs, names, sizes, found = np.stack([np.asarray(x) for x in sigs]), np.asarray(roots), np.array([len(x) for x in owns]), []
+    for i in range(len(one[0])):
+        at = max(skip, i + 1)
+        same = (sigs[at:] == sigs[i]).sum(axis=1) >= matches
+        alike = 100 * np.minimum(sizes[at:], sizes[i]) >= percent * np.maximum(sizes[at:], sizes[i])
+        for j in np.flatnonzero(same & alike & (names[at:] != names[i])) + at:
+            x, y = top(roots[i]), top(roots[j])
+            if x == y:
+                continue
+            both = len(np.intersect1d(owns[i], owns[j], assume_unique=True))
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                up[max(x, y)] = min(x, y)
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return found
 
 
-def linked_components(reps: DataFrame, docs: DataFrame, width: int, percent: int, matches: int, probes: int) -> DataFrame:
+def linked_components(reps: DataFrame, docs: DataFrame, shingle_width: int, percent: int, matches: int, block_bytes: int) -> DataFrame:
     """node, root for the representatives that have a link. reps: id, n, c1, c2, sig. docs: id, text of at least these."""
     posts = staged(prefixes(reps, matches), "prefixes")
-    alive = posts.select("id").distinct()
-    own = docs.join(alive, "id", "left_semi")
+    own = docs.join(posts.select("id").distinct(), "id", "left_semi")
     # Texts other than the one that stands for an id drop out by their hash.
-    sets = staged(shingle_sets(own, width).join(reps.select("id", "c1", "c2", "sig"), ["id", "c1", "c2"]).dropDuplicates(["id"]), "sets")
-    similar = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    def met(posts: DataFrame, rank) -> DataFrame:
-        """Pairs of each list's leader, the smallest by rank, with the members of other components."""
-        lead = posts.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "root")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
-        pairs = posts.select("key", "id", "n", "root").join(lead, "key").filter((F.col("root") != F.col("lead.root")) & similar(F.col("n"), F.col("lead.n")))
-        return pairs.select(*_ordered(F.col("id"), F.col("lead.id"))).distinct()
-
-    def labelled(links: DataFrame) -> DataFrame:
-        labels = components(links)
-        rooted = posts.join(labels.withColumnRenamed("node", "_node"), F.col("id") == F.col("_node"), "left").drop("_node")
-        rooted = rooted.withColumn("root", F.coalesce("root", "id"))
-        # Lists of one component have nothing left to find.
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        return staged(rooted.join(mixed, "key", "left_semi"), "mixed")
-
-    first = staged(met(posts.withColumn("root", F.col("id")), F.col("id")), "pairs")
-    links = staged(confirmed(first, sets, percent, matches), "links")
-    apart = labelled(links)
-    second = staged(met(apart, F.xxhash64("id", F.col("key") % probes)).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = staged(links.union(confirmed(second, sets, percent, matches)), "links")
-    apart = labelled(links)
-    # Outside a list's largest component: these meet every member of another component there.
-    counts = apart.groupBy("key", "root").agg(F.count("*").alias("size"))
-    major = counts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("major")).select("key", F.col("major.root").alias("most"))
-    marked = apart.join(major, "key").withColumn("outside", F.col("root") != F.col("most"))
-    x = marked.filter("outside").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("prefix").alias("px"))
-    y = marked.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("prefix").alias("py"), "outside")
-    once = (~F.col("outside") | (F.col("x") < F.col("y"))) & (F.col("rx") != F.col("ry")) & similar(F.col("nx"), F.col("ny"))
-    meet = (x["key"] == y["key"]) & once & (F.get(F.array_intersect("px", "py"), F.lit(0)) == x["key"])
-    third = x.join(y, meet).select(*_ordered(F.col("x"), F.col("y")))
-    third = third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    return components(links.union(confirmed(third, sets, percent, matches)))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, probes: int = 8) -> DataFrame:
+    sets = staged(shingle_sets(own, shingle_width).join(reps.select("id", "c1", "c2", "sig"), ["id", "c1", "c2"]).dropDuplicates(["id"]), "sets")
+    lead = posts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    similar = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
+    star = posts.select("key", "id", "n").join(lead, "key").filter((F.col("id") != F.col("lead.id")) & similar)
+    star = star.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = staged(confirmed(star, sets, percent, matches), "links")
+    labels = components(links).withColumnRenamed("node", "_node")
+    rooted = posts.join(labels, F.col("id") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "id"))
+    # Lists of one component have nothing left to find.
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    apart = staged(rooted.join(mixed, "key", "left_semi"), "apart")
+    return components(links.union(block_links(apart, sets, percent, matches, block_bytes)))
+
+
+def near_duplicates(docs: DataFrame, shingle_width: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
-    Two documents are linked if their sets of `width`-word shingles have a Jaccard index of percent / 100 or
+    Two documents are linked if their sets of `shingle_width`-word shingles have a Jaccard index of percent / 100 or
     more; a text with fewer words is one shingle. Null, empty and blank texts have no shingle and no link.
     component_id is the smallest id reachable, kept marks it. Equal sets are one class, so copies cost one
     row each. A pair at the limit has 48 of 64 matches on average and is missed below 30, about once in ten
@@ -155,13 +196,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordina
     component and are kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = staged(sketches(docs, width, coordinates), "sketches")
+    sketch = staged(sketches(docs, shingle_width, coordinates), "sketches")
     known = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "classes")
     chosen = classes.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("own"))
     reps = known.join(chosen, F.col("doc_id") == F.col("id")).filter((F.col("c1") == F.col("own.c1")) & (F.col("c2") == F.col("own.c2")))
     reps = reps.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "c1", "c2", "sig")
-    roots = linked_components(staged(reps, "reps"), docs.withColumnRenamed("doc_id", "id"), width, percent, matches, probes)
+    roots = linked_components(staged(reps, "reps"), docs.withColumnRenamed("doc_id", "id"), shingle_width, percent, matches, block_bytes)
     at = classes.join(roots, F.col("id") == F.col("node"), "left").select("c1", "c2", F.coalesce("root", "id").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "c1", "c2").join(at, ["c1", "c2"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
