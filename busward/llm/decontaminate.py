@@ -37,22 +37,31 @@ def _is_number(word: str) -> bool:
     return bool(body) and body[0].isdigit() and body.replace(",", "").replace(".", "").replace("/", "").replace(":", "").isdigit()
 
 
-class Canon(dict):
-    """Word, with whether it may start a sentence -> hashes of its template token and value, and whether it is a slot.
+class Canon:
+    """Template token, value, slot flag and sentence end of words, learned as they come.
 
-    A capitalised word is a name unless it starts a sentence or is capitalised throughout.
+    A capitalised word is a name unless it starts a sentence or is capitalised throughout; so words have one
+    number where they open a sentence and one elsewhere. All words are forgotten when the tables are full.
     """
 
     def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, key: tuple[str, bool]) -> tuple[int, int, bool, bool]:
-        if len(self) >= self.limit:
-            self.clear()
-        word, opens = key
+        self.limit = 0
+        self.reserve(limit)
+
+    def reserve(self, n: int) -> None:
+        """Room for n more words."""
+        if self.limit and len(self.ends) + n <= self.limit:
+            return
+        self.limit = max(self.limit, n)
+        self.opening: dict[str, int] = {}
+        self.inside: dict[str, int] = {}
+        self.ends: list[bool] = []
+        self.token, self.value, self.slot = np.zeros(self.limit, np.uint64), np.zeros(self.limit, np.uint64), np.zeros(self.limit, bool)
+
+    def learn(self, word: str, opens: bool) -> int:
         core = word.strip(_EDGES)
         value = core.lower()
+        raw = value.encode("utf-8", "surrogatepass")
         if _is_number(core.strip(_CURRENCY)):
             token = NUMBER
         elif value in UNITS and len(value) > 1 or value in ("%", *_CURRENCY):
@@ -60,24 +69,29 @@ class Canon(dict):
         elif not opens and core[:1].isupper() and not core.isupper():
             token = NAME
         else:
-            token = value.encode("utf-8", "surrogatepass")
-        ends = word[-1:] in ".!?…:" or word[-2:-1] in ".!?"
-        out = self[key] = (xxhash.xxh3_64_intdigest(token), xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")), token in (NUMBER, UNIT, NAME), ends)
-        return out
+            token = raw
+        at = len(self.ends)
+        self.ends.append(word[-1:] in ".!?…:" or word[-2:-1] in ".!?")
+        self.token[at], self.value[at] = xxhash.xxh3_64_intdigest(token), xxhash.xxh3_64_intdigest(raw)
+        self.slot[at] = token in (NUMBER, UNIT, NAME)
+        (self.opening if opens else self.inside)[word] = at
+        return at
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hashes, value hashes and slot flags of a text's words; line ends end sentences."""
-        found = []
-        for line in text.split("\n"):
-            opens = True
-            for word in line.split():
-                entry = self[word, opens]
-                found.append(entry)
-                opens = entry[3]
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        tokens, values, slots, _ = zip(*found, strict=True)
-        return np.array(tokens, np.uint64), np.array(values, np.uint64), np.array(slots, bool)
+        lines = [line.split() for line in text.split("\n")]
+        self.reserve(sum(map(len, lines)))
+        opening, inside, ends, found = self.opening, self.inside, self.ends, []
+        for line in lines:
+            table = opening
+            for word in line:
+                at = table.get(word)
+                if at is None:
+                    at = self.learn(word, table is opening)
+                found.append(at)
+                table = opening if ends[at] else inside
+        at = np.array(found, np.int64)
+        return self.token[at], self.value[at], self.slot[at]
 
 
 def _windows(tokens: np.ndarray, values: np.ndarray, slots: np.ndarray, wide: int, literal: int) -> np.ndarray:
