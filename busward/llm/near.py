@@ -18,9 +18,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from busward.llm.bits import as_flags, bit_set
 from busward.llm.common import running, staged
 from busward.llm.components import components
-from busward.llm.text import Vocabulary, shingle_set, words_of
+from busward.llm.text import Vocabulary, mixed, shingle_set, words_of
 
 _SEEDS = np.random.default_rng(20240229)
 _XOR = _SEEDS.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -57,17 +58,35 @@ def sketches(docs: DataFrame, shingle_width: int, coordinates: int) -> DataFrame
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def shingle_sets(docs: DataFrame, shingle_width: int) -> DataFrame:
-    """id, own, c1, c2: the sorted distinct shingle hashes of each document as bytes, and their hash."""
+def shingle_sets(docs: DataFrame, shingle_width: int, wanted: bytes) -> DataFrame:
+    """id, own, c1, c2: the sorted distinct shingle hashes of a document as bytes, and their hash.
+
+    Documents are left out where the bit of their mixed id is not set in `wanted`; so few texts are read
+    twice in Python, and none is shuffled.
+    """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Vocabulary()
+        words, flags = Vocabulary(), as_flags(wanted)
         for pdf in batches:
+            pdf = pdf[flags[mixed(pdf["id"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)]]
             own = [shingle_set(words.hashes(words_of(t or "")), shingle_width).tobytes() for t in pdf["text"]]
             hashes = np.array([_set_hash(x) for x in own], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": pdf["id"], "own": own, "c1": hashes[:, 0], "c2": hashes[:, 1]})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "own": own, "c1": hashes[:, 0], "c2": hashes[:, 1]})
+
+    return docs.filter("id IS NOT NULL").select("id", "text").mapInPandas(made, "id long, own binary, c1 long, c2 long")
+
+
+def id_bits(ids: DataFrame) -> bytes:
+    """The bit set of ids, 2 MB: filled by some hundred million ids, after which it lets all through."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": mixed(pdf["id"].to_numpy(np.int64).view(np.uint64)).view(np.int64)})
+
+    return bit_set(ids.mapInPandas(hashed, "h long"), F.col("h"), ID_BITS)
+
 
-    return docs.select("id", "text").mapInPandas(made, "id long, own binary, c1 long, c2 long")
+ID_BITS = 24
 
 
 def prefixes(reps: DataFrame, matches: int) -> DataFrame:
@@ -168,9 +187,9 @@ def _compared(one: list, two: list | None, percent: int, matches: int) -> list[t
 def linked_components(reps: DataFrame, docs: DataFrame, shingle_width: int, percent: int, matches: int, block_bytes: int) -> DataFrame:
     """node, root for the representatives that have a link. reps: id, n, c1, c2, sig. docs: id, text of at least these."""
     posts = staged(prefixes(reps, matches), "prefixes")
-    own = docs.join(posts.select("id").distinct(), "id", "left_semi")
-    # Texts other than the one that stands for an id drop out by their hash.
-    sets = staged(shingle_sets(own, shingle_width).join(reps.select("id", "c1", "c2", "sig"), ["id", "c1", "c2"]).dropDuplicates(["id"]), "sets")
+    # Texts that no list holds, or other than the one that stands for an id, drop out by the hash of their set.
+    alive = posts.select("id").distinct().join(reps.select("id", "c1", "c2", "sig"), "id")
+    sets = staged(shingle_sets(docs, shingle_width, id_bits(posts.select("id").distinct())).join(alive, ["id", "c1", "c2"]).dropDuplicates(["id"]), "sets")
     lead = posts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     similar = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     star = posts.select("key", "id", "n").join(lead, "key").filter((F.col("id") != F.col("lead.id")) & similar)
@@ -190,8 +209,8 @@ def near_duplicates(docs: DataFrame, shingle_width: int = 5, percent: int = 75,
     Two documents are linked if their sets of `shingle_width`-word shingles have a Jaccard index of percent / 100 or
     more; a text with fewer words is one shingle. Null, empty and blank texts have no shingle and no link.
     component_id is the smallest id reachable, kept marks it. Equal sets are one class, so copies cost one
-    row each. A pair at the limit has 48 of 64 matches on average and is missed below 30, about once in ten
-    million. Repeated rows are alike. Ids should tell documents apart: where rows of one id have different
+    row each. A pair at the limit has 48 of 64 matches on average and is missed below 30, about four times
+    in ten million. Repeated rows are alike. Ids should tell documents apart: where rows of one id have different
     texts, one set stands for the id in links, and further ones link with it only. Rows without an id get no
     component and are kept.
     """
