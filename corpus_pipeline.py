@@ -19,8 +19,11 @@ SHARDS = 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the threshold table."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    """Documents that pass the base rules and the threshold table.
+
+    A filter would be pushed into the projection and repeat its counts for each rule; an explode is not.
+    """
+    return judge(docs).withColumn("_pass", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
