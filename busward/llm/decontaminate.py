@@ -44,7 +44,7 @@ class Canon:
     number where they open a sentence and one elsewhere. All words are forgotten when the tables are full.
     """
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = 0
         self.reserve(limit)
 
@@ -98,7 +98,8 @@ def _windows(tokens: np.ndarray, values: np.ndarray, slots: np.ndarray, wide: in
     """A hash of each window of `wide` words: of its template if at least `literal` words are not placeholders, else of its words."""
     fixed = np.concatenate([[0], np.cumsum(~slots)])
     told = fixed[wide:] - fixed[:-wide] >= min(literal, wide)
-    return np.where(told, windows(tokens, wide), ~windows(values, wide))
+    hashes = windows(tokens, wide)
+    return hashes if told.all() else np.where(told, hashes, ~windows(values, wide))
 
 
 def _slot_values(values: np.ndarray, slots: np.ndarray, at: int, width: int) -> list[tuple[int, int]]:

@@ -17,7 +17,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 class Vocabulary(dict):
     """64-bit hash of each word; forgets all words when it holds `limit`, which changes no hash."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
