@@ -1,8 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, units and names become typed placeholders, so that a question with other numbers or names has the
-template of the original. Windows of template tokens are hash-joined; along each diagonal of a document and
-an item the slots' values must correspond consistently, which tells a re-parameterised question from prose
+template of the original. Windows of template tokens are hash-joined; along near diagonals of a document and
+an item they are put together, and the values of near slots must correspond consistently, which tells a re-parameterised question from prose
 that merely has numbers in like places.
 """
 
@@ -137,15 +137,66 @@ def template_windows(df: DataFrame, widths: list[int], literal: int, wanted: byt
     return df.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(made, WINDOW)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, percent: int = 50) -> DataFrame:
+def judged(lines: list[tuple], wide: int, total: int, percent: int, run: int) -> tuple[int, int, int, int, bool]:
+    """n_windows, n_item_windows, n_slots, n_changed, contaminated of the best chain of one document and item.
+
+    lines: (diagonal, window positions in the item in order, and of the slots the positions in the item, the
+    item's values and the document's). A chain holds neighbouring diagonals, each at most the item's words
+    from the next, so words put in or left out do not part it. Two slots within a window's reach conflict if
+    one value of the item stands for two of the document; words in windows with such a slot are not covered.
+    """
+    n_words = total + wide - 1
+    chains, last = [], None
+    for line in sorted(lines, key=lambda x: x[0]):
+        if last is None or line[0] - last > n_words:
+            chains.append([])
+        chains[-1].append(line)
+        last = line[0]
+    best = None
+    for chain in chains:
+        covered, met, seen, longest = np.zeros(n_words, bool), set(), set(), 0
+        for diagonal, at, places, theirs, mine in chain:
+            at = np.asarray(at, np.int64)
+            order = sorted(zip(places, theirs, mine, strict=True))
+            conflict, changed = np.zeros(n_words + 1, np.int64), np.zeros(n_words + 1, np.int64)
+            recent: dict[int, list[tuple[int, int]]] = {}
+            for place, value, other in order:
+                changed[place + 1] |= value != other
+                near = recent[value] = [s for s in recent.get(value, []) if place - s[0] < wide]
+                for s in near:
+                    if s[1] != other:
+                        conflict[[s[0] + 1, place + 1]] = 1
+                near.append((place, other))
+            inside = lambda marks: (sums := np.cumsum(marks))[at + wide] > sums[at]  # noqa: E731, B023
+            bad, own = inside(conflict), np.zeros(n_words, bool)
+            for marks, value in ((at[~bad], True), (at[bad], False)):
+                own[(marks[:, None] + np.arange(wide)).ravel()] = value
+            covered |= own
+            same = at[~inside(changed)]
+            if len(same):
+                breaks = np.flatnonzero(np.diff(same) > 1)
+                starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(same) - 1]])
+                longest = max(longest, int((same[ends] - same[starts]).max()) + wide)
+            met.update(at.tolist())
+            seen.update((diagonal, *s) for s in order)
+        bad = bool(int(covered.sum()) * 100 >= n_words * percent or longest >= run)
+        key = (bad, len(met), chain[-1][0])
+        if best is None or key > best[0]:
+            best = key, (len(met), total, len({s[1:] for s in seen}), len({s[1:] for s in seen if s[2] != s[3]}), bad)
+    return best[1]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int = 5, percent: int = 50, run: int = 14) -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, n_slots, n_changed, contaminated for each pair that shares windows.
 
     docs: doc_id, text; benchmark: item_id, text. A window with fewer than `literal` words that are not
     placeholders stands for its very words instead of its template. An item of fewer than `width` words is one
-    window, and of fewer than `literal` found only where it is a whole text. The windows that a document and an item share are
-    taken along their best diagonal (equal distance of positions). contaminated: at least percent of the
-    item's windows lie on it and its slots are consistent, that is, each value of the item stands for one
-    value of the document. n_changed counts slots with another value. Null and empty texts, and texts
+    window, and of fewer than `literal` found only where it is a whole text. The windows that a document and
+    an item share are taken along their best chain of neighbouring diagonals (near equal distance of
+    positions). contaminated: they cover at least percent of the item's words, or `run` words in a row are
+    the very words of the item. Words near slots in which, within a window's reach, one value of the item
+    stands for several of the document are not covered. Where no window of `width` words is left whole, as in
+    an item of 15 words whose middle one is replaced, nothing is found. n_changed counts slots with another value. Null and empty texts, and texts
     without windows, share nothing; equal texts under several ids are pairs of their own, and repeated rows
     of one id count once. Rows without an id are left out.
     """
@@ -162,25 +213,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literal: int =
     given = docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL")
     found = template_windows(given, widths, literal, table.tobytes())
     left = found.select(F.col("id").alias("doc"), "window", F.col("at").alias("p"), F.col("slots").alias("mine"))
-    right = asked.select(F.col("id").alias("item"), "window", F.col("at").alias("q"), "total", F.col("slots").alias("theirs"))
-    met = left.join(right, "window").withColumn("diagonal", F.col("p") - F.col("q"))
+    right = asked.select(F.col("id").alias("item"), "window", "wide", F.col("at").alias("q"), "total", F.col("slots").alias("theirs"))
     pairs = F.transform("theirs", lambda s, i: F.struct((F.col("q") + s["k"]).alias("at"), s["v"].alias("theirs"), F.get("mine", i)["v"].alias("mine")))
-    lines = met.withColumn("pairs", pairs).groupBy("doc", "item", "diagonal").agg(
-        F.count_distinct("q").alias("n_windows"), F.first("total").alias("n_item_windows"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots")
+    met = left.join(right, "window").withColumn("pairs", pairs)
+    diagonals = met.groupBy("doc", "item", (F.col("p") - F.col("q")).alias("diagonal")).agg(
+        F.max("wide").alias("wide"), F.max("total").alias("total"), F.array_sort(F.collect_set("q")).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("slots")
+    )
+    shared = diagonals.groupBy("doc", "item").agg(
+        F.max("wide").alias("wide"), F.max("total").alias("total"), F.collect_list(F.struct("diagonal", "at", F.col("slots.at").alias("places"), F.col("slots.theirs").alias("theirs"), F.col("slots.mine").alias("mine"))).alias("lines")
     )
-    kinds = F.size(F.array_distinct(F.transform("slots", lambda s: s["theirs"])))
-    values = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["theirs"], s["mine"]))))
-    judged = lines.select(
-        "doc", "item", "n_windows", "n_item_windows", "diagonal",
-        F.size("slots").alias("n_slots"),
-        F.size(F.filter("slots", lambda s: s["theirs"] != s["mine"])).alias("n_changed"),
-        ((kinds == values) & (F.col("n_windows") * 100 >= F.col("n_item_windows") * percent)).alias("contaminated"),
-    )
-    best = judged.groupBy("doc", "item").agg(F.max(F.struct("contaminated", "n_windows", "diagonal", "n_item_windows", "n_slots", "n_changed")).alias("b"))
-    return best.select(
-        F.col("doc").cast("long").alias("doc_id"), F.col("item").cast("long").alias("item_id"),
-        *[F.col(f"b.{c}").cast("long").alias(c) for c in ("n_windows", "n_item_windows", "n_slots", "n_changed")], "b.contaminated",
-    )
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (int(doc), int(item), *judged([tuple(x.values()) for x in found], wide, total, percent, run))
+                for doc, item, wide, total, found in pdf.itertuples(index=False, name=None)
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "n_changed", "contaminated"])
+
+    out = "doc_id long, item_id long, n_windows long, n_item_windows long, n_slots long, n_changed long, contaminated boolean"
+    return shared.mapInPandas(made, out)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
