@@ -28,29 +28,67 @@ FEATURES = (
 _TRIM = "\"'`.,;:!?()[]{}<>*&%$#|"
 
 
+#: What stands between a name and its value, and a value with its quotes or up to a separator.
+_GLUE = r"[\"'\]]*(?::=|=>|[=:])"
+_PLAIN = "[A-Za-z0-9_+/=.@:-]"
+# The bound cuts only the captured front of a name, and keeps long runs linear.
+_NAMED = rf"(?i)[a-z0-9_.-]{{0,64}}(?:{'|'.join(KEYWORDS)})[a-z0-9_.-]*+"
+
+
+def _value(least: int) -> str:
+    return rf"(?:\"[^\"\s]{{{least},}}\"|'[^'\s]{{{least},}}'|[\"'(\[{{<]*[^\s\"'`;&?,]{{{least},}})"
+
+
+def _parted(text: Column) -> Column:
+    """Lower-cased, with parts of mixed-case names (apiKey) parted."""
+    return F.lower(F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", "_"))
+
+
+def _names_secret(text: Column, end: str = "") -> Column:
+    return text.rlike(rf"(?<![a-z])(?:{'|'.join(KEYWORDS)})(?![a-z]){end}")
+
+
 def candidates(docs: DataFrame, path: str = "source", least: int = 8) -> DataFrame:
-    """doc_id, at (word position), candidate, value_name, before, after, path for each word that may be a secret.
+    """doc_id, at (word position), candidate, value_name, before, after, path for each value that may be a secret.
 
-    A word may be one if, without quotes, punctuation and a leading name=, it has at least `least`
-    characters of [A-Za-z0-9_+/=.@:-] and a digit. Null texts have none.
+    A value is any run of at least `least` characters of [A-Za-z0-9_+/=.@:-] with a digit, wherever it stands
+    in a word, without a leading name= (the name may be quoted). What is assigned to a secret's name, in the
+    same word or after `name =`, may hold other characters too, up to its closing quote, a blank or one of
+    ; & ? , and needs no digit. A word may have several values. Null texts have none.
     """
-    text = F.col("text")
-    bearing = docs.filter(text.rlike(rf"[A-Za-z0-9_+/=.@:-]{{{least},}}") & text.rlike("[0-9]"))
+    text, run = F.col("text"), f"{_PLAIN}{{{least},}}"
+    listed = f"(?i)(?:{'|'.join(KEYWORDS)})"
+    bearing = docs.filter(text.rlike(run) & text.rlike("[0-9]") | text.rlike(listed))
     own = bearing.select("doc_id", F.col(path).alias("path"), words(text).alias("w"))
-    shape = rf"^[^A-Za-z0-9]*([A-Za-z_-]+[=:][\"']?)?[A-Za-z0-9_+/=.@:-]{{{least},}}[^A-Za-z0-9]*$"
     near = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
-    spots = F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[0-9]") & x.rlike(shape), i)), lambda i: i.isNotNull())
+    inside = _NAMED + _GLUE + _value(least)
+    spaced = lambda x, i: (F.length(x) >= least) & (near(i, -1).rlike("(?:=>|[=:])$") | x.rlike("^[=:]")) & F.concat_ws(" ", near(i, -2), near(i, -1)).rlike(listed)
+    spots = F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[0-9]") & x.rlike(run) | x.rlike("[=:].") & x.rlike(inside) | spaced(x, i), i)), lambda i: i.isNotNull())
     found = own.withColumn("_at", spots).filter(F.size("_at") > 0)
     row = found.select("doc_id", "path", F.explode(F.transform("_at", lambda i: F.struct(
         i.alias("at"), near(i, 0).alias("word"),
         F.concat_ws(" ", near(i, -3), near(i, -2), near(i, -1)).alias("before"), F.concat_ws(" ", near(i, 1), near(i, 2)).alias("after"),
     ))).alias("c")).select("doc_id", "path", "c.*")
-    bare = F.btrim("word", F.lit(_TRIM))
-    name = F.regexp_extract(bare, r"^([A-Za-z_-]+)[=:]", 1)
-    value = F.btrim(F.regexp_replace(bare, r"^[A-Za-z_-]+[=:]", ""), F.lit(_TRIM))
-    return row.select("doc_id", "at", value.alias("candidate"), F.lower(name).alias("value_name"), F.lower("before").alias("before"), F.lower("after").alias("after"), "path").filter(
-        F.length("candidate") >= least
-    )
+    trimmed = lambda x: F.btrim(x, F.lit(_TRIM))
+    # A value in quotes keeps the signs at its ends, others lose them.
+    quoted = rf"^(\"|')([^\s]{{{least},}})\1$"
+    bare = lambda x: F.when(x.rlike(quoted), F.regexp_extract(x, quoted, 2)).otherwise(trimmed(x))
+    pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    assigned = F.regexp_extract_all("word", F.lit(f"({inside})"), F.lit(1))
+    assigned = F.transform(assigned, lambda x: pair(F.regexp_extract(x, rf"^([A-Za-z0-9_.-]+){_GLUE}", 1), bare(F.regexp_replace(x, rf"^[A-Za-z0-9_.-]+{_GLUE}", ""))))
+    assigned = F.filter(assigned, lambda x: _names_secret(_parted(x["name"])))
+    operator = r"^(?::=|=>|[=:])"
+    open_end = _names_secret(_parted(F.concat_ws(" ", "before", F.regexp_extract("word", operator, 0))), rf"[a-z0-9_.-]*[\"'\]]*\s*(?::=|=>|[=:])\s*$")
+    alone = bare(F.regexp_extract(F.regexp_replace("word", operator, ""), f"^{_value(least)}", 0))
+    follows = F.when(open_end & (F.size("_assigned") == 0), F.array(pair(F.lit(""), alone))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    plain = F.regexp_extract_all("word", F.lit(rf"((?:[A-Za-z_-]+[\"']?[=:][\"']?)?{run})"), F.lit(1))
+    plain = F.transform(plain, lambda x: pair(F.regexp_extract(trimmed(x), r"^([A-Za-z_-]+)[\"']?[=:]", 1), trimmed(F.regexp_replace(trimmed(x), r"^[A-Za-z_-]+[\"']?[=:]", ""))))
+    rest = F.filter("_plain", lambda x: x["value"].rlike("[0-9]") & ~F.exists("_named", lambda y: F.contains(y["value"], x["value"]) | F.contains(x["value"], y["value"]) & F.startswith(x["value"], y["name"]) & (y["name"] != "")))
+    each = row.withColumn("_assigned", assigned).withColumn("_named", F.filter(F.concat("_assigned", follows), lambda x: F.length(x["value"]) >= least)).withColumn("_plain", plain)
+    each = each.withColumn("c", F.explode(F.concat("_named", rest)))
+    return each.select(
+        "doc_id", "at", F.col("c.value").alias("candidate"), _parted(F.col("c.name")).alias("value_name"), F.lower("before").alias("before"), F.lower("after").alias("after"), "path"
+    ).filter(F.length("candidate") >= least)
 
 
 def dictionary(docs: DataFrame, least: int = 5) -> DataFrame:
