@@ -87,7 +87,7 @@ def candidates(docs: DataFrame, path: str = "source", least: int = 8) -> DataFra
     each = row.withColumn("_assigned", assigned).withColumn("_named", F.filter(F.concat("_assigned", follows), lambda x: F.length(x["value"]) >= least)).withColumn("_plain", plain)
     each = each.withColumn("c", F.explode(F.concat("_named", rest)))
     return each.select(
-        "doc_id", "at", F.col("c.value").alias("candidate"), _parted(F.col("c.name")).alias("value_name"), F.lower("before").alias("before"), F.lower("after").alias("after"), "path"
+        "doc_id", "at", F.col("c.value").alias("candidate"), _parted(F.col("c.name")).alias("value_name"), _parted(F.col("before")).alias("before"), F.lower("after").alias("after"), "path"
     ).filter(F.length("candidate") >= least)
 
 
@@ -99,7 +99,7 @@ def dictionary(docs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def _any(text: Column, listed: tuple[str, ...]) -> Column:
-    return text.rlike(rf"\b(?:{'|'.join(listed)})\b").cast("double")
+    return text.rlike(rf"(?<![a-z])(?:{'|'.join(listed)})(?![a-z])").cast("double")
 
 
 def described(found: DataFrame, entries: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Secrets inside words, with odd characters and without digits."""
 
-from busward.llm.secrets import candidates, described, dictionary
+from busward.llm.secrets import candidates, described, dictionary, label
 
 
 def test_values_inside_words(spark):
@@ -24,3 +24,11 @@ def test_values_inside_words(spark):
     assert {t: sorted(r["candidate"] for r in got if r["doc_id"] == i) for i, t in enumerate(cases)} == cases
     plan = described(candidates(docs), dictionary(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_compound_names(spark):
+    names = ["client_secret", "db_password", "aws_secret_access_key", "auth_token", "github_token", "clientSecret", "password2", "secretary", "tokenizer", "author"]
+    rows = [(2 * i + k, f"set {n}{'=' if k else ' = '}Zx9kQ2mB7tR4Lw8p here", "s") for i, n in enumerate(names) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["keyword_near"], r["label"]) for r in label(described(candidates(docs), dictionary(docs))).collect()}
+    assert got == {i: (1.0, 1.0) if i < 14 else (0.0, None) for i, _, _ in rows}
