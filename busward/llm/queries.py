@@ -256,3 +256,80 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     from busward.llm.licenses import licensed
 
     return licensed(table(spark, folder, "documents"))
+
+
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_search",
+    rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, {TERMS}) AS t FROM documents),
+size AS (SELECT (count(*) FILTER (len(t) > 0))::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs),
+asked AS (
+  SELECT k, item_id, term, count(*)::BIGINT AS q
+  FROM (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all({LOWERED}, {TERMS})) AS term FROM benchmark) GROUP BY ALL
+), held AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, size GROUP BY term, n_docs
+), impacts AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS impact FROM held, size
+), scores AS (
+  SELECT k, item_id, r, doc_id, sum(q * w * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 20""",
+)
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.search import ranked
+
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+# CRC-32 is computed once for each distinct word, byte by byte, with the table made by its rule.
+@query(
+    "op12_resampling",
+    rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, {TERMS}) AS w FROM documents),
+goal AS (SELECT unnest(regexp_extract_all({LOWERED}, {TERMS})) AS word FROM benchmark),
+words AS (SELECT r, unnest(w) AS word FROM docs),
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+distinct_words AS (SELECT DISTINCT word FROM (SELECT word FROM words UNION ALL SELECT word FROM goal)),
+bucket AS (
+  SELECT word, xor(4294967295, list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) % 10000 AS bucket
+  FROM (SELECT word, t, [('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT for i in range(octet_length(encode(word)))] AS b FROM distinct_words, crc)
+),
+source_counts AS (SELECT bucket, count(*)::DOUBLE AS s FROM words JOIN bucket USING (word) GROUP BY bucket),
+goal_counts AS (SELECT bucket, count(*)::DOUBLE AS t FROM goal JOIN bucket USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM words) + 10000)::DOUBLE / ((s + 1) * ((SELECT count(*) FROM goal) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM source_counts LEFT JOIN goal_counts USING (bucket)
+),
+sums AS (SELECT r, count(*)::BIGINT AS n, sum(gain)::BIGINT AS total FROM words JOIN bucket USING (word) JOIN gains USING (bucket) GROUP BY r),
+weighed AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce((total - (total % n + n) % n) // n, 0) AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM docs LEFT JOIN sums USING (r)
+),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END::BIGINT AS rank
+FROM placed""",
+)
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.importance import resampled
+
+    out = resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_fingerprints")
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from busward.llm.fingerprints import compared_with_next
+
+    return compared_with_next(table(spark, folder, "documents"))

@@ -10,6 +10,8 @@ import xxhash
 # Only these bytes separate words; other Unicode spaces belong to words.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# Of terms, all other ASCII characters than letters and digits separate.
+_TERMS = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -36,6 +38,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def terms_of(text: bytes) -> list[bytes]:
+    """Maximal runs of ASCII letters, digits and all characters beyond ASCII in UTF-8, A-Z lower-cased."""
+    return text.translate(_TERMS).split()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     values = (values ^ (values >> np.uint64(30))) * _MIX[0]
