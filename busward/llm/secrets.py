@@ -60,15 +60,21 @@ def candidates(docs: DataFrame, path: str = "source", least: int = 8) -> DataFra
     listed = f"(?i)(?:{'|'.join(KEYWORDS)})"
     bearing = docs.filter(text.rlike(run) & text.rlike("[0-9]") | text.rlike(listed))
     own = bearing.select("doc_id", F.col(path).alias("path"), words(text).alias("w"))
-    near = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
     inside = _NAMED + _GLUE + _value(least)
-    spaced = lambda x, i: (F.length(x) >= least) & (near(i, -1).rlike("(?:=>|[=:])$") | x.rlike("^[=:]")) & F.concat_ws(" ", near(i, -2), near(i, -1)).rlike(listed)
-    spots = F.filter(F.transform("w", lambda x, i: F.when(x.rlike("[0-9]") & x.rlike(run) | x.rlike("[=:].") & x.rlike(inside) | spaced(x, i), i)), lambda i: i.isNotNull())
-    found = own.withColumn("_at", spots).filter(F.size("_at") > 0)
-    row = found.select("doc_id", "path", F.explode(F.transform("_at", lambda i: F.struct(
-        i.alias("at"), near(i, 0).alias("word"),
-        F.concat_ws(" ", near(i, -3), near(i, -2), near(i, -1)).alias("before"), F.concat_ws(" ", near(i, 1), near(i, 2)).alias("after"),
-    ))).alias("c")).select("doc_id", "path", "c.*")
+
+    def spots(w: Column) -> Column:
+        near = lambda i, k: F.coalesce(F.get(w, i + k), F.lit(""))
+        spaced = lambda x, i: (F.length(x) >= least) & (near(i, -1).rlike("(?:=>|[=:])$") | x.rlike("^[=:]")) & F.concat_ws(" ", near(i, -2), near(i, -1)).rlike(listed)
+        bears = lambda x, i: x.rlike("[0-9]") & x.rlike(run) | x.rlike("[=:].") & x.rlike(inside) | spaced(x, i)
+        at = F.filter(F.transform(w, lambda x, i: F.when(bears(x, i), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(
+            i.alias("at"), near(i, 0).alias("word"),
+            F.concat_ws(" ", near(i, -3), near(i, -2), near(i, -1)).alias("before"), F.concat_ws(" ", near(i, 1), near(i, 2)).alias("after"),
+        ))
+
+    # The words are bound once, as the element of an array of one: else they are split anew for every word that looks at its neighbours.
+    # The outer explode: from a plain one Spark infers a filter that searches the text a second time.
+    row = own.select("doc_id", "path", F.explode_outer(F.flatten(F.transform(F.array("w"), spots))).alias("c")).filter("c IS NOT NULL").select("doc_id", "path", "c.*")
     trimmed = lambda x: F.btrim(x, F.lit(_TRIM))
     # A value in quotes keeps the signs at its ends, others lose them.
     quoted = rf"^(\"|')([^\s]{{{least},}})\1$"
