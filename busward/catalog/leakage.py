@@ -237,18 +237,19 @@ def p17(t):
     return poisoned(t)
 
 
+RESERVOIR = 3000
 cte(kept=f"""SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY can_id ORDER BY {_dg("'3|' || s.capture || '|' || seq")}, s.capture, seq) AS r
-  FROM signals s JOIN sig_roles g ON g.capture = s.capture AND g.role = 'profile_fit') WHERE r <= 300""")
+  FROM signals s JOIN sig_roles g ON g.capture = s.capture AND g.role = 'profile_fit') WHERE r <= {RESERVOIR}""")
 
 
-def kept_signals(t):
-    fit = signal_roles(t).where(F.col("role") == "profile_fit").select("capture")
-    return splits.reservoir(t.signals().join(fit, "capture"), ["can_id"], ["capture", "seq"], 300, 3)
+def fit_rows(t, rows):
+    """The rows of the captures that profiles are fitted on."""
+    return rows.join(signal_roles(t).where(F.col("role") == "profile_fit").select("capture"), "capture")
 
 
 @query("p18_reservoir", "can_id:i capture seq:i", "SELECT * FROM kept")
 def p18(t):
-    return kept_signals(t)
+    return splits.reservoir(fit_rows(t, t.signals()), ["can_id"], ["capture", "seq"], RESERVOIR, 3)
 
 
 @query("p19_balanced_sample", "capture window_index:i",

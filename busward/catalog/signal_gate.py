@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busward.catalog.leakage import kept_signals, signal_roles
+from busward.catalog.leakage import fit_rows
 from busward.catalog.registry import cte, query
-from busward.operators import signals, splits, windows
+from busward.operators import signals, windows
 
 SIGNALS = ("s1", "s2", "s3", "s4")
-MIN_VALUES, MIN_DELTAS = 20, 15
+# Values and changes that a signal of an ID must have to be active.
+MIN_VALUES, MIN_DELTAS = 200, 100
 
 
 def _scale_sql(value: str, table: str, least: int) -> str:
@@ -18,13 +19,11 @@ def _scale_sql(value: str, table: str, least: int) -> str:
             f"FROM {table}) WHERE n >= {least} AND {value} IS NOT NULL GROUP BY 1, 2")
 
 
-_dg = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 cte(
     sig_delta="SELECT *, " + ", ".join(f"{s} - lag({s}) OVER w AS delta_{s}" for s in SIGNALS) + " FROM signals WINDOW w AS (PARTITION BY capture, can_id ORDER BY seq)",
-    kept_delta=f"""SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY can_id ORDER BY {_dg.format("'4|' || s.capture || '|' || seq")}, s.capture, seq) AS r
-  FROM sig_delta s JOIN sig_roles g ON g.capture = s.capture AND g.role = 'profile_fit') WHERE r <= 300""",
-    **{f"pv_{s}": _scale_sql(s, "kept", MIN_VALUES) for s in SIGNALS},
-    **{f"pd_{s}": _scale_sql(f"delta_{s}", "kept_delta", MIN_DELTAS) for s in SIGNALS},
+    fit_delta="SELECT s.* FROM sig_delta s JOIN sig_roles g ON g.capture = s.capture AND g.role = 'profile_fit'",
+    **{f"pv_{s}": _scale_sql(s, "fit_delta", MIN_VALUES) for s in SIGNALS},
+    **{f"pd_{s}": _scale_sql(f"delta_{s}", "fit_delta", MIN_DELTAS) for s in SIGNALS},
     profile="SELECT * FROM (SELECT DISTINCT can_id FROM (" + " UNION ALL ".join(f"SELECT can_id FROM pv_{s}" for s in SIGNALS) + ")) "
     + " ".join(f"LEFT JOIN (SELECT can_id, center AS vc_{s}, scale AS vs_{s} FROM pv_{s}) USING (can_id) "
                f"LEFT JOIN (SELECT can_id, center AS dc_{s}, scale AS ds_{s} FROM pd_{s}) USING (can_id)" for s in SIGNALS),
@@ -57,9 +56,8 @@ def deltas(t):
 
 def profile(t):
     def build():
-        fit = signal_roles(t).where(F.col("role") == "profile_fit").select("capture")
-        kept = splits.reservoir(deltas(t).join(fit, "capture"), ["can_id"], ["capture", "seq"], 300, 4)
-        return signals.profile_table(kept_signals(t), kept, SIGNALS, MIN_VALUES, MIN_DELTAS)
+        rows = fit_rows(t, deltas(t))
+        return signals.profile_table(rows, rows, SIGNALS, MIN_VALUES, MIN_DELTAS)
     return t.staged("signal_profile", build)
 
 
@@ -73,12 +71,50 @@ def e10(t):
     return profile(t)
 
 
-@query("e10_precision_profile", "can_id:i signals:i rows:i shrinkage:d trace:d", None)
+# Standardized values of the active signals in rows of (ID, row, place), their moments, and the inverse by elimination.
+cte(
+    zrow="SELECT can_id, row_number() OVER () AS r, list_filter([" + ", ".join(
+        f"CASE WHEN vc_{s} IS NOT NULL THEN coalesce((d.{s} - vc_{s}) / vs_{s}, 0e0) END" for s in SIGNALS) + "], lambda x: x IS NOT NULL) AS z FROM fit_delta d JOIN profile USING (can_id)",
+    zlong="SELECT can_id, r, i, v - avg(v) OVER (PARTITION BY can_id, i) AS c FROM (SELECT can_id, r, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM zrow)",
+    moment="""SELECT a.can_id, a.i, b.i AS j, count(*) AS n, avg(a.c * b.c) AS second, avg((a.c * b.c) * (a.c * b.c)) AS fourth
+  FROM zlong a JOIN zlong b ON a.can_id = b.can_id AND a.r = b.r GROUP BY 1, 2, 3""",
+    spread="SELECT *, avg(CASE WHEN i = j THEN second END) OVER (PARTITION BY can_id) AS variance FROM moment",
+    shrink="""SELECT *, CASE WHEN distance > 0 THEN least(noise, distance) / distance ELSE 0e0 END AS shrinkage FROM (
+  SELECT can_id, max(i) AS p, any_value(n) AS n, sum((second - CASE WHEN i = j THEN variance ELSE 0e0 END) ** 2) AS distance, sum(fourth - second * second) / any_value(n) AS noise
+  FROM spread GROUP BY 1)""",
+    shrunk="SELECT can_id, i, j, s.n, p, shrinkage, (1 - shrinkage) * second + shrinkage * CASE WHEN i = j THEN variance ELSE 0e0 END AS covariance FROM spread s JOIN shrink USING (can_id)",
+    elim="""SELECT can_id, p, n, shrinkage, 0 AS k, list(row ORDER BY i) AS m FROM (
+  SELECT can_id, i, any_value(p) AS p, any_value(n) AS n, any_value(shrinkage) AS shrinkage,
+    list(covariance ORDER BY j) || [CASE WHEN x = i THEN 1e0 ELSE 0e0 END for x in range(1, any_value(p) + 1)] AS row FROM shrunk GROUP BY 1, 2) GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT can_id, p, n, shrinkage, k + 1, [[CASE WHEN i = k + 1 THEN m[k + 1][j] / m[k + 1][k + 1] ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END
+    for j in range(1, 2 * p + 1)] for i in range(1, p + 1)] FROM elim WHERE k < p""",
+    precise="""SELECT can_id, p, n, CASE WHEN p = 1 THEN 0e0 ELSE shrinkage END AS shrinkage,
+  CASE WHEN p = 1 THEN [[1e0]] ELSE [[m[i][p + j] for j in range(1, p + 1)] for i in range(1, p + 1)] END AS m FROM elim WHERE k = p""",
+    sig_form="SELECT *, list_sum([zz[i] * list_sum([zz[j] * m[i][j] for j in range(1, q.p + 1)]) for i in range(1, q.p + 1)]) / q.p AS form FROM (SELECT z.*, list_filter(["
+    + ", ".join(f"CASE WHEN vc_{s} IS NOT NULL THEN coalesce((z.{s} - vc_{s}) / vs_{s}, 0e0) END" for s in SIGNALS)
+    + "], lambda x: x IS NOT NULL) AS zz FROM sig_z z LEFT JOIN profile f ON f.can_id = z.can_id) s LEFT JOIN precise q ON q.can_id = s.can_id",
+)
+
+
+def precision(t):
+    return t.staged("signal_precision", lambda: signals.precision_matrices(fit_rows(t, t.signals()), profile(t), SIGNALS))
+
+
+@query("e10_shrunk_covariance", "can_id:i one:i two:i rows:i shrinkage:d covariance:d",
+       "SELECT can_id, i AS one, j AS two, n AS rows, shrinkage, covariance FROM shrunk")
+def e10_covariance(t):
+    fitted = signals.shrunk_covariances(fit_rows(t, t.signals()), profile(t), SIGNALS)
+    one = fitted.select("can_id", "rows", "shrinkage", F.posexplode("covariance").alias("i", "row"))
+    two = one.select("can_id", "rows", "shrinkage", (F.col("i") + 1).alias("one"), F.posexplode("row").alias("j", "covariance"))
+    return two.withColumn("two", F.col("j") + 1)
+
+
+@query("e10_precision_profile", "can_id:i signals:i rows:i shrinkage:d trace:d",
+       "SELECT can_id, p AS signals, n AS rows, shrinkage, list_sum([m[i][i] for i in range(1, p + 1)]) AS trace FROM precise")
 def e10_precision(t):
-    fitted = signals.precision_matrices(kept_signals(t), profile(t), SIGNALS)
     diagonal = F.transform(F.sequence(F.lit(0), F.size("precision") - 1), lambda i: F.get(F.get("precision", i), i))
-    return fitted.select("can_id", F.size("active").alias("signals"), "rows", "shrinkage",
-                         F.aggregate(diagonal, F.lit(0.0), lambda a, x: a + x).alias("trace"))
+    return precision(t).select("can_id", F.size("active").alias("signals"), "rows", "shrinkage",
+                               F.aggregate(diagonal, F.lit(0.0), lambda a, x: a + x).alias("trace"))
 
 
 @query("e11_row_scores", "capture seq:i can_id:i marginal_score:d transition_score:d", "SELECT * FROM sig_scores")
@@ -86,10 +122,10 @@ def e11(t):
     return scores(t)
 
 
-@query("e11_context_score", "capture seq:i can_id:i context_score:d", None)
+@query("e11_context_score", "capture seq:i can_id:i context_score:d",
+       "SELECT capture, seq, can_id, CASE WHEN unknown_signal = 1 THEN greatest(c, 50e0) ELSE c END AS context_score FROM (SELECT *, coalesce(sqrt(greatest(form, 0e0)), 50e0) AS c FROM sig_form)")
 def e11_context(t):
-    fitted = signals.precision_matrices(kept_signals(t), profile(t), SIGNALS)
-    return signals.context_score(t.signals(), profile(t), fitted, SIGNALS)
+    return signals.context_score(scores(t), profile(t), precision(t), SIGNALS)
 
 
 @query("e12_novelty", "capture can_id:i rows:i novel_rows:i",

@@ -19,6 +19,8 @@ BUCKETS = 1024
 # Rows that one hash bucket is to hold; a digest has 32 bits.
 HASH_ROWS = 16_384
 _STEP = 32
+# As text, which is parsed at once; a thousand literals cost a second of planning each time.
+_CUTS = f"percentile_approx(_cut_value, array({', '.join(f'{i / BUCKETS!r}D' for i in range(1, BUCKETS))}), {10 * BUCKETS})"
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -69,21 +71,25 @@ def value_buckets(df: DataFrame, keys: Sequence[str], value: str, into: str = "_
                   bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """Order-preserving buckets of a numeric column, cut per key at approximate quantiles.
 
-    A key has a bucket for each `bucket_values` of its rows, at most BUCKETS. The cuts are one row per key
-    and part of the plan. Rough cuts cost balance only, never exactness.
+    A key has a bucket for each `bucket_values` of its rows, at most BUCKETS; rows are counted first, and
+    only the values of keys with several buckets are looked at for cuts. The cuts are one row per key and
+    part of the plan. Rough cuts cost balance only, never exactness.
     """
     keys = list(keys)
-    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    fitted = df.groupBy(*keys).agg(
-        F.least(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / bucket_values)).cast("int").alias("_parts"),
-        F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10 * BUCKETS)).alias("_all"))
-    chosen = F.when(F.col("_parts") > 1, F.transform(
-        F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.get("_all", F.floor(i * BUCKETS / F.col("_parts")).cast("int") - 1)))
-    cuts = fitted.select(*keys, F.coalesce(chosen, F.array().cast("array<double>")).alias("_cuts"))
+    parts = F.least(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / bucket_values)).cast("int")
+    sizes = df.groupBy(*keys).agg(parts.alias("_cut_parts"))
+    large = attach(df.select(*keys, F.col(value).cast("double").alias("_cut_value")), sizes, keys).where(F.col("_cut_parts") > 1)
+    fitted = large.groupBy(*keys).agg(
+        F.first("_cut_parts").alias("_cut_parts"), F.expr(_CUTS).alias("_cut_shares"))
+    chosen = F.transform(
+        F.sequence(F.lit(1), F.col("_cut_parts") - 1), lambda i: F.get("_cut_shares", F.floor(i * BUCKETS / F.col("_cut_parts")).cast("int") - 1))
+    none = F.array().cast("array<double>")
+    cuts = fitted.select(*keys, F.coalesce(chosen, none).alias("_cuts"))
     cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: F.pmod(i + 1, F.lit(_STEP)) == 0))
+    cut = df.join(cuts, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("_cuts", "_coarse")}) if keys else attach(df, cuts, keys)
     before = _STEP * F.size(F.filter("_coarse", lambda c: c < F.col(value)))
     inside = F.slice("_cuts", F.col("_skip") + 1, F.lit(_STEP))
-    return (attach(df, cuts, keys).withColumn("_skip", before)
+    return (cut.withColumn("_skip", before)
             .withColumn(into, F.col("_skip") + F.size(F.filter(inside, lambda c: c < F.col(value))))
             .drop("_cuts", "_coarse", "_skip"))
 
@@ -104,14 +110,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, bucket: str,
 
 
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                    ranks: Callable[[Column], Column]) -> DataFrame:
+                    ranks: Callable[[Column], Column], times: str | None = None) -> DataFrame:
     """Exact order statistics: rows (keys, n, rank, value). `ranks` maps the count to rank numbers.
 
-    Equal values are counted together first; only the buckets that hold a wanted rank are sorted.
+    Equal values are counted together first; only the buckets that hold a wanted rank are sorted. `times`
+    names a column that says how often a row counts, where rows were counted before.
     """
     keys = list(keys)
     distinct = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-                .agg(F.count(F.lit(1)).alias("_weight")))
+                .agg((F.sum(times) if times else F.count(F.lit(1))).alias("_weight")))
     cut = value_buckets(distinct, keys, value)
     whole = Window.partitionBy(*keys)
     totals = (
@@ -136,19 +143,22 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probabilities: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles by rank search, one row per key, for groups of any size."""
+                    probabilities: Mapping[str, float], times: str | None = None, count: str | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles by rank search, one row per key, for groups of any size.
+
+    `times` is as in values_at_ranks; `count` names a column for the number of values.
+    """
     keys = list(keys)
 
     def position(n: Column, p: float) -> Column:
         return (n - 1) * F.lit(float(p))
 
     found = values_at_ranks(df, keys, value, lambda n: F.array(*[
-        f(position(n, p)).cast("bigint") for p in probabilities.values() for f in (F.floor, F.ceil)]))
+        f(position(n, p)).cast("bigint") for p in probabilities.values() for f in (F.floor, F.ceil)]), times)
     packed = found.groupBy(*keys).agg(
         F.first("n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("rank", value))).alias("_at"))
-    out = []
+    out = [F.col("n").alias(count)] if count else []
     for name, p in probabilities.items():
         where = position(F.col("n"), p)
         low = F.col("_at")[F.floor(where).cast("bigint")]

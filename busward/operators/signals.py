@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,9 +28,9 @@ def with_deltas(rows: DataFrame, signals: Sequence[str]) -> DataFrame:
     return out.withColumns({f"delta_{s}": F.col(s) - F.col(f"_p_{s}") for s in signals}).drop(*[f"_p_{s}" for s in signals])
 
 
-def signal_scales(sample: DataFrame, signals: Sequence[str], min_values: int) -> DataFrame:
-    """Centre and robust scale per ID and signal from a bounded sample per ID; rare signals are inactive."""
-    long = sample.unpivot(["can_id"], list(signals), "signal", "value")
+def signal_scales(rows: DataFrame, signals: Sequence[str], min_values: int) -> DataFrame:
+    """Centre and robust scale per ID and signal from all rows; rare signals are inactive."""
+    long = rows.unpivot(["can_id"], list(signals), "signal", "value")
     return three_way_scale_by(long, ["can_id", "signal"], "value").where(F.col("n") >= min_values)
 
 
@@ -79,55 +79,84 @@ def row_scores(rows: DataFrame, profile: DataFrame, signals: Sequence[str], quan
         "_known", *profile.columns[1:])
 
 
-def precision_matrices(sample: DataFrame, profile: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """Shrunk precision matrix per ID from standardized sample rows; missing values count as zero.
+def _standardized(s: str) -> Column:
+    """Distance from the centre in scales; zero for a missing value."""
+    return F.coalesce((F.col(s) - F.col(f"v_center_{s}")) / F.col(f"v_scale_{s}"), F.lit(0.0))
 
-    The sample is bounded per ID (a reservoir), so one ID fits one task; Spark spreads the IDs.
+
+def shrunk_covariances(rows: DataFrame, profile: DataFrame, signals: Sequence[str]) -> DataFrame:
+    """can_id, active, rows, shrinkage, covariance: the covariance of the standardized active signals of each ID,
+    shrunk towards its mean variance with the Ledoit-Wolf weight.
+
+    The weight and the covariance need sums of second and fourth order only. They are plain sums of a packed
+    upper triangle, about the means of a first pass, so every task adds up its own rows of an ID before the
+    shuffle and one row per ID comes out. Missing values count as zero.
     """
-    joined = sample.join(profile, "can_id")
-    z = [F.coalesce((F.col(s) - F.col(f"v_center_{s}")) / F.col(f"v_scale_{s}"), F.lit(0.0)).alias(s) for s in signals]
+    p = len(signals)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     active = F.array_compact(F.array(*[F.when(F.col(f"v_center_{s}").isNotNull(), i) for i, s in enumerate(signals)]))
-    rows = joined.select("can_id", active.alias("active"), *z)
-    names = list(signals)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = list(pdf["active"].iloc[0])
-        if not keep:
-            return pd.DataFrame(columns=["can_id", "active", "rows", "shrinkage", "precision"])
-        matrix = pdf[[names[i] for i in keep]].to_numpy(float)
-        shrinkage, precision = shrunk_precision(matrix)
-        return pd.DataFrame([(pdf["can_id"].iloc[0], keep, len(pdf), shrinkage, precision.tolist())],
-                            columns=["can_id", "active", "rows", "shrinkage", "precision"])
-
-    return rows.groupBy("can_id").applyInPandas(
-        fit, "can_id int, active array<int>, rows bigint, shrinkage double, precision array<array<double>>")
-
-
-def shrunk_precision(matrix: np.ndarray) -> tuple[float, np.ndarray]:
-    """Inverse of the covariance shrunk towards its mean variance with the Ledoit-Wolf weight."""
-    n, p = matrix.shape
-    if p == 1:
-        return 0.0, np.ones((1, 1))
-    x = matrix - matrix.mean(axis=0)
-    covariance = x.T @ x / n
-    mean_variance = np.trace(covariance) / p
-    target = mean_variance * np.eye(p)
-    distance = ((covariance - target) ** 2).sum()
-    noise = ((x ** 2).T @ (x ** 2) / n - covariance ** 2).sum() / n
-    weight = float(min(noise, distance) / distance) if distance > 0 else 0.0
-    return weight, np.linalg.pinv((1.0 - weight) * covariance + weight * target)
+    known = rows.join(profile, "can_id").select("can_id", active.alias("active"), *[_standardized(s).alias(f"z{i}") for i, s in enumerate(signals)])
+    means = known.groupBy("can_id").agg(F.first("active").alias("active"), F.count(F.lit(1)).alias("rows"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(p)])
+    means = means.where(F.size("active") > 0)
+    centred = known.drop("active").join(means.select("can_id", *[f"m{i}" for i in range(p)]), "can_id").select(
+        "can_id", *[(F.col(f"z{i}") - F.col(f"m{i}")).alias(f"c{i}") for i in range(p)])
+    product = [F.col(f"c{i}") * F.col(f"c{j}") for i, j in pairs]
+    sums = centred.groupBy("can_id").agg(
+        F.array(*[F.sum(x) for x in product]).alias("second"), F.array(*[F.sum(x * x) for x in product]).alias("fourth"))
+    packed = means.select("can_id", "active", "rows").join(sums, "can_id")
+
+    def at(column: str, i: Column, j: Column) -> Column:
+        low, high = F.least(i, j), F.greatest(i, j)
+        return F.get(column, (low * p - low * (low - 1) / 2 + high - low).cast("int")) / F.col("rows")
+
+    def total(f) -> Column:
+        """Sum of f(i, j) over all pairs of active signals."""
+        add = lambda acc, x: acc + x
+        return F.aggregate(F.transform("active", lambda i: F.aggregate(F.transform("active", lambda j: f(i, j)), F.lit(0.0), add)), F.lit(0.0), add)
+
+    def target(i: Column, j: Column) -> Column:
+        return F.when(i == j, F.col("_variance")).otherwise(0.0)
+
+    out = packed.withColumn("_variance", total(lambda i, j: F.when(i == j, at("second", i, j)).otherwise(0.0)) / F.size("active"))
+    out = out.withColumns({
+        "_distance": total(lambda i, j: F.pow(at("second", i, j) - target(i, j), F.lit(2.0))),
+        "_noise": total(lambda i, j: at("fourth", i, j) - F.pow(at("second", i, j), F.lit(2.0))) / F.col("rows")})
+    out = out.withColumn("shrinkage", F.when(F.col("_distance") > 0, F.least("_noise", "_distance") / F.col("_distance")).otherwise(0.0))
+    shrunk = lambda i, j: (1 - F.col("shrinkage")) * at("second", i, j) + F.col("shrinkage") * target(i, j)
+    return out.select("can_id", "active", "rows", "shrinkage", F.transform(
+        "active", lambda i: F.transform("active", lambda j: shrunk(i, j))).alias("covariance"))
+
+
+def precision_matrices(rows: DataFrame, profile: DataFrame, signals: Sequence[str]) -> DataFrame:
+    """can_id, active, rows, shrinkage, precision: the (pseudo-)inverse of each ID's shrunk covariance, one small
+    matrix per ID. A single active signal has precision one."""
+
+    def inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            matrices = [np.stack([np.asarray(r) for r in m]) for m in pdf["covariance"]]
+            alone = pdf["active"].map(len) == 1
+            yield pdf.assign(
+                shrinkage=pdf["shrinkage"].mask(alone, 0.0),
+                precision=[np.linalg.pinv(m).tolist() if len(m) > 1 else [[1.0]] for m in matrices]).drop(columns="covariance")
+
+    return shrunk_covariances(rows, profile, signals).mapInPandas(
+        inverted, "can_id int, active array<int>, rows bigint, shrinkage double, precision array<array<double>>")
 
 
 def context_score(rows: DataFrame, profile: DataFrame, precision: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """sqrt(z' P z / k) over the active signals of the ID; the unknown score where nothing is known."""
+    """sqrt(z' P z / k) over the active signals of the ID; at least the unknown score for novel rows.
+
+    `rows` carries unknown_signal, as row_scores gives it.
+    """
     both = rows.join(profile, "can_id", "left").join(precision.select("can_id", "active", "precision"), "can_id", "left")
-    every = F.array(*[F.coalesce((F.col(s) - F.col(f"v_center_{s}")) / F.col(f"v_scale_{s}"), F.lit(0.0)) for s in signals])
+    every = F.array(*[_standardized(s) for s in signals])
     named = both.withColumn("_z", F.transform("active", lambda i: F.get(every, i)))
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
     form = F.aggregate(F.zip_with("_z", "precision", lambda zi, row: zi * dot(row, F.col("_z"))), F.lit(0.0), lambda acc, v: acc + v)
-    score = F.sqrt(F.greatest(form, F.lit(0.0)) / F.greatest(F.size("active"), F.lit(1)))
-    return named.withColumn("context_score", F.coalesce(score, F.lit(UNKNOWN_SCORE))).drop(
+    score = F.coalesce(F.sqrt(F.greatest(form, F.lit(0.0)) / F.greatest(F.size("active"), F.lit(1))), F.lit(UNKNOWN_SCORE))
+    novel = F.col("unknown_signal") == 1
+    return named.withColumn("context_score", F.when(novel, F.greatest(score, F.lit(UNKNOWN_SCORE))).otherwise(score)).drop(
         "_z", "active", "precision", *profile.columns[1:])

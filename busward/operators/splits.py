@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from busward.functions.columns import digest_number, safe_divide
 from busward.operators.ordering import attach, number_by_hash, number_rows
@@ -296,14 +296,19 @@ def contaminated_baselines(baseline: DataFrame, pool: DataFrame, keys: Sequence[
 def reservoir(df: DataFrame, keys: Sequence[str], item: Sequence[str], capacity: int, seed: int) -> DataFrame:
     """Uniform sample of at most `capacity` rows per key: the smallest hashes.
 
-    The row_number filter is pushed below the shuffle, so a hot key sends at most `capacity` rows per
-    input partition.
+    Rows are first counted by the level of their hash (a 64th of a power of two), at most 2 048 levels of a
+    key. These counts fix each key's last level, and only the rows up to it are ranked: `capacity` and a few
+    per cent, whatever the key holds.
     """
-    from pyspark.sql import Window
-    digest = digest_number(seed, *[F.col(c).cast("string") for c in item])
+    keys = list(keys)
+    rows = df.withColumn("_d", digest_number(seed, *[F.col(c).cast("string") for c in item]))
+    rows = rows.withColumn("_level", F.floor(64 * F.log2(F.col("_d") + 1)))
+    upto = Window.partitionBy(*keys).orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = rows.groupBy(*keys, "_level").agg(F.count(F.lit(1)).alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    last = levels.where(F.col("_below") < capacity).groupBy(*keys).agg(F.max("_level").alias("_last"))
+    near = attach(rows, last, keys).where(F.col("_level") <= F.col("_last"))
     order = Window.partitionBy(*keys).orderBy("_d", *item)
-    return df.withColumn("_d", digest).withColumn("_r", F.row_number().over(order)).where(
-        F.col("_r") <= capacity).drop("_d", "_r")
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= capacity).select(*df.columns)
 
 
 def balanced_sample(df: DataFrame, key: str, position: str) -> DataFrame:

@@ -70,13 +70,15 @@ def three_way_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def three_way_scale_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The same per key, for groups that are small by construction, such as a reservoir."""
-    df = df.where(F.col(value).isNotNull())
-    quart = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.25)).alias("_q1"),
-                                  F.percentile(value, F.lit(0.75)).alias("_q3"))
+    """The same per key (keys, n, center, scale), by rank search over counted values: a key may hold any share of the rows."""
+    keys = list(keys)
+    held = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    middle = exact_quantiles(held, keys, value, {"_q1": 0.25, "center": 0.50, "_q3": 0.75}, "_times", "n")
+    off = attach(held, middle.select(*keys, "center"), keys).withColumn("_off", F.abs(F.col(value) - F.col("center")))
+    spread = exact_quantiles(off, keys, "_off", {"_mad": 0.5}, "_times")
     floor = F.greatest(F.lit(0.05), 1e-4 * F.greatest(F.abs(F.col("center")), F.lit(1.0)))
-    return median_mad(df, keys, value).join(quart, list(keys)).select(*keys, "n", "center", F.greatest(
-        F.col("mad_scale"), (F.col("_q3") - F.col("_q1")) / 1.349, floor).alias("scale"))
+    return attach(middle, spread, keys).select(*keys, "n", "center", F.greatest(
+        MAD_TO_SIGMA * F.col("_mad"), (F.col("_q3") - F.col("_q1")) / 1.349, floor).alias("scale"))
 
 
 def scale_floors(healthy: DataFrame, absolute: Mapping[str, float], fraction: float = 0.25) -> dict[str, float]:
