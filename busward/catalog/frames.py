@@ -202,27 +202,32 @@ def w4(t):
     return can_gate.parent_windows(t)
 
 
-cte(
-    iat20="""SELECT *, seq // 20 AS window_index, (ts_us - lag(ts_us) OVER
-    (PARTITION BY capture, seq // 20 ORDER BY seq)) / 1e6 AS iat FROM timed""",
-    timing_base="""SELECT capture, window_index, sum(is_attack) AS attack_frame_count, count(*) AS n_rows,
+def timing_ctes(prefix: str, table: str) -> None:
+    """Timing features of 20-frame windows of a table of timed frames, as <prefix>t20."""
+    cte(**{name: body.replace("@", prefix) for name, body in {
+        f"{prefix}iat20": f"""SELECT *, seq // 20 AS window_index, (ts_us - lag(ts_us) OVER
+    (PARTITION BY capture, seq // 20 ORDER BY seq)) / 1e6 AS iat FROM {table}""",
+        f"{prefix}timing_base": """SELECT capture, window_index, sum(is_attack) AS attack_frame_count, count(*) AS n_rows,
   greatest((arg_max(ts_us, seq) - arg_min(ts_us, seq)) / 1e6, 0e0) AS span,
   sum(CASE WHEN iat <= 0 THEN 1 ELSE 0 END) AS nonpositive, count(iat) FILTER (iat > 0) AS m,
   coalesce(avg(iat) FILTER (iat > 0), 0e0) AS mean_iat, coalesce(stddev_pop(iat) FILTER (iat > 0), 0e0) AS std_iat,
   coalesce(quantile_cont(iat, 0.5::DOUBLE) FILTER (iat > 0), 0e0) AS med,
   coalesce(quantile_cont(iat, 0.1::DOUBLE) FILTER (iat > 0), 0e0) AS p10,
   coalesce(quantile_cont(iat, 0.9::DOUBLE) FILTER (iat > 0), 0e0) AS p90
-  FROM iat20 GROUP BY 1, 2 HAVING count(*) = 20""",
-    timing_burst="""SELECT capture, window_index, sum(CASE WHEN iat > 0 AND iat <= greatest(0.25e0 * med, 1e-9)
-    THEN 1 ELSE 0 END) AS burst FROM iat20 JOIN timing_base USING (capture, window_index) GROUP BY 1, 2""",
-    t20="""SELECT *, ln(1e0 + span * 1e6) AS log_window_span_us, ln(1e0 + mean_iat * 1e6) AS log_iat_mean_us,
+  FROM @iat20 GROUP BY 1, 2 HAVING count(*) = 20""",
+        f"{prefix}timing_burst": """SELECT capture, window_index, sum(CASE WHEN iat > 0 AND iat <= greatest(0.25e0 * med, 1e-9)
+    THEN 1 ELSE 0 END) AS burst FROM @iat20 JOIN @timing_base USING (capture, window_index) GROUP BY 1, 2""",
+        f"{prefix}t20": """SELECT *, ln(1e0 + span * 1e6) AS log_window_span_us, ln(1e0 + mean_iat * 1e6) AS log_iat_mean_us,
   ln(1e0 + std_iat * 1e6) AS log_iat_std_us, ln(1e0 + med * 1e6) AS log_iat_median_us,
   ln(1e0 + p10 * 1e6) AS log_iat_p10_us, ln(1e0 + p90 * 1e6) AS log_iat_p90_us,
   ln(1e0 + 19e0 / greatest(span, 1e-6)) AS log_message_rate_hz, nonpositive / 19e0 AS iat_nonpositive_fraction,
   burst / greatest(m, 1)::DOUBLE AS iat_burst_fraction, window_index * 20 AS start_row,
   CASE WHEN attack_frame_count > 0 THEN 1 ELSE 0 END AS binary_target
-  FROM timing_base JOIN timing_burst USING (capture, window_index)""",
-)
+  FROM @timing_base JOIN @timing_burst USING (capture, window_index)""",
+    }.items()})
+
+
+timing_ctes("", "timed")
 
 
 @query("w5_timing_features", "capture window_index:i " + " ".join(f"{f}:d" for f in windows.TIMING), "SELECT * FROM t20")

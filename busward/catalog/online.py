@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from busward.catalog.frames import timing_ctes
 from busward.catalog.registry import query
 from busward.catalog.sources import folder
-from busward.operators import policy
+from busward.operators import policy, windows
 from busward.plans import replay
 from busward.streaming import online
 
@@ -20,12 +21,24 @@ def drained(t, df, order, keys, name, process, parts=3):
     return t.spark.read.parquet(out)
 
 
-@query("t13_streaming_windows", "capture window_index:i start_row:i end_row:i id_unique_count:i dominant_id_fraction:d id_change_rate:d attack_frame_count:i",
-       "SELECT * FROM w20")
-def t13(t):
+timing_ctes("frame_", "frames")
+# Frames carry times from 0 on; the recording begins with 2024.
+ORIGIN_US = 1_704_067_200_000_000
+ALL_FEATURES = (*windows.STRUCTURAL, *windows.PAYLOAD, *windows.TIMING)
+
+
+def streamed_windows(t, size):
+    """The windows of all frames, delivered in three shuffled parts that cut every window; the delay is the whole recording."""
     online.use_rocksdb(t.spark)
-    frames = t.frames().select("capture", F.floor(F.col("seq") / 20).alias("window_index"), "seq", "can_id", "is_attack")
-    return drained(t, frames, F.col("seq"), ["capture", "window_index"], "stream_frames", lambda s: online.stream_windows(s, 20))
+    frames = t.frames().select("capture", F.floor(F.col("seq") / size).alias("window_index"), *online.FRAME)
+    return drained(t, frames, F.col("seq"), ["capture", "window_index"], "stream_frames",
+                   lambda s: online.stream_windows(s, size, "365 days", origin_us=ORIGIN_US)).where(F.col("status") == "full")
+
+
+@query("t13_streaming_windows", "capture window_index:i start_row:i end_row:i attack_frame_count:i " + " ".join(f"{f}:d" for f in ALL_FEATURES),
+       "SELECT w.*, t.* EXCLUDE (capture, window_index, start_row, attack_frame_count, binary_target) FROM w20 w JOIN frame_t20 t ON w.capture = t.capture AND w.window_index = t.window_index")
+def t13(t):
+    return streamed_windows(t, 20)
 
 
 @query("t3_streaming_monitor", "run:i seq:i active:i trust:d late:i",

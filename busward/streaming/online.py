@@ -1,19 +1,26 @@
 """Online forms of the window and monitor operators on Structured Streaming.
 
-State per key is small by construction: fewer than one window of frames, or a handful of numbers.
+State per key is small by construction: fewer than one window of frames, or a handful of numbers; and it
+ends: windows by event time, monitors by the time they are idle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from busward.operators.windows import BYTES, PAYLOAD, STRUCTURAL, TIMING
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WINDOW_OUTPUT = ("capture string, window_index bigint, start_row bigint, end_row bigint, id_unique_count bigint, "
-                 "dominant_id_fraction double, id_change_rate double, attack_frame_count bigint")
+FRAME = ("seq", "can_id", *BYTES, "is_attack", "ts_us")
+FEATURES = (*STRUCTURAL, *PAYLOAD, *TIMING)
+# A window is `full`, or `ended` when event time has passed it with frames missing; features are null then.
+# They leave Python as one array, as a row of many columns costs more than the features.
+WINDOW_OUTPUT = "capture string, window_index bigint, status string, frames int, start_row bigint, end_row bigint, attack_frame_count bigint, features array<double>"
 MONITOR_OUTPUT = "run bigint, seq bigint, active int, trust double, late int"
 
 
@@ -24,46 +31,106 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB)
 
 
+def structural_values(ids: np.ndarray, data: np.ndarray) -> list[float]:
+    """STRUCTURAL of the frames of one window in order; data is frames x 8."""
+    n = len(ids)
+    counts = np.unique(ids, return_counts=True)[1]
+    shares = counts / n
+    distinct = len(np.unique(np.column_stack([ids, data]), axis=0))
+    same_id = ids[1:] == ids[:-1]
+    same = same_id & (data[1:] == data[:-1]).all(axis=1)
+    return [len(counts), float(-(shares * np.log2(shares)).sum()) + 0.0, counts.max() / n, distinct, distinct / n,
+            (~same_id).sum() / (n - 1), same.sum() / (n - 1)]
+
+
+def payload_values(data: np.ndarray) -> list[float]:
+    """PAYLOAD of the frames of one window in order: byte by byte, statistic by statistic."""
+    n = len(data)
+    steps = np.abs(np.diff(data, axis=0)).sum(axis=0) / (n - 1)
+    return np.stack([data.mean(axis=0), data.std(axis=0), data.min(axis=0), data.max(axis=0),
+                     (data == 0).mean(axis=0), (data == 255).mean(axis=0), steps]).T.ravel().tolist()
+
+
+def timing_values(ts_us: np.ndarray) -> list[float]:
+    """TIMING of the frames of one window in order; quantiles and moments are of the positive intervals."""
+    n = len(ts_us)
+    iat = np.diff(ts_us) / 1e6
+    positive = iat[iat > 0]
+    span = max(float(ts_us[-1] - ts_us[0]) / 1e6, 0.0)
+    mean, std = (positive.mean(), positive.std()) if len(positive) else (0.0, 0.0)
+    low, median, high = np.quantile(positive, [0.1, 0.5, 0.9]) if len(positive) else (0.0, 0.0, 0.0)
+    burst = (positive <= max(0.25 * median, 1e-9)).sum() / max(len(positive), 1)
+    return [*np.log1p(np.maximum([span, mean, std, median, low, high], 0.0) * 1e6).tolist(),
+            float(np.log1p((n - 1) / max(span, 1e-6))), (iat <= 0).sum() / (n - 1), float(burst)]
+
+
 class WindowCarry(StatefulProcessor):
-    """Keeps the frames of an unfinished window and emits its features once it is full.
+    """Keeps the frames of an unfinished window and emits all its features once it is full.
 
-    The key is (capture, window), so frames may arrive in any order and a long capture is spread.
+    The key is (capture, window), so frames may arrive in any order and a long capture is spread. The timing
+    quantiles need every interval, so the frames themselves, fewer than `size`, are the smallest exact state.
+    A frame that comes again counts once. When the window is full its frames go and a mark stays, so what
+    comes later opens no new window. When the watermark has passed the window's last event time by `wait_ms`,
+    the mark goes too, or the unfinished window ends with a row that says how many frames it had.
     """
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, wait_ms: int, origin_us: int = 0):
+        self.size, self.wait_ms, self.origin_us = size, wait_ms, origin_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", "seq bigint, can_id int, is_attack int")
+        self.handle = handle
+        # One value, so a key costs one read and one write: frames as packed longs (none when emitted), and when the window ends.
+        self.state = handle.getValueState("window", "frames binary, emitted boolean, until bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.pending.get())
-        fresh = [tuple(int(v) for v in r) for pdf in rows for r in zip(pdf["seq"], pdf["can_id"], pdf["is_attack"])]
-        frames = sorted({(int(s), int(i), int(a)) for s, i, a in [*held, *fresh]})
-        if len(frames) < self.size:
-            self.pending.put(frames)
+        fresh = [pdf[list(FRAME)].to_numpy(np.int64) for pdf in rows]
+        packed, emitted, until = self.state.get() or (b"", False, None)
+        if emitted:
             return
-        self.pending.clear()
-        ids = pd.Series([f[1] for f in frames])
-        yield pd.DataFrame({
-            "capture": [key[0]], "window_index": [int(key[1])], "start_row": [frames[0][0]], "end_row": [frames[-1][0]],
-            "id_unique_count": [int(ids.nunique())], "dominant_id_fraction": [float(ids.value_counts().max() / self.size)],
-            "id_change_rate": [float((ids != ids.shift()).iloc[1:].mean())],
-            "attack_frame_count": [sum(f[2] for f in frames)]})
+        frames = np.concatenate([np.frombuffer(packed, np.int64).reshape(-1, len(FRAME)), *fresh])
+        frames = frames[np.unique(frames[:, 0], return_index=True)[1]]
+        last = int((frames[:, -1].max() + self.origin_us) // 1000 + self.wait_ms)
+        if until is None:
+            self.handle.registerTimer(last)
+        full = len(frames) >= self.size
+        self.state.update((b"" if full else frames.tobytes(), full, last))
+        if full:
+            values = [*structural_values(frames[:, 1], frames[:, 2:10]), *payload_values(frames[:, 2:10]), *timing_values(frames[:, -1])]
+            yield self.row(key, "full", frames, values)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        packed, emitted, until = self.state.get()
+        if until > expiredTimerInfo.getExpiryTimeInMs():  # frames of a later time came after the timer was set
+            self.handle.registerTimer(until)
+            return
+        self.state.clear()
+        if not emitted:
+            frames = np.frombuffer(packed, np.int64).reshape(-1, len(FRAME))
+            yield self.row(key, "ended", frames, None)
+
+    @staticmethod
+    def row(key, status: str, frames: np.ndarray, values: Sequence | None) -> pd.DataFrame:
+        return pd.DataFrame({"capture": [key[0]], "window_index": [int(key[1])], "status": [status], "frames": [len(frames)],
+                             "start_row": [int(frames[0, 0])], "end_row": [int(frames[-1, 0])],
+                             "attack_frame_count": [int(frames[:, 10].sum())], "features": [values]})
 
     def close(self) -> None:
         pass
 
 
 class OnlineMonitor(StatefulProcessor):
-    """Hysteresis monitor and trust memory of one run; rows behind the last seen one are marked late."""
+    """Hysteresis monitor and trust memory of one run; rows behind the last seen one are marked late.
+
+    A run that is idle for `idle_ms` (a week) is forgotten.
+    """
 
-    def __init__(self, threshold: float, attack: int = 2, recovery: int = 3, memory: float = 0.65, initial: float = 0.80):
+    def __init__(self, threshold: float, attack: int = 2, recovery: int = 3, memory: float = 0.65, initial: float = 0.80,
+                 idle_ms: int = 7 * 24 * 3600 * 1000):
         self.threshold, self.attack, self.recovery = threshold, attack, recovery
-        self.memory, self.initial = memory, initial
+        self.memory, self.initial, self.idle_ms = memory, initial, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "last bigint, bad int, good int, active int, trust double")
+        self.state = handle.getValueState("state", "last bigint, bad int, good int, active int, trust double", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, bad, good, active, trust = self.state.get() if self.state.exists() else (-1, 0, 0, 0, self.initial)
@@ -90,16 +157,22 @@ class OnlineMonitor(StatefulProcessor):
         pass
 
 
-def stream_windows(frames: DataFrame, size: int) -> DataFrame:
-    """Full windows of a stream of frames (capture, window_index, seq, can_id, is_attack)."""
-    return frames.groupBy("capture", "window_index").transformWithStateInPandas(
-        statefulProcessor=WindowCarry(size), outputStructType=WINDOW_OUTPUT, outputMode="Append", timeMode="None")
+def stream_windows(frames: DataFrame, size: int, delay: str = "10 minutes", wait_ms: int = 60_000, origin_us: int = 0) -> DataFrame:
+    """Windows of a stream of frames (capture, window_index and FRAME), with all FEATURES.
+
+    Event time is origin_us + ts_us, in microseconds of the epoch, and must lie after its start. Frames later than `delay` behind the latest one may be dropped; a window ends
+    `wait_ms` after that.
+    """
+    timed = frames.select("capture", "window_index", *FRAME, F.timestamp_micros(F.col("ts_us") + origin_us).alias("event_time"))
+    out = timed.withWatermark("event_time", delay).groupBy("capture", "window_index").transformWithStateInPandas(
+        statefulProcessor=WindowCarry(size, wait_ms, origin_us), outputStructType=WINDOW_OUTPUT, outputMode="Append", timeMode="EventTime")
+    return out.select(*[c for c in out.columns if c != "features"], *[F.get("features", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
 
 
 def stream_monitor(rows: DataFrame, threshold: float) -> DataFrame:
     """Monitor state and trust of a stream of context rows (run, seq, score, fused, cap)."""
     return rows.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=OnlineMonitor(threshold), outputStructType=MONITOR_OUTPUT, outputMode="Append", timeMode="None")
+        statefulProcessor=OnlineMonitor(threshold), outputStructType=MONITOR_OUTPUT, outputMode="Append", timeMode="ProcessingTime")
 
 
 def run_to_table(stream: DataFrame, folder: str) -> str:
