@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from busward.llm.common import n_words, running, staged
+from busward.llm.common import n_words, running, staged, width
 
 WEIGHTS = (5, 2, 1)
+#: Slots that one row becomes at a time.
+RUN = 1 << 16
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: int = 2) -> DataFrame:
@@ -63,23 +65,28 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     placed = running(lines, "_one", [F.col("index")], "slots", "first", "lines")
     (total,) = placed.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()
     bits = max(1, int(total).bit_length())
-    slots = placed.filter("slots > 0").select("index", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("place"))
+    # In two steps, so that no row grows with its source: runs of slots are spread before each becomes rows.
+    end = F.col("first") + F.col("slots") - 1
+    runs = placed.filter("slots > 0").select("index", end.alias("end"), F.explode(F.sequence(F.col("first"), end, F.lit(RUN))).alias("low"))
+    runs = runs.repartition(width(runs.sparkSession), "low")
+    slots = runs.select("index", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + RUN - 1, F.col("end")))).alias("place"))
     return running(slots.select("index", _bits_reversed(F.col("place"), bits).alias("point")), "index", [F.col("point")], None, "rank", "slots")
 
 
-def mixed(docs: DataFrame, seed: str = "mix", block: int = 2048, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: int = 2) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, seed: str = "mix", block: int = 2048, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, limit: int = 2, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces): the documents with row, index, start and their source's size and target; and the mix.
 
-    docs has doc_id, source and size (words, a non-null long); its other columns are dropped. Documents of a
+    docs has doc_id, source and size (words, a non-null long); its other columns are
+    dropped but for those in `keep`. Documents of a
     source are shuffled by MD5 of seed and doc_id, equal ids by size. A piece is the part of a document in
     one block: row, epoch, point (sort by it), rank, from_word, n_words. Documents of size 0 have none. Null
     sources are one source, null ids are shuffled as an id of their own, and repeated rows count as rows.
     """
-    docs = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"))
+    docs = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), *keep)
     targets = staged(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit), "targets")
     indexed = docs.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
     shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = staged(running(indexed.withColumn("_order", shuffled), "index", [F.col("_order"), F.col("doc_id"), F.col("size")], "size", "start", "mix-order", "row").drop("_order"), "mix-rows")
+    rows = staged(running(indexed.withColumn("_order", shuffled), "index", [F.col(c) for c in ("_order", "doc_id", "size", *keep)], "size", "start", "mix-order", "row").drop("_order"), "mix-rows")
     epoch = rows.select("row", "index", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))).alias("epoch"), (F.col("start") + F.col("epoch") * F.col("source_size")).alias("low"))
     taken = epoch.withColumn("high", F.least(F.col("low") + F.col("size"), F.floor("target"))).filter("high > low")
     cut = taken.withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))

@@ -16,12 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from busward.llm.bits import as_flags, bit_set
 from busward.llm.common import running, staged
 from busward.llm.components import components
-from busward.llm.text import Vocabulary, mixed, shingle_set, words_of
+from busward.llm.text import Vocabulary, shingle_set, words_of
 
 _SEEDS = np.random.default_rng(20240229)
 _XOR = _SEEDS.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -40,8 +40,14 @@ def _set_hash(shingles: bytes) -> np.ndarray:
     return np.frombuffer(xxhash.xxh3_128_digest(shingles), np.int64)
 
 
+def row_hashes() -> tuple[Column, Column]:
+    """h1, h2: hashes of id and text, a null apart from an empty one. Rows equal in both are one row to this module."""
+    parts = [F.col("doc_id").cast("long"), "text", F.col("doc_id").isNull(), F.col("text").isNull()]
+    return F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")
+
+
 def sketches(docs: DataFrame, shingle_width: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (128-bit hash of the set), sig; sig is null for an empty set."""
+    """doc_id, h1, h2, n_shingles, c1, c2 (128-bit hash of the set), sig; sig is null for an empty set."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Vocabulary()
@@ -51,42 +57,33 @@ def sketches(docs: DataFrame, shingle_width: int, coordinates: int) -> DataFrame
                 own = shingle_set(words.hashes(words_of(text)), shingle_width) if text else np.zeros(0, np.uint64)
                 rows.append((len(own), *_set_hash(own.tobytes()), signature(own, coordinates) if len(own) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "sig"])
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy())
+            yield out.assign(doc_id=pdf["doc_id"].to_numpy(), h1=pdf["h1"].to_numpy(), h2=pdf["h2"].to_numpy())
 
-    schema = "n_shingles long, c1 long, c2 long, sig array<int>, doc_id string"
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(made, schema)
+    schema = "n_shingles long, c1 long, c2 long, sig array<int>, doc_id string, h1 long, h2 long"
+    rows = docs.select(F.col("doc_id").cast("string"), "text", *row_hashes()).mapInPandas(made, schema)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def shingle_sets(docs: DataFrame, shingle_width: int, wanted: bytes) -> DataFrame:
-    """id, own, c1, c2: the sorted distinct shingle hashes of a document as bytes, and their hash.
+def shingle_sets(docs: DataFrame, shingle_width: int, wanted: bytes, bits: int) -> DataFrame:
+    """own, c1, c2: the sorted distinct shingle hashes of a document as bytes, and their hash.
 
-    Documents are left out where the bit of their mixed id is not set in `wanted`; so few texts are read
-    twice in Python, and none is shuffled.
+    Documents are left out where the bit of their h1 is not set in `wanted`; so few texts are read twice in
+    Python, and none is shuffled.
     """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, flags = Vocabulary(), as_flags(wanted)
         for pdf in batches:
-            pdf = pdf[flags[mixed(pdf["id"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)]]
+            pdf = pdf[flags[pdf["h1"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)]]
             own = [shingle_set(words.hashes(words_of(t or "")), shingle_width).tobytes() for t in pdf["text"]]
             hashes = np.array([_set_hash(x) for x in own], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "own": own, "c1": hashes[:, 0], "c2": hashes[:, 1]})
-
-    return docs.filter("id IS NOT NULL").select("id", "text").mapInPandas(made, "id long, own binary, c1 long, c2 long")
-
-
-def id_bits(ids: DataFrame) -> bytes:
-    """The bit set of ids, 2 MB: filled by some hundred million ids, after which it lets all through."""
+            yield pd.DataFrame({"own": own, "c1": hashes[:, 0], "c2": hashes[:, 1]})
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"h": mixed(pdf["id"].to_numpy(np.int64).view(np.uint64)).view(np.int64)})
-
-    return bit_set(ids.mapInPandas(hashed, "h long"), F.col("h"), ID_BITS)
+    return docs.select(row_hashes()[0], "text").mapInPandas(made, "own binary, c1 long, c2 long")
 
 
-ID_BITS = 24
+#: The bit set has some 16 bits for each posted document, up to 8 MB; when it fills it lets more through.
+MOST_BITS = 26
 
 
 def prefixes(reps: DataFrame, matches: int) -> DataFrame:
@@ -185,11 +182,13 @@ def _compared(one: list, two: list | None, percent: int, matches: int) -> list[t
 
 
 def linked_components(reps: DataFrame, docs: DataFrame, shingle_width: int, percent: int, matches: int, block_bytes: int) -> DataFrame:
-    """node, root for the representatives that have a link. reps: id, n, c1, c2, sig. docs: id, text of at least these."""
+    """node, root for the representatives that have a link. reps: id, n, c1, c2, sig, h1. docs: doc_id, text of at least these."""
     posts = staged(prefixes(reps, matches), "prefixes")
-    # Texts that no list holds, or other than the one that stands for an id, drop out by the hash of their set.
-    alive = posts.select("id").distinct().join(reps.select("id", "c1", "c2", "sig"), "id")
-    sets = staged(shingle_sets(docs, shingle_width, id_bits(posts.select("id").distinct())).join(alive, ["id", "c1", "c2"]).dropDuplicates(["id"]), "sets")
+    # Texts that no list holds drop out by the hash of their set.
+    alive = staged(posts.select("id").distinct().join(reps.select("id", "c1", "c2", "sig", "h1"), "id"), "posted")
+    bits = min(MOST_BITS, max(16, alive.count().bit_length() + 4))
+    read = shingle_sets(docs, shingle_width, bit_set(alive, F.col("h1"), bits), bits)
+    sets = staged(read.join(alive.drop("h1"), ["c1", "c2"]).dropDuplicates(["id"]), "sets")
     lead = posts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     similar = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     star = posts.select("key", "id", "n").join(lead, "key").filter((F.col("id") != F.col("lead.id")) & similar)
@@ -203,26 +202,57 @@ def linked_components(reps: DataFrame, docs: DataFrame, shingle_width: int, perc
     return components(links.union(block_links(apart, sets, percent, matches, block_bytes)))
 
 
-def near_duplicates(docs: DataFrame, shingle_width: int = 5, percent: int = 75, coordinates: int = 64, matches: int = 30, block_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+def classes_and_roots(docs: DataFrame, shingle_width: int, percent: int, coordinates: int, matches: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(sketch, classes): one row for each row of docs; and c1, c2, id, first, root for each distinct non-empty set.
+
+    id numbers the sets by their smallest doc_id (null last), so the smallest number of a component, its root,
+    has the smallest doc_id; first is the row that stands for the set. Several sets may have one smallest doc_id.
+    """
+    sketch = staged(sketches(docs, shingle_width, coordinates), "sketches")
+    known = sketch.filter("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")).alias("first")
+    sets = known.groupBy("c1", "c2").agg(first).withColumn("one", F.lit(0))
+    order = [F.col("first.unnamed"), F.col("first.doc_id"), F.col("c1"), F.col("c2")]
+    classes = staged(running(sets, "one", order, None, "id", "set-order").drop("one"), "classes")
+    own = classes.select("id", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
+    reps = known.join(own, ["h1", "h2"]).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "c1", "c2", "sig", "h1")
+    roots = linked_components(staged(reps, "reps"), docs, shingle_width, percent, matches, block_bytes)
+    rooted = classes.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    return sketch, staged(rooted, "rooted")
+
+
+SETTINGS = {"shingle_width": 5, "percent": 75, "coordinates": 64, "matches": 30, "block_bytes": 1 << 20}
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text). settings replace those of SETTINGS.
 
     Two documents are linked if their sets of `shingle_width`-word shingles have a Jaccard index of percent / 100 or
     more; a text with fewer words is one shingle. Null, empty and blank texts have no shingle and no link.
     component_id is the smallest id reachable, kept marks it. Equal sets are one class, so copies cost one
     row each. A pair at the limit has 48 of 64 matches on average and is missed below 30, about four times
-    in ten million. Repeated rows are alike. Ids should tell documents apart: where rows of one id have different
-    texts, one set stands for the id in links, and further ones link with it only. Rows without an id get no
-    component and are kept.
+    in ten million. Repeated rows are alike. Where rows of one id have different texts, each is linked by its own
+    text. Rows without an id get no component and are kept; links may lead over them.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = staged(sketches(docs, shingle_width, coordinates), "sketches")
-    known = sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = staged(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "classes")
-    chosen = classes.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("own"))
-    reps = known.join(chosen, F.col("doc_id") == F.col("id")).filter((F.col("c1") == F.col("own.c1")) & (F.col("c2") == F.col("own.c2")))
-    reps = reps.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "c1", "c2", "sig")
-    roots = linked_components(staged(reps, "reps"), docs.withColumnRenamed("doc_id", "id"), shingle_width, percent, matches, block_bytes)
-    at = classes.join(roots, F.col("id") == F.col("node"), "left").select("c1", "c2", F.coalesce("root", "id").alias("component_id"))
+    sketch, classes = classes_and_roots(docs, **(SETTINGS | settings))
+    names = classes.select(F.col("id").alias("root"), F.col("first.doc_id").alias("component_id"))
+    at = classes.select("c1", "c2", "root").join(names, "root").drop("root")
     out = sketch.select("doc_id", "n_shingles", "c1", "c2").join(at, ["c1", "c2"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """All columns of docs; one row of each group stays, that of the smallest doc_id.
+
+    Every row counts by its own id and text, whether ids repeat or are null; rows equal in both are one row.
+    Rows without a shingle have no group and stay.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch, classes = classes_and_roots(texts, **(SETTINGS | settings))
+    stays = classes.filter("id = root").select("first.h1", "first.h2").union(sketch.filter("n_shingles = 0").select("h1", "h2")).distinct()
+    h1, h2 = row_hashes()
+    hashed = docs.withColumns({"_h1": h1, "_h2": h2})
+    kept = hashed.join(stays, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left_semi")
+    return kept.dropDuplicates(["_h1", "_h2"]).select(*docs.columns)
