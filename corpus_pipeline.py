@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from busward.llm.common import staged
 from busward.llm.decontaminate import clean
 from busward.llm.mixing import mixed, sized
-from busward.llm.near import near_duplicates
+from busward.llm.near import without_near_duplicates
 from busward.llm.quality import judge
 from busward.llm.shards import sharded, sized_documents
 
@@ -27,11 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group, and those without an id; repeated rows of one id stay one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    one = named.join(kept, named["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group, that of the smallest id. Rows of one id with different texts are documents of their own,
+    also those without an id; rows equal in id and text are one."""
+    return without_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +38,19 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes a block in which it begins: not at all, once or twice."""
-    whole = F.concat(F.lit("row:"), F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), whole))
-    rows, pieces = mixed(sized(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).drop("text"))
+    """Each row as often as the mix takes a block in which it begins: not at all, once or twice.
+
+    A row is told by all its columns, so rows that share an id count apart; of rows equal in all columns one
+    comes out as often as all of them are taken.
+    """
+    parts = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    key = F.concat_ws(":", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("second"), *parts)))
+    keyed = docs.withColumn("_whole", key)
+    named = keyed.select(F.coalesce(F.col("doc_id").cast("string"), F.col("_whole")).alias("doc_id"), "source", "text", "_whole")
+    rows, pieces = mixed(sized(named).drop("text"), keep=("_whole",))
     begun = pieces.filter("from_word = 0").groupBy("row").agg(F.count("*").alias("n"))
-    times = rows.join(begun, "row").groupBy(F.col("doc_id").alias("_taken")).agg(F.sum("n").cast("int").alias("_times"))
-    # Rows without an id that are equal in all columns share a key: one of them stands for all.
-    single = keyed.filter("doc_id IS NOT NULL").unionByName(keyed.filter("doc_id IS NULL").dropDuplicates(["_key"]))
-    taken = single.join(times, single["_key"] == times["_taken"])
+    times = rows.join(begun, "row").groupBy(F.col("_whole").alias("_taken")).agg(F.sum("n").cast("int").alias("_times"))
+    taken = keyed.dropDuplicates(["_whole"]).join(times, F.col("_whole") == F.col("_taken"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
