@@ -8,47 +8,59 @@ from busward.catalog.context import alarm_union, perturbed_runs, run_metrics
 from busward.catalog.frames import rates_sql
 from busward.catalog.registry import cte, query
 from busward.catalog.statistics import clustered
-from busward.operators import inference, metrics, policy, quality, state, stats
-from busward.plans import replay
+from busward.operators import inference, metrics, policy, quality, resampling, splits, state, stats
+from busward.operators.ordering import attach
+from busward.plans import can_gate, replay
 from busward.plans.replay import UNIT
 
 _num = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 PROPOSED = "proposed_persistent_without_vehicle_state"
 BASELINES = ("context_only_without_vehicle_state", "frozen_w100_persistent_without_vehicle_state", "legacy_weighted_threshold")
-B, P = 200, 200
+B = inference.BOOTSTRAP_REPLICATES
 
 
-def boot_ctes(name: str, units: str, key: str, unit: str, value: str, replicates: int) -> None:
-    """Bootstrap of `units` (a SELECT) by one key, in the same hash draws; groups are joined by number."""
+def _scrambled(table: str) -> str:
+    """x of a table through the rounds of resampling.draw_numbers."""
+    for constant in resampling.ROUNDS:
+        p = resampling.PRIME
+        table = f"""(SELECT * EXCLUDE (y, q), q * q % {p} * y % {p} AS x FROM (SELECT *, y * y % {p} AS q FROM (SELECT * EXCLUDE (x), (x + {constant}) % {p} AS y FROM {table})))"""
+    return table
+
+
+def boot_ctes(name: str, units: str, key: str, unit: str, value: str) -> None:
+    """Bootstrap of `units` (a SELECT) by one key, from the same draws, for keys of one block; groups are joined by number."""
+    p = resampling.PRIME
+    replicate = _scrambled(f"(SELECT b, (17 + b) % {p} AS x FROM range({B}) r(b))")
     cte(**{
         f"{name}_u": f"SELECT {key}, {_num.format(f'{key}::VARCHAR')} AS cid, {unit} AS unit, {value} AS v FROM ({units}) WHERE {value} IS NOT NULL",
         f"{name}_n": f"""SELECT cid, v, row_number() OVER (PARTITION BY cid ORDER BY {_num.format("'17|unit|' || unit")}, unit) - 1 AS slot,
   count(*) OVER (PARTITION BY cid) AS n FROM {name}_u""",
+        # A draw's number is the same for all keys, so it is made once for the most units of any.
+        f"{name}_d": f"SELECT b, d, x FROM {_scrambled(f'(SELECT b, d, (x + d) % {p} AS x FROM {replicate}, range((SELECT max(n) FROM {name}_n)) u(d))')}",
         f"{name}_l": f"SELECT cid, list(v ORDER BY slot) AS vals FROM {name}_n GROUP BY cid",
-        f"{name}_m": f"""SELECT cid, b, list_avg(list_transform(range(len(vals)), lambda s:
-    vals[({_num.format("'17|' || b || '|' || s")} % len(vals)) + 1])) AS m FROM {name}_l, range({replicates}) r(b)""",
+        f"{name}_m": f"SELECT cid, b, avg(vals[x % len(vals) + 1]) AS m FROM {name}_l JOIN {name}_d ON d < len(vals) GROUP BY cid, b",
         f"{name}_ci": f"""SELECT {key}, n_units, mean, CASE WHEN n_units > 1 THEN lo END AS ci_low, CASE WHEN n_units > 1 THEN hi END AS ci_high FROM
   (SELECT {key}, cid, count(v) AS n_units, avg(v) AS mean FROM {name}_u GROUP BY {key}, cid) JOIN (SELECT cid, quantile_cont(m, 0.025::DOUBLE) AS lo,
     quantile_cont(m, 0.975::DOUBLE) AS hi FROM {name}_m GROUP BY cid) USING (cid)""",
     })
 
 
-boot_ctes("boot_f1", "SELECT density_scenario || '/' || method AS cell, run, f1 FROM run_metrics", "cell", "run", "f1", B)
+boot_ctes("boot_f1", "SELECT density_scenario || '/' || method AS cell, run, f1 FROM run_metrics", "cell", "run", "f1")
 
 
 @query("i1_bootstrap_interval", "density_scenario method n_units:i mean:d ci_low:d ci_high:d", 
        "SELECT *, split_part(cell, '/', 1) AS density_scenario, split_part(cell, '/', 2) AS method FROM boot_f1_ci")
 def i1(t):
-    return inference.bootstrap_interval(run_metrics(t), ["density_scenario", "method"], "run", "f1", B)
+    return inference.bootstrap_interval(run_metrics(t), ["density_scenario", "method"], "run", "f1")
 
 
-boot_ctes("boot_cl", "SELECT binary_target, cluster, avg(multi_instant) AS rate FROM clustered GROUP BY 1, 2", "binary_target", "cluster", "rate", B)
+boot_ctes("boot_cl", "SELECT binary_target, cluster, avg(multi_instant) AS rate FROM clustered GROUP BY 1, 2", "binary_target", "cluster", "rate")
 
 
 @query("i2_cluster_bootstrap", "binary_target:i n_units:i mean:d ci_low:d ci_high:d", "SELECT * FROM boot_cl_ci")
 def i2(t):
     clusters = clustered(t).groupBy("binary_target", "cluster").agg(F.avg("multi_instant").alias("rate"))
-    return inference.bootstrap_interval(clusters, ["binary_target"], "cluster", "rate", B)
+    return inference.bootstrap_interval(clusters, ["binary_target"], "cluster", "rate")
 
 
 METRICS = ("f1", "recall", "false_positive_rate")
@@ -70,32 +82,18 @@ def j10(t):
     return pairs(t)
 
 
-cte(
-    cells="SELECT density_scenario || '/' || metric || '/' || baseline_method AS cell, run, difference FROM pairs",
-    flips=f"""SELECT cell, b, avg(CASE WHEN {_num.format("'19|' || b || '|' || run")} % 2 = 1 THEN -difference ELSE difference END) AS m
-  FROM cells, range({P}) r(b) GROUP BY 1, 2""",
-    flip_p=f"""SELECT split_part(cell, '/', 1) AS density_scenario, split_part(cell, '/', 2) AS metric, split_part(cell, '/', 3) AS baseline_method, n_units, observed,
-  CASE WHEN largest = 0 THEN 1e0 ELSE (count(*) FILTER (abs(m) >= abs(observed) - 1e-12) + 1) / {P + 1}e0 END AS p_two_sided,
-  (count(*) FILTER (m >= observed - 1e-12) + 1) / {P + 1}e0 AS p_one_sided FROM flips JOIN (SELECT cell, count(*) AS n_units, avg(difference) AS observed,
-    max(abs(difference)) AS largest FROM cells GROUP BY 1) USING (cell) GROUP BY cell, n_units, observed, largest""",
-    holmed="""SELECT *, max(least(1e0, (m - i) * p_two_sided)) OVER (PARTITION BY density_scenario, metric ORDER BY p_two_sided, baseline_method
-    ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, row_number() OVER (PARTITION BY density_scenario, metric ORDER BY p_two_sided, baseline_method) - 1 AS i,
-    count(*) OVER (PARTITION BY density_scenario, metric) AS m FROM flip_p)""",
-)
-
-
 def flip_p(t):
     return t.staged("flip_p", lambda: inference.sign_flip(
-        pairs(t), ["density_scenario", "metric", "baseline_method"], "run", "difference", P))
+        pairs(t), ["density_scenario", "metric", "baseline_method"], "run", "difference"))
 
 
-@query("i3_sign_flip", "density_scenario metric baseline_method n_units:i observed:d p_two_sided:d p_one_sided:d", "SELECT * FROM flip_p")
+@query("i3_sign_flip", "density_scenario metric baseline_method n_units:i observed:d p_two_sided:d p_one_sided:d", None)
 def i3(t):
     return flip_p(t)
 
 
 @query("i4_holm", "density_scenario metric baseline_method p_two_sided:d p_holm:d significant:i",
-       "SELECT *, CASE WHEN p_holm < 0.05e0 THEN 1 ELSE 0 END AS significant FROM holmed")
+       None)
 def i4(t):
     return inference.holm(flip_p(t), ["density_scenario", "metric"], "p_two_sided", "baseline_method")
 
@@ -108,25 +106,18 @@ def i5(t):
     return inference.summary_interval(stats.run_summary(run_metrics(t), ["density_scenario", "method"], ["f1"]), "f1_mean", "f1_std", "runs")
 
 
-boot_ctes("boot_diff", "SELECT cell, run, difference FROM cells", "cell", "run", "difference", B)
-
-
 @query("i6_paired_comparison", "density_scenario metric baseline_method n_pairs:i proposed_mean:d baseline_mean:d mean_difference:d benefit_effect:d "
        "standardized_effect:d ci_low:d ci_high:d p_two_sided:d",
-       """SELECT e.*, CASE WHEN sd > 1e-12 THEN benefit_effect / sd WHEN benefit_effect <= 0 THEN 0e0 END AS standardized_effect, ci_low, ci_high, p_two_sided FROM (SELECT *,
-    CASE WHEN metric = 'false_positive_rate' THEN -mean_difference ELSE mean_difference END AS benefit_effect FROM (SELECT density_scenario, metric, baseline_method,
-      count(*) AS n_pairs, avg(proposed) AS proposed_mean, avg(baseline) AS baseline_mean, avg(difference) AS mean_difference, stddev_samp(difference) AS sd
-      FROM pairs GROUP BY 1, 2, 3)) e JOIN boot_diff_ci c ON c.cell = e.density_scenario || '/' || e.metric || '/' || e.baseline_method
-    JOIN flip_p f ON f.density_scenario = e.density_scenario AND f.metric = e.metric AND f.baseline_method = e.baseline_method""")
+       None)
 def i6(t):
     keys = ["density_scenario", "metric", "baseline_method"]
-    interval = inference.bootstrap_interval(pairs(t), keys, "run", "difference", B).select(*keys, "ci_low", "ci_high")
+    interval = inference.bootstrap_interval(pairs(t), keys, "run", "difference").select(*keys, "ci_low", "ci_high")
     flips = flip_p(t).select(*keys, "p_two_sided")
     return inference.paired_effects(pairs(t), ["density_scenario"]).join(interval, keys).join(flips, keys)
 
 
 boot_ctes("boot_loss", "SELECT target || '/' || density_scenario AS cell, run, f1_loss FROM perturbed_runs WHERE scenario = 'missing_full_session'",
-          "cell", "run", "f1_loss", B)
+          "cell", "run", "f1_loss")
 cte(
     loss_checks="""SELECT 'H4' AS hypothesis, 'missing_full_session' AS scenario, split_part(cell, '/', 1) AS target, split_part(cell, '/', 2) AS density_scenario,
   ci_high AS observed_value, CASE WHEN ci_high <= 0.1e0 THEN 1 ELSE 0 END AS passed FROM boot_loss_ci WHERE NOT starts_with(cell, 'can/')
@@ -139,7 +130,7 @@ cte(
 def loss_checks(t):
     runs = perturbed_runs(t)
     missing = runs.where(F.col("scenario") == "missing_full_session")
-    h4 = inference.bootstrap_interval(missing, ["scenario", "target", "density_scenario"], "run", "f1_loss", B).where(
+    h4 = inference.bootstrap_interval(missing, ["scenario", "target", "density_scenario"], "run", "f1_loss").where(
         F.col("target") != "can").select(F.lit("H4").alias("hypothesis"), "scenario", "target", "density_scenario",
                                          F.col("ci_high").alias("observed_value"),
                                          F.coalesce((F.col("ci_high") <= 0.10).cast("int"), F.lit(0)).alias("passed"))
@@ -176,12 +167,7 @@ def i8(t):
         "missing_units": (F.col("runs") - F.col("units"), "==", 0)}, "all_criteria")
 
 
-@query("i9_hypotheses", "hypothesis tests:i passed:i assessment",
-       """SELECT hypothesis, tests, passed, CASE WHEN tests = passed THEN 'supported' ELSE 'not_supported' END AS assessment FROM (
-    SELECT 'H1' AS hypothesis, count(*) AS tests, count(*) FILTER (p_holm < 0.05e0 AND observed > 0) AS passed FROM holmed WHERE metric = 'f1'
-    UNION ALL SELECT 'H2', count(*), count(*) FILTER (f >= 0.9e0 AND r <= 0.05e0) FROM (SELECT avg(f1) AS f, avg(false_positive_rate) AS r FROM run_metrics
-      WHERE method = 'proposed_persistent_without_vehicle_state' GROUP BY density_scenario)
-    UNION ALL SELECT h, count(*), sum(passed) FROM (SELECT hypothesis || '' AS h, passed FROM loss_checks) GROUP BY 1)""")
+@query("i9_hypotheses", "hypothesis tests:i passed:i assessment", None)
 def i9(t):
     n = F.count(F.lit(1)).alias("tests")
     h1 = inference.holm(flip_p(t), ["density_scenario", "metric"], "p_two_sided", "baseline_method").where(F.col("metric") == "f1").agg(
@@ -190,10 +176,25 @@ def i9(t):
     h2 = primary.agg(n, F.sum(((F.col("f1_mean") >= 0.9) & (F.col("false_positive_rate_mean") <= 0.05)).cast("int")).alias("passed")) \
         .withColumn("hypothesis", F.lit("H2"))
     rest = loss_checks(t).groupBy("hypothesis").agg(n, F.sum("passed").alias("passed"))
-    return h1.unionByName(h2).unionByName(rest).withColumn(
+    h3 = sparse_recall(t).select(F.lit("H3").alias("hypothesis"), F.lit(1).cast("bigint").alias("tests"), F.col("passed").cast("bigint").alias("passed"))
+    return h1.unionByName(h2).unionByName(rest).unionByName(h3).withColumn(
         "assessment", F.when(F.col("tests") == F.col("passed"), "supported").otherwise("not_supported"))
 
 
+def sparse_recall(t):
+    """H3, descriptive: the chosen memory rule against single windows at one to five attack frames of a hundred."""
+    chosen = chosen_rule(t).where(F.col("selected") == 1).select(
+        "rule", F.col("low_can_recall_mean").alias("selected_recall"), F.col("overall_fpr_mean").alias("selected_fpr"))
+    sparse = can_gate.multiscale(t).where(F.col("attack_frame_count").between(1, 5)).agg(F.avg("w100_instant").alias("window_recall"))
+    better = (F.col("selected_recall") > F.col("window_recall")) & (F.col("selected_fpr") <= LIMIT)
+    return attach(chosen, sparse, []).withColumn("passed", F.coalesce(better.cast("int"), F.lit(0)))
+
+
+@query("i9_sparse_recall", "rule selected_recall:d selected_fpr:d window_recall:d passed:i", "SELECT * FROM sparse_recall")
+def i9_sparse(t):
+    return sparse_recall(t)
+
+
 @query("i10_run_table", "unit_id method rows:i",
        """SELECT 'seed=' || run || '|source=' || source_file || '|density=' || density_scenario AS unit_id, method, count(*) AS rows FROM run_metrics
   GROUP BY 1, 2""")
@@ -212,7 +213,8 @@ def i10_duplicates(t):
 _rules = list(state.MEMORY_RULES)
 cte(
     ruled="SELECT d.*, " + ", ".join(f"greatest(m.can__{r}, no_state) AS policy__{r}" for r in _rules) + " FROM decisions d JOIN memory m USING (run, seq)",
-    ruled_dev="SELECT * FROM ruled",
+    dev_runs="SELECT DISTINCT run FROM context ORDER BY run LIMIT 3",
+    ruled_dev="SELECT * FROM ruled JOIN dev_runs USING (run)",
     rule_runs="SELECT *, method AS rule FROM (" + rates_sql(alarm_union({r: f"policy__{r}" for r in _rules}, "run, density_scenario", "ruled_dev")) + ")",
     rule_phases="SELECT *, method AS rule FROM (" + rates_sql(alarm_union({r: f"policy__{r}" for r in _rules}, "run, density_scenario, phase", "ruled_dev")) + ")",
     rule_summary="""SELECT rule, count(*) AS runs, avg(f1) AS f1_mean, avg(false_positive_rate) AS overall_fpr_mean, any_value(low) AS low_can_recall_mean,
@@ -221,9 +223,16 @@ cte(
 )
 
 
+def development(t, rows):
+    """Rules and baselines are chosen on the development runs only; the others confirm the choice."""
+    runs = splits.run_partitions(t.context(), "run", 3, 2).where(F.col("partition") == "development").select("run")
+    return rows.join(runs, "run")
+
+
 def rule_tables(t):
     rows = t.staged("ruled", lambda: state.memory_rules(replay.decisions(t), ["run"], "seq", "multi_instant").withColumns({
         f"policy__{r}": F.greatest(F.col(f"can__{r}"), F.col("context_only_no_state_alarm")) for r in _rules}))
+    rows = development(t, rows)
     methods = {r: f"policy__{r}" for r in _rules}
     runs = metrics.with_rates(metrics.confusion(rows, ["run", "density_scenario"], "ground_truth_attack", methods))
     phases = metrics.with_rates(metrics.confusion(rows, ["run", "density_scenario", "phase"], "ground_truth_attack", methods))
@@ -242,24 +251,37 @@ def rule_summary(t):
 LIMIT = 0.05
 
 
-@query("e27_rule_selection", "rule runs:i f1_mean:d overall_fpr_mean:d low_can_recall_mean:d healthy_fpr_macro:d eligible:i selected:i",
-       f"""SELECT *, CASE WHEN rule = coalesce((SELECT rule FROM rule_summary WHERE overall_fpr_mean <= {LIMIT}e0 AND healthy_fpr_macro <= {LIMIT}e0
+cte(chosen_all=f"""SELECT *, CASE WHEN rule = coalesce((SELECT rule FROM rule_summary WHERE overall_fpr_mean <= {LIMIT}e0 AND healthy_fpr_macro <= {LIMIT}e0
     AND rule <> 'instant_advisory_reference' ORDER BY round(low_can_recall_mean, 9) DESC, round(f1_mean, 9) DESC, round(overall_fpr_mean, 9), rule LIMIT 1), 'strict_consecutive_2') THEN 1 ELSE 0 END AS selected,
-  CASE WHEN overall_fpr_mean <= {LIMIT}e0 AND healthy_fpr_macro <= {LIMIT}e0 AND rule <> 'instant_advisory_reference' THEN 1 ELSE 0 END AS eligible FROM rule_summary""")
+  CASE WHEN overall_fpr_mean <= {LIMIT}e0 AND healthy_fpr_macro <= {LIMIT}e0 AND rule <> 'instant_advisory_reference' THEN 1 ELSE 0 END AS eligible FROM rule_summary""",
+    chosen_rule="SELECT * FROM chosen_all WHERE selected = 1")
+
+
+cte(sparse_recall=f"""SELECT rule, low_can_recall_mean AS selected_recall, overall_fpr_mean AS selected_fpr, w AS window_recall,
+  CASE WHEN low_can_recall_mean > w AND overall_fpr_mean <= 0.05e0 THEN 1 ELSE 0 END AS passed
+  FROM chosen_rule, (SELECT avg(w100_instant) AS w FROM parents WHERE attack_frame_count BETWEEN 1 AND 5)""")
+
+
+@query("e27_rule_selection", "rule runs:i f1_mean:d overall_fpr_mean:d low_can_recall_mean:d healthy_fpr_macro:d eligible:i selected:i",
+       "SELECT * FROM chosen_all")
 def e27(t):
+    return chosen_rule(t)
+
+
+def chosen_rule(t):
     ok = (F.col("overall_fpr_mean") <= LIMIT) & (F.col("healthy_fpr_macro") <= LIMIT) & (F.col("rule") != "instant_advisory_reference")
     order = [F.round("low_can_recall_mean", 9).desc(), F.round("f1_mean", 9).desc(), F.round("overall_fpr_mean", 9).asc(), F.col("rule")]
     return inference.select_eligible(rule_summary(t), ok, order, "rule", "strict_consecutive_2")
 
 
-cte(base_summary="SELECT method, avg(f1) AS f1_mean, avg(false_positive_rate) AS fpr_mean FROM run_metrics GROUP BY 1")
+cte(base_summary="SELECT method, avg(f1) AS f1_mean, avg(false_positive_rate) AS fpr_mean FROM run_metrics JOIN dev_runs USING (run) GROUP BY 1")
 
 
 @query("e28_baseline_selection", "method f1_mean:d fpr_mean:d eligible:i selected:i",
        f"""SELECT *, CASE WHEN fpr_mean <= {LIMIT}e0 THEN 1 ELSE 0 END AS eligible, CASE WHEN method = (SELECT method FROM base_summary WHERE fpr_mean <= {LIMIT}e0
   ORDER BY round(f1_mean, 9) DESC, method LIMIT 1) THEN 1 ELSE 0 END AS selected FROM base_summary""")
 def e28(t):
-    table = run_metrics(t).groupBy("method").agg(
+    table = development(t, run_metrics(t)).groupBy("method").agg(
         F.avg("f1").alias("f1_mean"), F.avg("false_positive_rate").alias("fpr_mean"))
     return inference.select_eligible(table, F.col("fpr_mean") <= LIMIT, [F.round("f1_mean", 9).desc(), F.col("method")], "method")
 

@@ -170,6 +170,7 @@ def p13(t):
 
 
 _BAND_SQL = "CASE WHEN binary_target = 0 THEN 'benign' WHEN attack_frame_count <= 5 THEN 'low_1_5' WHEN attack_frame_count <= 20 THEN 'medium_6_20' ELSE 'high_21_100' END"
+RUNS = ["r1", "r2", "r3"]
 NEED = {"low_1_5": 2, "medium_6_20": 2, "high_21_100": 2, "representative_all": 3}
 _pool_digest = _num.format("md5('13|' || capture || '|' || parent_window_index)")
 cte(
@@ -193,7 +194,17 @@ def splits_band():
        """SELECT capture, parent_window_index, band AS drawn_for, ['r1', 'r2', 'r3'][slot + 1] AS run FROM alloc1 WHERE slot < 3
   UNION ALL SELECT capture, parent_window_index, 'representative_all', ['r1', 'r2', 'r3'][slot2 + 1] FROM alloc2 WHERE slot2 < 3""")
 def p15(t):
-    return splits.disjoint_allocation(attack_pool(t), ["r1", "r2", "r3"], ["capture"], "parent_window_index", NEED, "band", 13)
+    return splits.disjoint_allocation(attack_pool(t), RUNS, ["capture"], "parent_window_index", NEED, "band", 13)
+
+
+@query("p15_shortages", "capture drawn_for run asked:i got:i",
+       f"""SELECT a.capture, a.drawn_for, a.run, asked, coalesce(got, 0) AS got FROM (SELECT capture, drawn_for, asked, run FROM (SELECT DISTINCT capture FROM attack_pool),
+    (VALUES {", ".join(f"('{b}', {n})" for b, n in NEED.items())}) v(drawn_for, asked), (SELECT unnest(['r1', 'r2', 'r3']) AS run)) a
+  LEFT JOIN (SELECT capture, drawn_for, run, count(*) AS got FROM (SELECT capture, band AS drawn_for, ['r1', 'r2', 'r3'][slot + 1] AS run FROM alloc1 WHERE slot < 3
+    UNION ALL SELECT capture, 'representative_all', ['r1', 'r2', 'r3'][slot2 + 1] FROM alloc2 WHERE slot2 < 3) GROUP BY 1, 2, 3) g
+  ON g.capture = a.capture AND g.drawn_for = a.drawn_for AND g.run = a.run WHERE coalesce(got, 0) < asked""")
+def p15_shortages(t):
+    return splits.allocation_shortages(attack_pool(t), p15(t), RUNS, ["capture"], NEED)
 
 
 @query("p16_capacity_audit", "capture band total_unique:i used_unique:i unseen_unique:i required:i exhaustion_rate:d feasible:i",

@@ -1,6 +1,6 @@
 """Run-level inference: resampling, permutation, corrections, acceptance tables.
 
-Resampling work is units times replicates, spread over (group, replicate); only sums leave a task.
+Resampling works on blocks of units and all replicates at once; only sums leave a task.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from busward.functions.columns import digest_number
-from busward.operators.ordering import number_by_hash
+from busward.operators import resampling
 
 # Two-sided 95 % critical values of Student's t for 1 to 30 degrees of freedom.
 T_CRITICAL = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
@@ -21,19 +20,11 @@ PERMUTATION_REPLICATES = 100_000
 
 
 def bootstrap_means(units: DataFrame, keys: Sequence[str], unit: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """Mean of every resample with replacement: draw d of replicate b takes unit hash(b, d) mod n."""
-    keys = list(keys)
-    numbered = number_by_hash(units.where(F.col(value).isNotNull()).select(*keys, unit, value), keys,
-                              digest_number(seed, "unit", F.col(unit).cast("string")), [unit], "_slot")
-    size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draws = numbered.select(*keys, "_slot").join(size, keys).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = F.pmod(digest_number(seed, F.col("replicate").cast("string"), F.col("_slot").cast("string")), F.col("_n"))
-    asked = draws.select(*keys, "replicate", pick.alias("_slot"))
-    # How often a replicate drew a slot is counted before the values are attached.
-    often = asked.groupBy(*keys, "replicate", "_slot").agg(F.count(F.lit(1)).alias("_times"))
-    return often.join(numbered.select(*keys, "_slot", value), [*keys, "_slot"]).groupBy(*keys, "replicate").agg(
-        (F.sum(F.col("_times") * F.col(value)) / F.sum("_times")).alias("resampled_mean"))
+    """Mean of every resample with replacement: keys, replicate, resampled_mean."""
+    cut = resampling.blocks(units, keys, unit, value, seed)
+    sums = resampling.replicate_sums(
+        cut, keys, lambda values, n, block, key: resampling.block_sums(values, n, block, replicates, seed, key) / n)
+    return sums.withColumnRenamed("total", "resampled_mean")
 
 
 def bootstrap_interval(units: DataFrame, keys: Sequence[str], unit: str, value: str,
@@ -51,22 +42,14 @@ def bootstrap_interval(units: DataFrame, keys: Sequence[str], unit: str, value:
 
 def sign_flip(differences: DataFrame, keys: Sequence[str], unit: str, value: str,
               replicates: int = PERMUTATION_REPLICATES, seed: int = 19) -> DataFrame:
-    """Two-sided (with tolerance) and one-sided sign-flip p values of a mean difference."""
+    """Two-sided (with tolerance) and one-sided sign-flip p values of a mean difference: from all sign patterns for
+    keys of few units, from `replicates` random ones beyond."""
     keys = list(keys)
     rows = differences.where(F.col(value).isNotNull())
-    observed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"), F.avg(value).alias("observed"),
-                                       F.max(F.abs(F.col(value))).alias("_largest"))
-    flipped = rows.select(*keys, unit, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
-    odd = F.pmod(digest_number(seed, F.col("_b").cast("string"), F.col(unit).cast("string")), F.lit(2)) == 1
-    means = flipped.groupBy(*keys, "_b").agg(F.avg(F.when(odd, -F.col(value)).otherwise(F.col(value))).alias("_m"))
-    counted = means.join(observed, keys).groupBy(*keys).agg(
-        F.sum((F.abs("_m") >= F.abs("observed") - 1e-12).cast("int")).alias("_two"),
-        F.sum((F.col("_m") >= F.col("observed") - 1e-12).cast("int")).alias("_one"))
-    total = replicates + 1.0
+    observed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"), F.avg(value).alias("observed"))
+    counted = resampling.counted_flips(resampling.blocks(rows, keys, unit, value, seed), keys, replicates, seed)
     return observed.join(counted, keys).select(
-        *keys, "n_units", "observed",
-        F.when(F.col("_largest") == 0, 1.0).otherwise((F.col("_two") + 1) / total).alias("p_two_sided"),
-        ((F.col("_one") + 1) / total).alias("p_one_sided"))
+        *keys, "n_units", "observed", (F.col("_two") / F.col("_of")).alias("p_two_sided"), (F.col("_one") / F.col("_of")).alias("p_one_sided"))
 
 
 def holm(tests: DataFrame, keys: Sequence[str], p: str, tie: str, alpha: float = 0.05) -> DataFrame:

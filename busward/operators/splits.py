@@ -259,6 +259,15 @@ def disjoint_allocation(pool: DataFrame, runs: Sequence[str], keys: Sequence[str
     return first.unionByName(second)
 
 
+def allocation_shortages(pool: DataFrame, allocated: DataFrame, runs: Sequence[str], keys: Sequence[str], need: Mapping[str, int]) -> DataFrame:
+    """keys, drawn_for, run, asked, got: the runs for which a pool had fewer windows than were asked for."""
+    grid = F.array(*[F.struct(F.lit(b).alias("drawn_for"), F.lit(r).alias("run"), F.lit(n).alias("asked")) for b, n in need.items() for r in runs])
+    asked = pool.select(*keys).distinct().select(*keys, F.explode(grid).alias("_g")).select(*keys, "_g.*")
+    got = allocated.groupBy(*keys, "drawn_for", "run").agg(F.count(F.lit(1)).alias("got"))
+    joined = asked.join(got, [*keys, "drawn_for", "run"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    return joined.where(F.col("got") < F.col("asked"))
+
+
 def capacity_audit(pool: DataFrame, used: DataFrame, keys: Sequence[str], item: str, band: str, required: DataFrame) -> DataFrame:
     """Unique, used and unseen windows per pool against the requirement (columns band, required)."""
     whole = pool.groupBy(*keys, band).agg(F.countDistinct(item).alias("total_unique"))

@@ -80,6 +80,8 @@ def trust_memory(df: DataFrame, keys: Sequence[str], order: str, value: Column,
     t_p = m^p (S_p + min(m t0, min_k(cap_k w_k - S_k))), S_p the running sum of (1-m) x w. A chunk is as
     long as the halo where that is above 1024 rows, and short enough for w to stay finite.
     """
+    if not 0 <= memory < 1:
+        raise ValueError("memory must be at least 0 and below 1; at 1 no value would ever count")
     limit = F.lit(1.0) if cap is None else F.least(F.lit(1.0), F.coalesce(cap, F.lit(1.0)))
     if memory == 0:
         return df.withColumn(into, F.greatest(F.lit(0.0), F.least(value, limit)))

@@ -18,7 +18,7 @@ SECTION = ("session_gate_metrics", "w1_count_windows", "w3_structural_features",
            "p19_balanced_sample", "j1_ordinal_replay", "j6_alignment_audit", "j9_ego_neighbours", "a6_conformal_threshold", "a12_source_attribution",
            "a22_ecdf", "m4_roc_auc", "m7_best_f1_threshold", "m9_threshold_grid", "m10_quantile_threshold", "t1_motion", "t3_hysteresis",
            "t5_memory_rules", "t6_trust_memory", "t8_first_detection", "t3_streaming_monitor", "e9_reference_guard", "e18_access_decision",
-           "e22_graded_policy", "e24_perturbed_evaluation", "e25_observability", "i1_bootstrap_interval", "i4_holm", "i9_hypotheses",
+           "e22_graded_policy", "e24_perturbed_evaluation", "e25_observability", "i1_bootstrap_interval", "i7_noninferiority", "i9_sparse_recall", "e27_rule_selection",
            "s2_variable_csv", "s5_typed_csv")
 CHECKED = EVERY if os.environ.get("BUSWARD_ALL") else list(SECTION)
 
