@@ -12,6 +12,9 @@ from busward.plans.adapters import HEALTHY
 
 S = windows.STRUCTURAL
 ALL = (*windows.STRUCTURAL, *windows.PAYLOAD)
+# The captures of the domain that is fitted, and the seeds of the label shuffles.
+INNER = ("A_F", "R_F", HEALTHY)
+SEEDS = (1, 2, 3, 4, 5)
 RESULT = "method tp:i fp:i tn:i fn:i precision:d recall:d f1:d roc_auc:d threshold:d"
 
 
@@ -23,12 +26,12 @@ def training(t):
 
 @query("l1_logistic_regression", RESULT, None)
 def l1(t):
-    return models.train_validate_test(training(t), S, models.logistic, "logistic", iterations=200)
+    return models.train_validate_test(training(t), S, models.logistic, "logistic")
 
 
 @query("l2_random_forest", RESULT, None)
 def l2(t):
-    return models.train_validate_test(training(t), S, models.forest, "forest", trees=20)
+    return models.train_validate_test(training(t), S, models.forest, "forest")
 
 
 @query("l3_boosted_trees", RESULT, None)
@@ -50,21 +53,24 @@ def l5(t):
 
 @query("l6_train_validate_test", RESULT, None)
 def l6(t):
-    return models.train_validate_test(training(t), ALL, models.logistic, "logistic_63", iterations=100)
+    return models.train_validate_test(training(t), ALL, models.logistic, "logistic_63")
 
 
-@query("l7_family_ablation", "feature_set features:i in_domain_auc:d external_auc:d gap:d", None)
+@query("l7_family_ablation", "feature_set features:i threshold:d in_domain_f1:d in_domain_auc:d external_f1:d external_auc:d gap:d source_auc_macro:d source_auc_worst:d", None)
 def l7(t):
     rows = training(t)
-    inner = rows.where(F.col("capture").isin("A_F", "R_F", HEALTHY))
-    return models.ablation(inner, rows.where(F.col("capture").isin("A_O", "R_O", "N_O")), ALL, iterations=30)
+    return models.ablation(rows.where(F.col("capture").isin(*INNER)), rows.where(~F.col("capture").isin(*INNER)), ALL, "capture")
 
 
 @query("l8_leave_one_attack_out", RESULT, None)
 def l8(t):
-    return models.leave_one_attack_out(training(t), ["A_F", "R_O"], "capture", HEALTHY, S, models.logistic, iterations=50)
+    rows = training(t)
+    classes = [r["capture"] for r in rows.select("capture").distinct().sort("capture").collect() if r["capture"] != HEALTHY]
+    return models.unseen_classes(rows, classes, "capture", HEALTHY, S)
 
 
 @query("l9_shuffled_labels", RESULT, None)
 def l9(t):
-    return models.shuffled_label_sanity(training(t), ["capture", "window_index"], S, [1, 2], iterations=50)
+    rows = training(t)
+    train = t.staged("shuffled_labels", lambda: models.with_shuffled_labels(rows.where(F.col("split") == "train"), ["capture", "window_index"], SEEDS))
+    return models.shuffled_label_sanity(train, rows.where(F.col("split") != "train"), S, SEEDS)

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from busward.operators import linear_fits
 from busward.operators.metrics import best_f1_threshold, confusion, curve, roc_auc, with_rates
 from busward.operators.stats import feature_family
 
@@ -109,17 +110,36 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def ablation(df: DataFrame, external: DataFrame, features: Sequence[str], truth: str = "binary_target", **options) -> DataFrame:
-    """In-domain and external AUC of every feature set, and the gap between them."""
-    rows = []
-    for name, chosen in feature_sets(df, features).items():
-        model = fit(df.where(F.col("split") == "train"), chosen, logistic, truth, **options)
-        inner = roc_auc(score(model, df.where(F.col("split") == "test")).withColumn("_all", F.lit(name)), ["_all"], truth, "attack_probability")
-        outer = roc_auc(score(model, external).withColumn("_all", F.lit(name)), ["_all"], truth, "attack_probability")
-        rows.append(inner.select(F.col("_all").alias("feature_set"), F.col("roc_auc").alias("in_domain_auc")).join(
-            outer.select(F.col("_all").alias("feature_set"), F.col("roc_auc").alias("external_auc")), "feature_set")
-            .withColumn("features", F.lit(len(chosen))))
-    return union_all(rows).withColumn("gap", F.col("in_domain_auc") - F.col("external_auc"))
+def ablation(df: DataFrame, external: DataFrame, features: Sequence[str], source: str, truth: str = "binary_target") -> DataFrame:
+    """Every feature set, fitted together: threshold of the validation rows, F1 and AUC on test and external rows, the gap
+    between them, and the macro and worst AUC of the external sources that hold both classes."""
+    sets = feature_sets(df, features)
+    fits = [linear_fits.Fit(n, f, F.col("split") == "train", F.col(truth)) for n, f in sets.items()]
+    found = linear_fits.fit_all(df, fits)
+    inner = linear_fits.scored_long(df.where(F.col("split") != "train"), found, ["split", truth])
+    limits = linear_fits.thresholds(inner.where(F.col("split") == "validation"), truth)
+    outer = linear_fits.scored_long(external, found, [source, truth])
+    test = linear_fits.judged(inner.where(F.col("split") == "test"), limits, truth)
+    whole = linear_fits.judged(outer, limits, truth)
+    per_source = roc_auc(outer, ["fit", source], truth, "attack_probability").groupBy("fit").agg(
+        F.avg("roc_auc").alias("source_auc_macro"), F.min("roc_auc").alias("source_auc_worst"))
+    sizes = df.sparkSession.createDataFrame([(n, len(f)) for n, f in sets.items()], "fit string, features int")
+    return (sizes.join(test.select("fit", "threshold", F.col("f1").alias("in_domain_f1"), F.col("roc_auc").alias("in_domain_auc")), "fit")
+            .join(whole.select("fit", F.col("f1").alias("external_f1"), F.col("roc_auc").alias("external_auc")), "fit")
+            .join(per_source, "fit", "left").withColumn("gap", F.col("in_domain_auc") - F.col("external_auc"))
+            .withColumnRenamed("fit", "feature_set"))
+
+
+def unseen_classes(df: DataFrame, classes: Sequence[str], label: str, benign: str, features: Sequence[str], truth: str = "binary_target") -> DataFrame:
+    """Per held-out class, all fitted together: tuned and fixed thresholds on benign test rows and those of the class."""
+    fits = [linear_fits.Fit(held, features, (F.col("split") == "train") & (F.col(label) != held), F.col(truth)) for held in classes]
+    found = linear_fits.fit_all(df, fits)
+    rest = linear_fits.scored_long(df.where(F.col("split") != "train"), found, ["split", label, truth])
+    tuned = linear_fits.thresholds(rest.where((F.col("split") == "validation") & (F.col(label) != F.col("fit"))), truth)
+    unseen = rest.where((F.col("split") == "test") & ((F.col(label) == benign) | (F.col(label) == F.col("fit"))))
+    both = [linear_fits.judged(unseen, limits, truth).withColumn("method", F.concat("fit", F.lit(f":{kind}")))
+            for kind, limits in (("tuned", tuned), ("fixed", tuned.withColumn("threshold", F.lit(0.5))))]
+    return union_all(both).drop("fit")
 
 
 def leave_one_attack_out(df: DataFrame, classes: Sequence[str], label: str, benign: str, features: Sequence[str],
@@ -133,13 +153,22 @@ def leave_one_attack_out(df: DataFrame, classes: Sequence[str], label: str, beni
     return union_all(rows)
 
 
-def shuffled_label_sanity(df: DataFrame, key: Sequence[str], features: Sequence[str], seeds: Sequence[int], **options) -> DataFrame:
-    """Metrics with labels of the training rows permuted; they should be near chance."""
+def with_shuffled_labels(train: DataFrame, key: Sequence[str], seeds: Sequence[int], truth: str = "binary_target") -> DataFrame:
+    """The rows with their labels permuted by each seed, as columns _label_<seed>."""
     from busward.operators.splits import shuffled_labels
 
-    rows = []
-    train, rest = df.where(F.col("split") == "train"), df.where(F.col("split") != "train")
+    out = train
     for seed in seeds:
-        mixed = shuffled_labels(train, key, "binary_target", seed).withColumn("binary_target", F.col("shuffled")).drop("shuffled")
-        rows.append(train_validate_test(mixed.unionByName(rest.select(*mixed.columns)), features, logistic, f"seed_{seed}", **options))
-    return union_all(rows)
+        mixed = shuffled_labels(train.select(*key, truth), key, truth, seed, f"_label_{seed}").select(*key, f"_label_{seed}")
+        out = out.join(mixed, list(key))
+    return out
+
+
+def shuffled_label_sanity(train: DataFrame, rest: DataFrame, features: Sequence[str], seeds: Sequence[int], truth: str = "binary_target") -> DataFrame:
+    """Metrics of fits on permuted labels, all seeds fitted together; they should be near chance. train is a table with the
+    columns of with_shuffled_labels, rest holds the validation and test rows."""
+    fits = [linear_fits.Fit(f"seed_{seed}", features, F.lit(True), F.col(f"_label_{seed}")) for seed in seeds]
+    found = linear_fits.fit_all(train, fits)
+    scored = linear_fits.scored_long(rest, found, ["split", truth])
+    limits = linear_fits.thresholds(scored.where(F.col("split") == "validation"), truth)
+    return linear_fits.judged(scored.where(F.col("split") == "test"), limits, truth).withColumnRenamed("fit", "method")
