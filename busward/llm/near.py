@@ -203,18 +203,21 @@ def linked_components(reps: DataFrame, docs: DataFrame, shingle_width: int, perc
 
 
 def classes_and_roots(docs: DataFrame, shingle_width: int, percent: int, coordinates: int, matches: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(sketch, classes): one row for each row of docs; and c1, c2, id, first, root for each distinct non-empty set.
+    """(sketch, classes): one row for each row of docs; and c1, c2, id, first_id, h1, h2, root for each distinct non-empty set.
 
     id numbers the sets by their smallest doc_id (null last), so the smallest number of a component, its root,
-    has the smallest doc_id; first is the row that stands for the set. Several sets may have one smallest doc_id.
+    has the smallest doc_id; first_id, h1 and h2 are of the row that stands for the set. Several sets may have one smallest doc_id.
     """
     sketch = staged(sketches(docs, shingle_width, coordinates), "sketches")
     known = sketch.filter("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")).alias("first")
-    sets = known.groupBy("c1", "c2").agg(first).withColumn("one", F.lit(0))
-    order = [F.col("first.unnamed"), F.col("first.doc_id"), F.col("c1"), F.col("c2")]
-    classes = staged(running(sets, "one", order, None, "id", "set-order").drop("one"), "classes")
-    own = classes.select("id", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2"))
+    # Plain columns pass through Python at a fraction of a struct's memory; as text an id may be null there.
+    plain = ["c1", "c2", "first.unnamed", F.col("first.doc_id").cast("string").alias("named"), "first.h1", "first.h2", F.lit(0).alias("one")]
+    sets = known.groupBy("c1", "c2").agg(first).select(*plain)
+    order = [F.col("unnamed"), F.col("named").cast("long"), F.col("c1"), F.col("c2")]
+    numbered = running(sets, "one", order, None, "id", "set-order")
+    classes = staged(numbered.select("c1", "c2", "id", F.col("named").cast("long").alias("first_id"), "h1", "h2"), "classes")
+    own = classes.select("id", "h1", "h2")
     reps = known.join(own, ["h1", "h2"]).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "c1", "c2", "sig", "h1")
     roots = linked_components(staged(reps, "reps"), docs, shingle_width, percent, matches, block_bytes)
     rooted = classes.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
@@ -236,7 +239,7 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch, classes = classes_and_roots(docs, **(SETTINGS | settings))
-    names = classes.select(F.col("id").alias("root"), F.col("first.doc_id").alias("component_id"))
+    names = classes.select(F.col("id").alias("root"), F.col("first_id").alias("component_id"))
     at = classes.select("c1", "c2", "root").join(names, "root").drop("root")
     out = sketch.select("doc_id", "n_shingles", "c1", "c2").join(at, ["c1", "c2"], "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
@@ -251,7 +254,7 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch, classes = classes_and_roots(texts, **(SETTINGS | settings))
-    stays = classes.filter("id = root").select("first.h1", "first.h2").union(sketch.filter("n_shingles = 0").select("h1", "h2")).distinct()
+    stays = classes.filter("id = root").select("h1", "h2").union(sketch.filter("n_shingles = 0").select("h1", "h2")).distinct()
     h1, h2 = row_hashes()
     hashed = docs.withColumns({"_h1": h1, "_h2": h2})
     kept = hashed.join(stays, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left_semi")
