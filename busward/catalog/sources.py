@@ -12,7 +12,7 @@ from busward.catalog.registry import cte, query
 from busward.operators import quality
 from busward.plans.adapters import PAYLOAD
 from busward.session import shared_folder
-from busward.sources import captures
+from busward.sources import captures, profile
 
 SUMS = " ".join(f"sum_{b}:i" for b in PAYLOAD)
 _sums_sql = ", ".join(f"sum({b}) AS sum_{b}" for b in PAYLOAD)
@@ -179,7 +179,45 @@ def s8(t):
 
 @query("s9_file_manifest", "file length:i sha256", None)
 def s9(t):
-    return captures.file_manifest(t.spark, t.folder)
+    return profile.file_manifest(t.spark, t.folder)
+
+
+# Tables of the data set and their columns.
+PROFILED = {
+    "nation": "n_nationkey n_name n_regionkey",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "embeddings": "vec_id embedding label",
+    "conversations": "conv_id turn role text",
+}
+
+
+@query("s9_dataset_profile", "table_name rows:i columns:i null_cells:i duplicate_rows:i same_as_first:i",
+       " UNION ALL ".join(
+           f"""SELECT '{n}' AS table_name, count(*) AS rows, {len(c.split())} AS columns, {' + '.join(f"count(*) FILTER ({x} IS NULL)" for x in c.split())} AS null_cells,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(c.split())} FROM {n})) AS duplicate_rows, {int(n == "nation")} AS same_as_first FROM {n}"""
+           for n, c in PROFILED.items()))
+def s9_profile(t):
+    tables = {n: t.read(n).select(*c.split()) for n, c in PROFILED.items()}
+    return profile.audit_tables(tables, [], key=F.lit("all")).withColumnRenamed("table", "table_name")
+
+
+_audit_sql = """SELECT capture, count(*) AS rows, {columns} AS columns, count(*) FILTER (s3 IS NULL){s4} AS null_cells,
+  count(*) - count(DISTINCT (can_id, s1, coalesce(s3, -1){s4v})) AS duplicate_rows, {same} AS same_as_first, '{missing}' AS missing_columns, '{extra}' AS unexpected_columns
+  FROM (SELECT * FROM signals WHERE starts_with(capture, 'ambient')) GROUP BY 1"""
+
+
+@query("v2_schema_differences", "capture rows:i columns:i null_cells:i duplicate_rows:i same_as_first:i missing_columns unexpected_columns",
+       _audit_sql.format(columns=4, s4=" + count(*) FILTER (s4 IS NULL)", s4v=", coalesce(s4, -1)", same=1, missing="", extra="") + " UNION ALL "
+       + _audit_sql.format(columns=3, s4="", s4v="", same=0, missing="s4", extra="").replace("'ambient'", "'attack'"))
+def v2_schema(t):
+    """Captures written in two layouts, the attacks without a column, audited file by file."""
+    path, kinds = folder(t, "audit"), {"ambient": ["can_id", "s1", "s3", "s4"], "attack": ["can_id", "s1", "s3"]}
+    for kind, columns in kinds.items():
+        t.signals().where(F.col("capture").startswith(kind)).select("capture", *columns).write.partitionBy("capture").parquet(f"{path}/{kind}")
+    tables = {kind: t.spark.read.parquet(f"{path}/{kind}") for kind in kinds}
+    return profile.audit_tables(tables, kinds["ambient"], key=F.col("capture"), ignore=["capture"]).withColumnRenamed("file", "capture")
 
 
 @query("s10_partitioned_sink", "split capture windows:i", "SELECT split, capture, count(*) AS windows FROM chrono GROUP BY 1, 2")

@@ -338,6 +338,8 @@ cte(
     grid9="""SELECT g, CASE WHEN g = 2000 THEN 1.000001e0 ELSE 0.5e0 + g * ((1.000001e0 - 0.5e0) / 2000e0) END AS threshold FROM range(2001) r(g)""",
     grid_rates="""SELECT threshold, sum(a) / sum(n)::DOUBLE AS pooled_fpr, avg(a / n::DOUBLE) AS macro_fpr, max(a / n::DOUBLE) AS worst_fpr, sum(n) AS windows
   FROM (SELECT g, threshold, session_id, count(*) FILTER (risk >= threshold) AS a, count(*) AS n FROM grid9, risks_two GROUP BY 1, 2, 3) GROUP BY 1""",
+    grid_rates_single="""SELECT threshold, sum(a) / sum(n)::DOUBLE AS pooled_fpr, avg(a / n::DOUBLE) AS macro_fpr, max(a / n::DOUBLE) AS worst_fpr, sum(n) AS windows
+  FROM (SELECT g, threshold, session_id, count(*) FILTER (risk >= threshold) AS a, count(*) AS n FROM grid9, risks_cal GROUP BY 1, 2, 3) GROUP BY 1""",
 )
 
 
@@ -355,6 +357,12 @@ def m9(t):
     return metrics.first_allowed(metrics.grid_operating_points(risks(t, 2), "session_id", "risk"))
 
 
+@query("m9_single_threshold", "threshold:d pooled_fpr:d macro_fpr:d worst_fpr:d windows:i",
+       """SELECT * FROM grid_rates_single WHERE pooled_fpr <= 0.05e0 AND macro_fpr <= 0.05e0 AND worst_fpr <= 0.1e0 ORDER BY threshold LIMIT 1""")
+def m9_single(t):
+    return metrics.first_allowed(metrics.grid_operating_points(risks(t, 1), "session_id", "risk"))
+
+
 @query("m9_grid_points", "threshold:d pooled_fpr:d macro_fpr:d worst_fpr:d windows:i", "SELECT * FROM grid_rates")
 def m9_points(t):
     return metrics.grid_operating_points(risks(t, 2), "session_id", "risk")

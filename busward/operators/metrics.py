@@ -122,18 +122,36 @@ def grid_operating_points(df: DataFrame, captures: str, score: str, low: float =
             .withColumn("_g", F.when((F.col("_g") < points - 1) & (F.col(score) >= at(F.col("_g") + 1)), F.col("_g") + 1)
                         .when((F.col("_g") >= 0) & (F.col(score) < at(F.col("_g"))), F.col("_g") - 1)
                         .otherwise(F.col("_g"))))
-    filled = cell.groupBy(captures, "_g").agg(F.count(F.lit(1)).alias("_w"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i.cast("bigint"))
-    axis = df.select(captures).distinct().select(captures, F.explode(grid).alias("_g"), F.lit(0).alias("_w"))
-    every = filled.unionByName(axis).groupBy(captures, "_g").agg(F.sum("_w").alias("_w"))
-    up = Window.partitionBy(captures).orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rated = every.withColumn("alarms", F.sum("_w").over(up)).withColumn(
-        "windows", F.sum("_w").over(Window.partitionBy(captures))).where(F.col("_g") >= 0)
-    rate = F.col("alarms") / F.col("windows")
-    return rated.groupBy("_g").agg(
-        (F.sum("alarms") / F.sum("windows")).alias("pooled_fpr"), F.avg(rate).alias("macro_fpr"),
-        F.max(rate).alias("worst_fpr"), F.sum("windows").alias("windows")
-    ).withColumn("threshold", at(F.col("_g")))
+    return threshold_sweep(cell.select(captures, F.col("_g").alias("cell")), captures, points).withColumn(
+        "threshold", at(F.col("cell")))
+
+
+def threshold_sweep(cells: DataFrame, captures: str, points: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Pooled, macro and worst capture alarm rate at the thresholds 0 to points - 1 of an ascending axis.
+
+    `cell` is the highest threshold at which a row alarms, -1 for none. A capture's rate changes only at cells
+    that it occupies, and grows towards the lower ones. So a running sum over its occupied cells gives its
+    rate there; the sums of rows and of shares of rows over all captures are difference arrays of the pooled
+    and the macro rate; the worst rate is a running maximum. The axis has a row a threshold (and key), not a
+    row a capture and threshold.
+    """
+    filled = cells.groupBy(*keys, captures, "cell").agg(F.count(F.lit(1)).alias("_w"))
+    own = Window.partitionBy(*keys, captures)
+    up = own.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rated = filled.withColumn("_n", F.sum("_w").over(own)).withColumns({
+        "_at": F.sum("_w").over(up), "_share": F.col("_w") / F.col("_n")})
+    # The lowest occupied cell of a capture is the one at which all its rows are summed: it counts the capture.
+    steps = rated.groupBy(*keys, "cell").agg(
+        F.sum("_w").alias("_w"), F.sum("_share").alias("_share"), F.max(F.col("_at") / F.col("_n")).alias("_worst"),
+        F.count(F.when(F.col("_at") == F.col("_n"), 1)).alias("_captures"))
+    whole = steps.groupBy(*keys).agg(F.sum("_w").alias("windows"), F.sum("_captures").alias("_all")).where(F.col("_all") > 0)
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i.cast("bigint"))).alias("cell")
+    axis = whole.select(*keys, "windows", "_all", grid)
+    down = Window.partitionBy(*keys).orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return axis.join(steps.drop("_captures"), [*keys, "cell"], "left").select(
+        *keys, "cell", (F.coalesce(F.sum("_w").over(down), F.lit(0)) / F.col("windows")).alias("pooled_fpr"),
+        (F.coalesce(F.sum("_share").over(down), F.lit(0.0)) / F.col("_all")).alias("macro_fpr"),
+        F.coalesce(F.max("_worst").over(down), F.lit(0.0)).alias("worst_fpr"), "windows")
 
 
 def first_allowed(points: DataFrame, pooled: float = 0.05, macro: float = 0.05, worst: float = 0.10) -> DataFrame:
@@ -158,29 +176,30 @@ def quantile_candidates(df: DataFrame, score: str, points: int = 2001) -> DataFr
     return spot.select((low + (high - low) * (F.col("p") - F.floor("p"))).alias("threshold")).distinct()
 
 
-def candidate_operating_points(df: DataFrame, captures: str, score: str, candidates: DataFrame) -> DataFrame:
-    """Alarm rates at arbitrary candidate thresholds (columns threshold, strict).
+def candidate_operating_points(df: DataFrame, captures: str, score: str, candidates: DataFrame,
+                               most: int = 2001) -> DataFrame:
+    """Alarm rates at up to `most` candidate thresholds (columns threshold, strict).
 
-    `strict` = 1 means an alarm needs a score above the threshold, the limit of the next larger
-    double. Scores and candidates meet in one running sum per capture.
+    `strict` = 1 means an alarm needs a score above the threshold, the limit of the next larger double. The
+    sorted candidates are one small array; a distinct score finds its place in it by binary search, and a
+    sweep over these places gives the rates.
     """
-    held = df.groupBy(captures, score).agg(F.count(F.lit(1)).alias("_w")).withColumn("_ask", F.lit(0))
-    wanted = candidates.agg(F.collect_set("threshold")).scalar()
-    ask = df.select(captures).distinct().select(
-        captures, F.explode(wanted).alias(score), F.lit(0).alias("_w"), F.lit(1).alias("_ask"))
-    both = held.select(captures, score, "_w", "_ask").unionByName(ask).groupBy(captures, score).agg(
-        F.sum("_w").alias("_w"), F.max("_ask").alias("_ask"))
-    run = running_totals(value_buckets(both, [captures], score), [captures], score, "_bucket", {"_at": "_w"},
-                         descending=True)
-    total = df.groupBy(captures).agg(F.count(F.lit(1)).alias("_n"))
-    asked = run.where(F.col("_ask") == 1).join(total, captures)
-    pairs = asked.select(captures, score, "_n", F.explode(F.array(
-        F.struct(F.lit(0).alias("strict"), F.col("_at").alias("alarms")),
-        F.struct(F.lit(1).alias("strict"), (F.col("_at") - F.col("_w")).alias("alarms")))).alias("_p"))
-    rate = F.col("_p.alarms") / F.col("_n")
-    return pairs.groupBy(F.col(score).alias("threshold"), F.col("_p.strict").alias("strict")).agg(
-        (F.sum("_p.alarms") / F.sum("_n")).alias("pooled_fpr"), F.avg(rate).alias("macro_fpr"),
-        F.max(rate).alias("worst_fpr"), F.sum("_n").alias("windows"))
+    axis = candidates.where(F.col("threshold").isNotNull()).agg(F.array_sort(F.collect_set("threshold")).alias("axis"))
+    bits = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def below(x: Column, strict: int) -> Column:
+        """Number of candidates that x reaches (strict: that x is above)."""
+        def step(low: Column, jump: Column) -> Column:
+            spot = F.get("axis", low + jump - 1)
+            return F.when(F.coalesce(spot < x if strict else spot <= x, F.lit(False)), low + jump).otherwise(low)
+        return F.aggregate(bits, F.lit(0), step)
+
+    held = df.withColumn("axis", axis.scalar())
+    places = held.select(captures, F.explode(F.array(*[F.struct(
+        F.lit(s).alias("strict"), (below(F.col(score), s) - 1).cast("bigint").alias("cell")) for s in (0, 1)])).alias("_p"))
+    swept = threshold_sweep(places.select(captures, "_p.*"), captures, most, ["strict"])
+    value = F.get("axis", F.col("cell").cast("int"))
+    return swept.withColumn("axis", axis.scalar()).where(F.col("cell") < F.size("axis")).withColumn("threshold", value).drop("axis", "cell")
 
 
 def scoped_metrics(df: DataFrame, scopes: Sequence[str], truth: str, methods: Mapping[str, str]) -> DataFrame:
