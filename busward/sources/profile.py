@@ -42,7 +42,8 @@ def file_manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES
 
     Files up to `whole_bytes` are hashed by Spark's own reader, which holds a file as one value and ends at
     2 GB. Larger ones are streamed block by block in a task each; their store must be one that Arrow opens
-    (local disk, HDFS, S3, GCS), any other is an error. The listing itself reads no content.
+    (local disk, HDFS, S3, GCS), any other is an error. The listing itself reads no content; as
+    in every file source of Spark, empty files have no row.
     """
     files = spark.read.format("binaryFile").load(path)
     whole = files.where(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
