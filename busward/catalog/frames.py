@@ -37,7 +37,8 @@ cte(
 _SAME = " AND ".join(f"{c} = lag({c}) OVER w" for c in ("can_id", *PAYLOAD))
 
 
-def _window_ctes(size: int) -> None:
+def window_ctes(size: int, prefix: str = "", table: str = "frames") -> None:
+    """Window features of `size` frames of a table of frames, as <prefix>w<size>."""
     n = f"{size}e0"
     stats = ", ".join(
         f"avg({b}) AS data_{i}_mean, stddev_pop({b}) AS data_{i}_std, min({b}) AS data_{i}_min, "
@@ -46,29 +47,29 @@ def _window_ctes(size: int) -> None:
         f"sum(step_{b}) / {size - 1}e0 AS data_{i}_mean_abs_change" for i, b in enumerate(PAYLOAD))
     steps = ", ".join(f"abs({b} - lag({b}) OVER w) AS step_{b}" for b in PAYLOAD)
     cte(**{
-        f"lag{size}": f"""SELECT *, seq // {size} AS window_index,
+        f"{prefix}lag{size}": f"""SELECT *, seq // {size} AS window_index,
   CASE WHEN can_id <> lag(can_id) OVER w THEN 1 ELSE 0 END AS changed,
   CASE WHEN {_SAME} THEN 1 ELSE 0 END AS repeated, {steps}
-  FROM frames WINDOW w AS (PARTITION BY capture, seq // {size} ORDER BY seq)""",
-        f"ids{size}": f"""SELECT capture, window_index, max(c) / {n} AS dominant_id_fraction,
+  FROM {table} WINDOW w AS (PARTITION BY capture, seq // {size} ORDER BY seq)""",
+        f"{prefix}ids{size}": f"""SELECT capture, window_index, max(c) / {n} AS dominant_id_fraction,
   sum(-(c / {n}) * log2(c / {n})) AS id_entropy, count(*) AS id_unique_count
-  FROM (SELECT capture, window_index, can_id, count(*) AS c FROM lag{size} GROUP BY ALL) GROUP BY ALL""",
-        f"base{size}": f"""SELECT capture, window_index, count(*) AS n_rows,
+  FROM (SELECT capture, window_index, can_id, count(*) AS c FROM {prefix}lag{size} GROUP BY ALL) GROUP BY ALL""",
+        f"{prefix}base{size}": f"""SELECT capture, window_index, count(*) AS n_rows,
   count(DISTINCT (can_id, {', '.join(PAYLOAD)})) AS frame_unique_count,
   sum(changed) / {size - 1}e0 AS id_change_rate, sum(repeated) / {size - 1}e0 AS consecutive_frame_repeat_rate,
   sum(is_attack) AS attack_frame_count, {stats}
-  FROM lag{size} GROUP BY capture, window_index HAVING count(*) = {size}""",
-        f"w{size}": f"""SELECT *, frame_unique_count / {n} AS frame_unique_fraction, window_index * {size} AS start_row,
+  FROM {prefix}lag{size} GROUP BY capture, window_index HAVING count(*) = {size}""",
+        f"{prefix}w{size}": f"""SELECT *, frame_unique_count / {n} AS frame_unique_fraction, window_index * {size} AS start_row,
   (window_index + 1) * {size} - 1 AS end_row, attack_frame_count / {n} AS attack_frame_fraction,
   CASE WHEN attack_frame_count > 0 THEN 1 ELSE 0 END AS binary_target,
   CASE WHEN attack_frame_count = 0 THEN 'benign' WHEN attack_frame_count <= 5 THEN 'low_1_5'
     WHEN attack_frame_count <= 20 THEN 'medium_6_20' ELSE 'high_21_100' END AS density_band
-  FROM base{size} JOIN ids{size} USING (capture, window_index)""",
+  FROM {prefix}base{size} JOIN {prefix}ids{size} USING (capture, window_index)""",
     })
 
 
-_window_ctes(20)
-_window_ctes(100)
+window_ctes(20)
+window_ctes(100)
 
 _STRUCT = " ".join(f"{f}:d" for f in windows.STRUCTURAL)
 _PAYLOAD = " ".join(f"{f}:d" for f in windows.PAYLOAD)

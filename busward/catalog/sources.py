@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from busward.catalog.frames import hex_payload, typed_frames
+from busward.catalog.frames import hex_payload, timing_ctes, typed_frames, window_ctes
 from busward.catalog.leakage import chrono
 from busward.catalog.registry import cte, query
-from busward.operators import quality
+from busward.operators import quality, windows
 from busward.plans.adapters import PAYLOAD
 from busward.session import shared_folder
 from busward.sources import captures, profile
@@ -64,18 +64,112 @@ def s2(t):
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("is_attack"), F.lit(0)).alias("attack"), F.sum("can_id").alias("sum_id"), *sums())
 
 
-@query("s3_text_log", f"capture valid:i lines:i sum_id:i {SUMS}",
-       f"""SELECT capture, CASE WHEN seq % 200 = 7 THEN 0 ELSE 1 END AS valid, count(*) AS lines, sum(CASE WHEN seq % 200 <> 7 THEN can_id END) AS sum_id,
-  {', '.join(f"sum(CASE WHEN seq % 200 <> 7 AND seq % 9 > {i} THEN {b} ELSE 0 END) AS sum_{b}" for i, b in enumerate(PAYLOAD))} FROM frames GROUP BY 1, 2""")
-def s3(t):
+def text_log(t):
+    """Frames as text log lines, some broken, with blank lines between."""
     frames = t.frames().withColumn("dlc", F.col("seq") % 9)
     cells = [F.when(F.col("dlc") > i, F.lower(F.lpad(F.hex(b), 2, "0"))) for i, b in enumerate(PAYLOAD)]
     line = F.concat(F.lit("Timestamp: "), seconds(), F.lit("        ID: "), F.lpad(F.hex("can_id"), 4, "0"),
                     F.lit("    000    DLC: "), F.col("dlc"), F.lit("    "), F.concat_ws(" ", *cells))
-    text = F.when(F.col("seq") % 200 == 7, "broken line").otherwise(line)
+    text = F.when(F.col("seq") % 200 == 7, F.concat(F.lit("broken line "), F.col("can_id"))).otherwise(line)
+    lines = F.when(F.col("seq") % 50 == 0, F.array(text, F.lit("  "))).otherwise(F.array(text))
+    return frames.select("capture", "seq", F.posexplode(lines).alias("part", "value"))
+
+
+def bus_dump(t):
+    payload = F.when(F.col("seq") % 500 == 9, F.substring(hex_payload(), 1, 1)).otherwise(hex_payload())
+    line = F.concat(F.lit("("), seconds(), F.lit(") can0 "), F.lpad(F.hex("can_id"), 3, "0"), F.lit("#"), payload)
+    return t.frames().select("capture", "seq", F.lit(0).alias("part"), line.alias("value"))
+
+
+def ordered_capture(t, rows, name):
+    """Rows (capture, seq, part, ..) written in order as the files of their captures; returns the folder."""
+    path = folder(t, name)
+    placed = rows.repartitionByRange("capture", "seq").sortWithinPartitions("capture", "seq", "part").drop("seq", "part")
+    writer = placed.write.partitionBy("capture")
+    writer.text(path) if placed.columns == ["capture", "value"] else writer.option("header", True).csv(path)
+    return path
+
+
+def ordered_lines(t, rows, name):
+    lines = captures.with_capture_order(captures.read_lines(t.spark, ordered_capture(t, rows, name)))
+    return lines.withColumn("line", F.col("value"))
+
+
+def typed_in_order(t):
+    """The damaged typed rows without a row number of their own, read back in the order of their files."""
+    rows = typed_raw(t).withColumnRenamed("source_row_number", "seq").withColumn("part", F.lit(0))
+    raw = captures.read_typed_csv(t.spark, ordered_capture(t, rows, "ordered"))
+    return captures.parse_typed(captures.with_capture_order(raw))
+
+
+def file_windows(frames):
+    """Structural and timing features of 20-frame windows in one row."""
+    timing = windows.timing_features(frames).select("capture", "window_index", *windows.TIMING)
+    return windows.window_features(frames, 20).join(timing, ["capture", "window_index"])
+
+
+_bytes_sql = ", ".join(f"CASE WHEN seq % 9 > {i} THEN {b} ELSE 0 END AS {b}" for i, b in enumerate(PAYLOAD))
+_anew = "row_number() OVER (PARTITION BY capture ORDER BY seq) - 1 AS seq"
+cte(log_frames=f"SELECT capture, {_anew}, ts_us, can_id, {_bytes_sql}, 0 AS is_attack FROM frames WHERE seq % 200 <> 7",
+    dump_frames=f"SELECT capture, {_anew}, ts_us, can_id, {', '.join(PAYLOAD)}, 0 AS is_attack FROM frames WHERE seq % 500 <> 9",
+    raw_frames=f"SELECT capture, {_anew}, ts_us, can_id, {', '.join(PAYLOAD)}, is_attack FROM typed WHERE seq % 400 NOT BETWEEN 1 AND 6")
+for _kind in ("log", "dump", "raw"):
+    window_ctes(20, _kind, f"{_kind}_frames")
+    timing_ctes(_kind, f"{_kind}_frames")
+WINDOWED = "capture window_index:i start_row:i end_row:i attack_frame_count:i " + " ".join(f"{f}:d" for f in (*windows.STRUCTURAL, *windows.TIMING))
+
+
+def windowed_sql(kind):
+    return f"SELECT w.*, {', '.join(f't.{f}' for f in windows.TIMING)} FROM {kind}w20 w JOIN {kind}t20 t USING (capture, window_index)"
+
+
+@query("s3_log_windows", WINDOWED, windowed_sql("log"))
+def s3_windows(t):
+    return file_windows(captures.valid_frames(captures.parse_text_log(ordered_lines(t, text_log(t), "textlog")), "ts"))
+
+
+@query("s4_dump_windows", WINDOWED, windowed_sql("dump"))
+def s4_windows(t):
+    return file_windows(captures.valid_frames(captures.parse_bus_dump(ordered_lines(t, bus_dump(t), "dump")), "elapsed"))
+
+
+@query("s5_typed_windows", WINDOWED, windowed_sql("raw"))
+def s5_windows(t):
+    rows = captures.typed_values(typed_in_order(t)).withColumn("ts", F.col("ts") / 1e6)
+    return file_windows(captures.valid_frames(rows, "ts", F.col("label") == "T"))
+
+
+def report_sql(source, bad, example, limit):
+    return f"""SELECT capture, rows, malformed_rows, malformed_rows / rows::DOUBLE AS malformed_fraction,
+  CASE WHEN malformed_rows / rows::DOUBLE <= {limit} THEN 1 ELSE 0 END AS passed, examples FROM (
+  SELECT capture, count(*) AS rows, count(*) FILTER ({bad}) AS malformed_rows,
+    coalesce(array_to_string((list({example} ORDER BY seq) FILTER ({bad}))[1:5], '|'), '') AS examples FROM {source} GROUP BY 1)"""
+
+
+REPORT = "capture rows:i malformed_rows:i malformed_fraction:d passed:i examples"
+
+
+@query("s3_malformed_lines", REPORT, report_sql(
+    "frames", "seq % 200 = 7", "(seq + (seq + 49) // 50) || ': broken line ' || can_id", "0.01e0"))
+def s3_malformed(t):
+    parsed = captures.parse_text_log(ordered_lines(t, text_log(t), "textlog"))
+    return quality.malformed_report(parsed, ["capture"], "seq", "line", 0.01).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query("s4_malformed_lines", REPORT, report_sql(
+    "frames", "seq % 500 = 9", "seq || ': (' || printf('%d.%06d', (ts_us + 2000000) // 1000000, (ts_us + 2000000) % 1000000) || ') can0 ' "
+    "|| lpad(upper(to_hex(can_id)), 3, '0') || '#' || upper(to_hex(d0 // 16))", "0.001e0"))
+def s4_malformed(t):
+    parsed = captures.parse_bus_dump(ordered_lines(t, bus_dump(t), "dump"))
+    return quality.malformed_report(parsed, ["capture"], "seq", "line", 0.001).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query("s3_text_log", f"capture valid:i lines:i sum_id:i {SUMS}",
+       f"""SELECT capture, CASE WHEN seq % 200 = 7 THEN 0 ELSE 1 END AS valid, count(*) AS lines, sum(CASE WHEN seq % 200 <> 7 THEN can_id END) AS sum_id,
+  {', '.join(f"sum(CASE WHEN seq % 200 <> 7 AND seq % 9 > {i} THEN {b} ELSE 0 END) AS sum_{b}" for i, b in enumerate(PAYLOAD))} FROM frames GROUP BY 1, 2""")
+def s3(t):
     path = folder(t, "textlog")
-    frames.select("capture", F.explode(F.when(F.col("seq") % 50 == 0, F.array(text, F.lit("  "))).otherwise(F.array(text))).alias("value")) \
-        .write.partitionBy("capture").text(path)
+    text_log(t).select("capture", "value").write.partitionBy("capture").text(path)
     parsed = captures.parse_text_log(captures.read_lines(t.spark, path))
     return parsed.groupBy("capture", "valid").agg(F.count(F.lit(1)).alias("lines"), F.sum("can_id").alias("sum_id"), *sums())
 
@@ -85,19 +179,17 @@ def s3(t):
   {', '.join(f"sum(CASE WHEN seq % 500 = 9 AND {i} = 0 THEN d0 // 16 * 16 WHEN seq % 500 = 9 THEN 0 ELSE {b} END) AS sum_{b}" for i, b in enumerate(PAYLOAD))}
   FROM frames f JOIN (SELECT capture, min(ts_us) AS first FROM frames GROUP BY 1) USING (capture) GROUP BY 1, 2""")
 def s4(t):
-    payload = F.when(F.col("seq") % 500 == 9, F.substring(hex_payload(), 1, 1)).otherwise(hex_payload())
-    line = F.concat(F.lit("("), seconds(), F.lit(") can0 "), F.lpad(F.hex("can_id"), 3, "0"), F.lit("#"), payload)
     path = folder(t, "dump")
-    t.frames().select("capture", line.alias("value")).write.partitionBy("capture").text(path)
+    bus_dump(t).select("capture", "value").write.partitionBy("capture").text(path)
     parsed = captures.parse_bus_dump(captures.read_lines(t.spark, path))
     return parsed.groupBy("capture", "valid").agg(F.count(F.lit(1)).alias("lines"), F.sum("can_id").alias("sum_id"),
                                                   F.max("elapsed").alias("last_elapsed"), *sums())
 
 
-def typed_checked(t):
-    """Typed raw rows with one kind of damage per residue, written as CSV and checked."""
+def typed_raw(t):
+    """Typed raw rows with one kind of damage per residue."""
     frames = typed_frames(t).withColumn("r", F.col("seq") % 400)
-    raw = frames.select(
+    return frames.select(
         "capture", F.col("seq").alias("source_row_number"),
         F.when(F.col("r") == 1, "late").otherwise(F.col("ts_us").cast("string")).alias("tiTestaTp"),
         F.when(F.col("r") == 2, "0xZ").otherwise(F.lower(F.hex("can_id"))).alias("arbitration_id"),
@@ -105,8 +197,12 @@ def typed_checked(t):
         *[F.when(F.col("r") == 4, "ABC").otherwise(F.lower(F.hex(b))).alias(f"data{i}") for i, b in enumerate(PAYLOAD)],
         F.when(F.col("r") == 5, "Q").when(F.col("is_attack") == 1, " t").otherwise("r ").alias("label"),
         F.when(F.col("r") == 6, "Alien").otherwise(F.col("attack_type")).alias("Attack_Type"))
+
+
+def typed_checked(t):
+    """The damaged rows written as CSV, read back and checked."""
     path = folder(t, "typed")
-    raw.write.option("header", True).csv(path)
+    typed_raw(t).write.option("header", True).csv(path)
     return captures.parse_typed(captures.read_typed_csv(t.spark, path))
 
 

@@ -65,6 +65,22 @@ def malformed_gate(checked: DataFrame, keys: Sequence[str], limit: float) -> Dat
         "passed", (F.col("malformed_fraction") <= limit).cast("int"))
 
 
+def malformed_report(checked: DataFrame, keys: Sequence[str], order: str, line: str, limit: float,
+                     examples: int = 5) -> DataFrame:
+    """Malformed share against its budget, with the first malformed lines of each key as `position: line`.
+
+    Only `examples` lines a key and task reach the shuffle. Keys without a malformed line have an empty list.
+    """
+    first = Window.partitionBy(*keys).orderBy(order)
+    shown = checked.where(F.col("valid") == 0).select(*keys, order, line).withColumn(
+        "_rank", F.row_number().over(first)).where(F.col("_rank") <= examples)
+    text = F.concat(F.col(order).cast("string"), F.lit(": "), F.col(line))
+    listed = shown.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_rank", text.alias("text")))), lambda x: x["text"]).alias("examples"))
+    gate = malformed_gate(checked, keys, limit)
+    return gate.join(listed, list(keys), "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
 

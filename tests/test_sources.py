@@ -126,3 +126,36 @@ def test_lines_keep_their_order_over_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert all(r["value"] == f"line {r['seq']}" for r in rows) and len(rows) == 3000
+
+
+def test_capture_order_over_files_and_blocks(spark, tmp_path):
+    for name, first in (("a", 0), ("b", 900)):
+        (tmp_path / "capture=x").mkdir(exist_ok=True)
+        (tmp_path / "capture=x" / f"{name}.log").write_text("".join(f"line {i}\n" for i in range(first, first + 900)))
+    (tmp_path / "capture=y").mkdir()
+    (tmp_path / "capture=y" / "a.log").write_text("line 0\nline 1\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = captures.with_capture_order(captures.read_lines(spark, f"file://{tmp_path}")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 1802 and all(r["value"] == f"line {r['seq']}" for r in rows)
+
+
+def test_valid_frames_are_numbered_without_gaps(spark):
+    rows = [("c", i, i % 3 != 1, i / 10) for i in range(30)]
+    parsed = spark.createDataFrame(rows, "capture string, seq long, valid boolean, ts double").selectExpr(
+        "capture", "seq", "int(valid) AS valid", "ts", "7 AS can_id", *[f"1 AS d{i}" for i in range(8)])
+    got = captures.valid_frames(parsed, "ts", bucket_rows=4).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(20))
+    assert [r["ts_us"] for r in got] == [i * 100_000 for i in range(30) if i % 3 != 1]
+
+
+def test_malformed_report_shows_the_first_lines(spark):
+    rows = [("a", i, 0 if i % 2 else 1, f"l{i}") for i in range(20)] + [("b", 0, 1, "fine")]
+    got = {r["capture"]: r for r in quality.malformed_report(
+        spark.createDataFrame(rows, "capture string, seq long, valid int, line string"), ["capture"], "seq", "line", 0.1).collect()}
+    assert got["a"]["examples"] == ["1: l1", "3: l3", "5: l5", "7: l7", "9: l9"]
+    assert (got["a"]["rows"], got["a"]["malformed_rows"], got["a"]["passed"]) == (20, 10, 0)
+    assert (got["b"]["examples"], got["b"]["passed"]) == ([], 1)
