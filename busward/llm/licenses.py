@@ -1,4 +1,4 @@
-"""Licence scan: lines, paragraphs and whole texts against templates by the Dice coefficient of word bigrams."""
+"""Licence scan: parts of a text against templates by the Dice coefficient of word bigrams."""
 
 from __future__ import annotations
 
@@ -39,12 +39,51 @@ MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+_GPL_2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received
+a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin
+Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This
+library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large
+and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
 #: Fixed values: (identifier, public wording). Further templates can be given to `licensed`.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", _APACHE),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", f"{_BSD_2} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD_2} {_BSD_3} {_BSD_END}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -54,25 +93,33 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GPL_2),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", _GPL),
     ("ISC", "Released under the ISC License."),
     ("ISC", _ISC),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _LGPL),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", _MIT),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("MPL-2.0", _MPL),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", _UNLICENSE),
 )
 
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+def words(text: str) -> list[str]:
+    """Words of a normalised text: lower-cased, runs of a-z and 0-9."""
+    return _WORD.findall(text.lower())
+
+
 def bigrams(text: str) -> frozenset[str]:
-    """Word bigrams of a normalised text: lower-cased, runs of a-z and 0-9."""
-    tokens = _WORD.findall(text.lower())
+    """Word bigrams of a normalised text."""
+    tokens = words(text)
     return frozenset(map(" ".join, zip(tokens, tokens[1:], strict=False)))
 
 
@@ -83,7 +130,51 @@ class Matcher:
         self.percent = percent
         self.templates = sorted(((len(grams), name, grams) for name, text in templates if (grams := bigrams(text))), key=lambda t: t[:2])
         self.any = frozenset().union(*(t[2] for t in self.templates))
-        self.largest = max((t[0] for t in self.templates), default=0)
+        #: (bigrams of a window, least number of them in common, name, own bigrams)
+        self.windows = [(len(words(text)) - 1, -(-percent * len(grams) // (200 - percent)), name, grams)
+                        for name, text in templates if (grams := bigrams(text))]
+        self.holders: dict[str, list[int]] = {}
+        for i, (*_, grams) in enumerate(self.windows):
+            for gram in grams:
+                self.holders.setdefault(gram, []).append(i)
+
+    def inside(self, grams: list[str]) -> dict[str, tuple[int, int]]:
+        """Licence -> best match over the windows of a template's number of words that begin with a bigram of it.
+
+        A window needs percent / (200 - percent) of the template's bigrams to reach the coefficient, as its own
+        set is no smaller than what both share; windows with fewer hits are passed over. One set of counts
+        slides over the others, so a text takes time with its length for each template that it holds much of.
+        """
+        hits: dict[int, list[int]] = {}
+        for at, gram in enumerate(grams):
+            if gram in self.holders:
+                for i in self.holders[gram]:
+                    hits.setdefault(i, []).append(at)
+        found: dict[str, tuple[int, int]] = {}
+        for i, places in hits.items():
+            size, least, name, own = self.windows[i]
+            left = right = common = 0
+            counts: dict[str, int] = {}
+            for start, last in zip(places, places[least - 1:], strict=False):
+                if last >= start + size:
+                    continue
+                if start >= right:  # nothing of the earlier window is left
+                    counts, common, left, right = {}, 0, start, start
+                for gram in grams[left:start]:
+                    counts[gram] -= 1
+                    if not counts[gram]:
+                        del counts[gram]
+                        common -= gram in own
+                left = start
+                for gram in grams[right:start + size]:
+                    if gram not in counts:
+                        common += gram in own
+                    counts[gram] = counts.get(gram, 0) + 1
+                right = min(start + size, len(grams))
+                both, total = 2 * common, len(counts) + len(own)
+                if 100 * both >= self.percent * total and both * found.get(name, (0, 1))[1] > found.get(name, (0, 1))[0] * total:
+                    found[name] = (both, total)
+        return found
 
     def matches(self, grams: frozenset[str]) -> dict[str, tuple[int, int]]:
         """Licence -> best (2 * common, sum of sizes) of at least percent / 100."""
@@ -99,8 +190,12 @@ class Matcher:
         return found
 
     def scan(self, text: str) -> dict[str, tuple[int, int]]:
-        """Best match of each licence over the lines, paragraphs (between blank lines) and the whole of a text."""
-        best: dict[str, tuple[int, int]] = {}
+        """Best match of each licence over a text's lines, paragraphs (between blank lines), whole and windows."""
+        tokens = words(text)
+        grams = list(map(" ".join, zip(tokens, tokens[1:], strict=False)))
+        if self.any.isdisjoint(grams):
+            return {}
+        best = self.inside(grams)
         paragraphs: list[list[frozenset[str] | str]] = [[]]
         for line in text.split("\n"):
             if _WORD.search(line.lower()):
@@ -123,7 +218,9 @@ def licensed(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     """doc_id, license, dice, is_best for each licence that a document holds to at least percent / 100.
 
     Sections of docs (doc_id, text) are its lines, its paragraphs between blank lines and the whole text; each
-    is compared with all templates whose size allows the coefficient. is_best marks the highest coefficient
+    is compared with all templates whose size allows the coefficient. Every template is also compared with the
+    windows of as many words as it has that begin with one of its bigrams (shorter at the end of a text), so a
+    notice within a sentence and a licence of several paragraphs within a longer text are found. is_best marks the highest coefficient
     of a document, of equal ones the first name. Null and empty texts hold none; a repeated row repeats its
     results; a null doc_id is kept as null.
     """

@@ -237,7 +237,7 @@ def _license_sql() -> str:
     grams = "list_distinct([t[i] || ' ' || t[i + 1] for i in range(1, len(t))])"
     tokens = lambda text: f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
     return rf"""
-WITH templates AS (SELECT license, {grams} AS g FROM (SELECT license, {tokens("text")} AS t FROM (VALUES {rows}) AS v(license, text))),
+WITH templates AS (SELECT row_number() OVER () AS n, license, len(t) - 1 AS size, {grams} AS g FROM (SELECT license, {tokens("text")} AS t FROM (VALUES {rows}) AS v(license, text))),
 lines AS (SELECT r, doc_id, text, generate_subscripts(l, 1) AS pos, unnest(l) AS line
   FROM (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents)),
 parted AS (SELECT *, count(*) FILTER (trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) = '') OVER (PARTITION BY r ORDER BY pos) AS part FROM lines),
@@ -246,8 +246,16 @@ sections AS (
   UNION SELECT r, doc_id, string_agg(line, chr(10) ORDER BY pos) FROM parted WHERE regexp_matches(lower(line), '[a-z0-9]') GROUP BY r, doc_id, part
   UNION SELECT r, doc_id, text FROM lines
 ), grams AS (SELECT r, doc_id, {grams} AS g FROM (SELECT r, doc_id, {tokens("section")} AS t FROM sections)),
-found AS (SELECT r, doc_id, license, max(2 * len(list_intersect(grams.g, templates.g)) / (len(grams.g) + len(templates.g))) AS dice
-  FROM grams JOIN templates ON len(grams.g) * 80 <= 120 * len(templates.g) AND len(templates.g) * 80 <= 120 * len(grams.g) GROUP BY r, doc_id, license)
+parts AS (SELECT r, doc_id, license, max(2 * len(list_intersect(grams.g, templates.g)) / (len(grams.g) + len(templates.g))) AS dice
+  FROM grams JOIN templates ON len(grams.g) * 80 <= 120 * len(templates.g) AND len(templates.g) * 80 <= 120 * len(grams.g) GROUP BY r, doc_id, license),
+texts AS (SELECT r, doc_id, [t[i] || ' ' || t[i + 1] for i in range(1, len(t))] AS g FROM (SELECT DISTINCT r, doc_id, {tokens("text")} AS t FROM lines)),
+placed AS (SELECT r, generate_subscripts(g, 1) AS pos, unnest(g) AS gram FROM texts),
+hits AS (SELECT r, n, pos, size, least, count(*) OVER (PARTITION BY r, n ORDER BY pos RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS held
+  FROM placed JOIN (SELECT n, size, ceil(len(g) * 80 / 120.0) AS least, unnest(g) AS gram FROM templates) USING (gram)),
+windowed AS (SELECT texts.r, doc_id, license, templates.g AS own, list_distinct(texts.g[pos:pos + hits.size - 1]) AS g
+  FROM hits JOIN texts USING (r) JOIN templates USING (n) WHERE held >= least),
+found AS (SELECT r, doc_id, license, max(dice) AS dice FROM (SELECT r, doc_id, license, max(2 * len(list_intersect(g, own)) / (len(g) + len(own))) AS dice
+    FROM windowed GROUP BY r, doc_id, license UNION ALL SELECT * FROM parts) GROUP BY r, doc_id, license)
 SELECT doc_id, license, dice, license = first_value(license) OVER (PARTITION BY r ORDER BY dice DESC, license) AS is_best FROM found WHERE dice >= 0.8"""
 
 

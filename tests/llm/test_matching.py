@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from busward.llm.components import components
 from busward.llm.decontaminate import clean, leaks
-from busward.llm.licenses import TEMPLATES, bigrams, licensed
+from busward.llm.licenses import TEMPLATES, bigrams, licensed, words
 from busward.llm.near import near_duplicates
 from busward.llm.secrets import candidates, classified, described, dictionary, label, scan
 
@@ -137,9 +137,38 @@ def plain_licenses(text):
             other = bigrams(wording)
             if own and 200 * len(own & other) >= 80 * (len(own) + len(other)):
                 best[name] = max(best.get(name, 0), 2 * len(own & other) / (len(own) + len(other)))
+    tokens = words(text)
+    for name, wording in TEMPLATES:
+        other, size = bigrams(wording), len(words(wording))
+        for start in range(len(tokens) - 1):
+            if f"{tokens[start]} {tokens[start + 1]}" in other:
+                own = bigrams(" ".join(tokens[start : start + size]))
+                if 200 * len(own & other) >= 80 * (len(own) + len(other)):
+                    best[name] = max(best.get(name, 0), 2 * len(own & other) / (len(own) + len(other)))
     return best
 
 
+def test_licenses_inside_longer_texts(spark):
+    """Several paragraphs within a file, a notice within a sentence, repeated and damaged wordings."""
+    wording = {n: t for n, t in TEMPLATES if len(t) > 400}
+    mit = re.sub(r"(conditions:|Software\.) ", r"\1\n\n", wording["MIT"], count=2)
+    noise = "int main() { return 0; } // the software of the author or of the\n\n"
+    bsd = re.sub(r" (\d\.|THIS)", r"\n\n\1", wording["BSD-3-Clause"])
+    texts = [
+        f"{noise * 30}Copyright 2020 Someone\n\n{mit}\n\n{noise * 30}", "See below. This project is released under the MIT License.",
+        f"{noise}{bsd}\n\n{noise * 3}{wording['Unlicense']}", f"{noise}{wording['GPL-2.0']}", f"{mit} {mit}\n{mit}",
+        noise + " ".join(w for i, w in enumerate(wording["LGPL-3.0"].split()) if i % 15), noise * 20, wording["Apache-2.0"][:200],
+        noise + " ".join(reversed(wording["MIT"].split())), "released under the mit license " * 5,
+    ]
+    got = licensed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {i: {r["license"]: r["dice"] for r in got if r["doc_id"] == i} for i in range(len(texts))}
+    assert found == {i: plain_licenses(t) for i, t in enumerate(texts)}
+    assert found[0] == {"MIT": 1.0} and found[1] == {"MIT": 1.0} and "GPL-2.0" in found[3] and "LGPL-3.0" in found[5]
+    assert {"BSD-3-Clause", "Unlicense"} <= set(found[2]) and not found[6] and not found[8]
+    best = {r["doc_id"]: r["license"] for r in got if r["is_best"]}
+    assert best[2] == "BSD-3-Clause" and best[3] == "GPL-2.0"
+
+
 def test_licenses(spark):
     long_mit = next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 500)
     texts = [
