@@ -227,6 +227,29 @@ def t8(t):
     return latencies(t)
 
 
+def _unit_sql(method, alarm):
+    def late(c):
+        return f"arg_min({c}, window_index) FILTER ({alarm} = 1) - arg_min({c}, window_index)"
+
+    return f"""SELECT capture, '{method}' AS method, min(window_index) AS start, count(*) AS rows, {late('window_index')} AS latency_windows,
+  {late('end_row')} AS latency_rows, ({late('ts_us')}) / 1e6 AS latency_seconds FROM (SELECT g.*, f.seq AS end_row, f.ts_us FROM micro_gate g
+    JOIN frames f ON g.capture = f.capture AND g.start_row + 19 = f.seq WHERE g.role <> 'calibration' AND g.binary_target = 1) GROUP BY 1"""
+
+
+@query("t8_latency_units", "capture method start:i rows:i latency_windows:i latency_rows:i latency_seconds:d",
+       _unit_sql("instant", "alarm_instant") + " UNION ALL " + _unit_sql("persistent_2", "alarm_persistent_2"))
+def t8_units(t):
+    """Latency of the session gate in windows, in frames and in bus time at the end of the windows."""
+    gated = can_gate.micro_gate(t).where((F.col("role") != "calibration") & (F.col("binary_target") == 1))
+    gated = gated.withColumn("end_row", F.col("start_row") + can_gate.MICRO - 1)
+    stamps = t.frames().where(F.col("seq") % can_gate.MICRO == can_gate.MICRO - 1).select(
+        "capture", F.col("seq").alias("end_row"), (F.col("ts_us") / 1e6).alias("ts"))
+    return state.detection_latency(
+        gated.join(stamps, ["capture", "end_row"]), ["capture"], "window_index",
+        {"instant": "alarm_instant", "persistent_2": "alarm_persistent_2"},
+        {"latency_windows": "window_index", "latency_rows": "end_row", "latency_seconds": "ts"})
+
+
 @query("t9_row_delay", "run:i seq:i ground_truth_attack_delayed:i identity_failure_delayed:i",
        """SELECT run, seq, lag(ground_truth_attack, 5, 0) OVER w AS ground_truth_attack_delayed,
   lag(identity_failure, 5, 0) OVER w AS identity_failure_delayed FROM context WINDOW w AS (PARTITION BY run ORDER BY seq)""")

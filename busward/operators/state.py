@@ -109,13 +109,21 @@ def label_runs(df: DataFrame, keys: Sequence[str], order: str, label: str, into:
     return last_known(out, keys, order, {into: starts}, chunk_rows).drop("_before")
 
 
-def detection_latency(runs: DataFrame, keys: Sequence[str], order: str, alarms: Mapping[str, str]) -> DataFrame:
-    """First alarm minus the start, per group and method; null when never detected."""
+def detection_latency(runs: DataFrame, keys: Sequence[str], order: str, alarms: Mapping[str, str],
+                      units: Mapping[str, str] | None = None) -> DataFrame:
+    """First alarm minus the start, per group and method; null when never detected.
+
+    `units` maps latency columns to the columns they are measured in (windows, rows, seconds); by default one
+    column `latency` in units of `order`. All units and methods come from one aggregation.
+    """
+    units = {"latency": order} if units is None else units
     firsts = runs.groupBy(*keys).agg(
         F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("rows"),
-        *[F.min(F.when(F.col(c) == 1, F.col(order))).alias(f"_f_{n}") for n, c in alarms.items()])
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(n).alias("method"), (F.col(f"_f_{n}") - F.col("start")).alias("latency")) for n in alarms]))
+        *[F.min_by(c, order).alias(f"_s_{u}") for u, c in units.items()],
+        *[F.min_by(c, F.when(F.col(a) == 1, F.col(order))).alias(f"_f_{n}_{u}")
+          for n, a in alarms.items() for u, c in units.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), *[
+        (F.col(f"_f_{n}_{u}") - F.col(f"_s_{u}")).alias(u) for u in units]) for n in alarms]))
     return firsts.select(*keys, "start", "end", "rows", rows.alias("_m")).select(
         *keys, "start", "end", "rows", "_m.*")
 
