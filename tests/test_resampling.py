@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from busward.operators import inference, resampling
 
@@ -89,3 +90,26 @@ def test_forty_units_are_exact(spark):
     units = spark.createDataFrame([("g", i, 1.0 + (i % 5) / 10) for i in range(40)], "g string, unit int, v double")
     p = inference.sign_flip(units, ["g"], "unit", "v").first()
     assert p["p_two_sided"] == 2 / 2**40 and p["p_one_sided"] == 1 / 2**40
+
+
+def test_pieces_of_replicates_equal_whole_blocks(spark, monkeypatch):
+    """Keys of one block and of several, cut into pieces: the sums of every replicate, from several tasks."""
+    monkeypatch.setattr(resampling, "BLOCK", 32)
+    monkeypatch.setattr(resampling, "PIECE", 1000)
+    sizes = {"a": 20, "b": 20, "c": 75, "d": 70}
+    units = spark.createDataFrame([(k, i, float(i * i % 17)) for k, n in sizes.items() for i in range(n)], "g string, unit int, v double").coalesce(1)
+    cut = resampling.blocks(units, ["g"], "unit", "v", 3)
+    want = {k: np.zeros(300) for k in sizes}
+    for r in cut.collect():
+        counts = resampling.block_counts(r["_n"], r["_block"], 300, (3, r["_key"]))
+        draws = np.arange(counts.max())
+        for b, count in enumerate(counts):
+            x = [scrambled((scrambled((3 + b) % resampling.PRIME) + int(d) + r["_block"] * 32) % resampling.PRIME) for d in draws[:count]] \
+                if b % 60 == 0 else []
+            want[r["g"]][b] += sum(r["_values"][i % len(r["_values"])] for i in x)
+    got = {(r["g"], r["replicate"]): r["total"] for r in resampling.replicate_sums(cut, ["g"], 300, 3).collect()}
+    assert len(got) == 4 * 300
+    for k, sums in want.items():
+        assert [got[k, b] for b in range(0, 300, 60)] == pytest.approx(sums[::60].tolist())
+    tasks = resampling.spread(cut, ["_key", "_block"]).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
