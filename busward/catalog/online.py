@@ -12,12 +12,12 @@ from busward.plans import replay
 from busward.streaming import online
 
 
-def drained(t, df, order, keys, name, process, parts=3):
+def drained(t, df, order, keys, name, process, parts=3, empty_batches=True):
     """The table arrives in `parts` deliveries of many files each; the stream drains each before the next comes."""
     source, target = folder(t, name), folder(t, f"{name}_out")
     for i in range(parts):
         df.where(F.pmod(order, F.lit(parts)) == i).repartition(*keys).write.mode("append").parquet(source)
-        out = online.run_to_table(process(t.spark.readStream.schema(df.schema).parquet(source)), target)
+        out = online.run_to_table(process(t.spark.readStream.schema(df.schema).parquet(source)), target, empty_batches)
     return t.spark.read.parquet(out)
 
 
@@ -49,4 +49,5 @@ def t3_stream(t):
     cap = F.coalesce(policy.failure_cap(F.col("identity_failure"), F.col("device_failure")), F.lit(1.0))
     rows = context.select("run", "seq", F.col("gnss_score").alias("score"), policy.fuse(replay.evidence(context)).alias("fused"), cap.alias("cap"))
     delivery = F.least(F.floor(F.col("seq") / 25), F.lit(2))
-    return drained(t, rows, delivery, ["run"], "stream_context", lambda s: online.stream_monitor(s, 0.30))
+    return drained(t, rows, delivery, ["run"], "stream_context", lambda s: online.stream_monitor(s, 0.30),
+                   empty_batches=False)

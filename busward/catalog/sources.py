@@ -267,7 +267,7 @@ def s7(t):
 def s8(t):
     path = folder(t, "runs")
     named = t.context().select(F.concat(F.lit("context_attacks_seed_"), F.col("run")).alias("file"), "seq")
-    named.write.partitionBy("file").parquet(path)
+    captures.write_gathered(named, path, "file", F.floor(F.col("seq") / captures.FILE_ROWS))
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"file=([^/]+)/", 1)
     return t.spark.read.parquet(path).select(captures.run_key(stem).alias("run_key"), "seq").groupBy("run_key").agg(
         F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last_seq"))

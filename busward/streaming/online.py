@@ -21,6 +21,8 @@ FEATURES = (*STRUCTURAL, *PAYLOAD, *TIMING)
 # A window is `full`, or `ended` when event time has passed it with frames missing; features are null then.
 # They leave Python as one array, as a row of many columns costs more than the features.
 WINDOW_OUTPUT = "capture string, window_index bigint, status string, frames int, start_row bigint, end_row bigint, attack_frame_count bigint, features array<double>"
+# Neighbouring windows that share a key of the stream.
+TOGETHER = 64
 MONITOR_OUTPUT = "run bigint, seq bigint, active int, trust double, late int"
 
 
@@ -65,13 +67,14 @@ def timing_values(ts_us: np.ndarray) -> list[float]:
 
 
 class WindowCarry(StatefulProcessor):
-    """Keeps the frames of an unfinished window and emits all its features once it is full.
-
-    The key is (capture, window), so frames may arrive in any order and a long capture is spread. The timing
-    quantiles need every interval, so the frames themselves, fewer than `size`, are the smallest exact state.
-    A frame that comes again counts once. When the window is full its frames go and a mark stays, so what
-    comes later opens no new window. When the watermark has passed the window's last event time by `wait_ms`,
-    the mark goes too, or the unfinished window ends with a row that says how many frames it had.
+    """Keeps the frames of unfinished windows and emits all features of a window once it is full.
+
+    The key is (capture, group of neighbouring windows), so frames may arrive in any order, a long capture is
+    spread and a key's fixed cost is shared by its windows. The timing quantiles need every interval, so the
+    frames themselves, fewer than `size` a window, are the smallest exact state. A frame that comes again counts
+    once. When a window is full its frames go and a mark stays, so what comes later opens no new window. When the
+    watermark has passed the window's last event time by `wait_ms`, the mark goes too, or the unfinished window
+    ends with a row that says how many frames it had.
     """
 
     def __init__(self, size: int, wait_ms: int, origin_us: int = 0):
@@ -79,40 +82,75 @@ class WindowCarry(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # One value, so a key costs one read and one write: frames as packed longs (none when emitted), and when the window ends.
-        self.state = handle.getValueState("window", "frames binary, emitted boolean, until bigint")
+        # One value, so a key costs one read and one write: frames as packed longs, windows as packed (window, ends, emitted), next timer.
+        self.state = handle.getValueState("windows", "frames binary, windows binary, timer bigint")
+
+    def load(self):
+        packed, marks, timer = self.state.get() or (b"", b"", None)
+        frames = np.frombuffer(packed, np.int64).reshape(-1, len(FRAME) + 1)
+        return frames, {int(w): (int(until), bool(done)) for w, until, done in np.frombuffer(marks, np.int64).reshape(-1, 3)}, timer
+
+    def save(self, frames: np.ndarray, windows: dict[int, tuple[int, bool]], timer: int | None) -> None:
+        """Writes the state with a timer at the end of the window that ends first."""
+        if not windows:
+            self.state.clear()
+            return
+        first = min(until for until, _ in windows.values())
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        marks = np.array([(w, until, done) for w, (until, done) in windows.items()], np.int64)
+        self.state.update((frames.tobytes(), marks.tobytes(), timer))
+
+    @staticmethod
+    def parts(frames: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The frames of each window, from rows in the order of their windows."""
+        windows, starts = np.unique(frames[:, 0], return_index=True)
+        return zip(windows.tolist(), np.split(frames, starts[1:]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [pdf[list(FRAME)].to_numpy(np.int64) for pdf in rows]
-        packed, emitted, until = self.state.get() or (b"", False, None)
-        if emitted:
+        frames, windows, timer = self.load()
+        done = [w for w, (_, emitted) in windows.items() if emitted]
+        fresh = np.concatenate([pdf[["window_index", *FRAME]].to_numpy(np.int64) for pdf in rows])
+        fresh = fresh[~np.isin(fresh[:, 0], done)]
+        if not len(fresh):
             return
-        frames = np.concatenate([np.frombuffer(packed, np.int64).reshape(-1, len(FRAME)), *fresh])
-        frames = frames[np.unique(frames[:, 0], return_index=True)[1]]
-        last = int((frames[:, -1].max() + self.origin_us) // 1000 + self.wait_ms)
-        if until is None:
-            self.handle.registerTimer(last)
-        full = len(frames) >= self.size
-        self.state.update((b"" if full else frames.tobytes(), full, last))
-        if full:
-            values = [*structural_values(frames[:, 1], frames[:, 2:10]), *payload_values(frames[:, 2:10]), *timing_values(frames[:, -1])]
-            yield self.row(key, "full", frames, values)
+        frames = np.concatenate([frames, fresh])
+        # By window, then seq; of a frame that came twice the first one stays, as lexsort keeps the order of arrival.
+        frames = frames[np.lexsort((frames[:, 1], frames[:, 0]))]
+        frames = frames[np.r_[True, (frames[1:, :2] != frames[:-1, :2]).any(axis=1)]]
+        kept, out = [], []
+        for window, own in self.parts(frames):
+            full = len(own) >= self.size
+            windows[window] = (int((own[:, -1].max() + self.origin_us) // 1000 + self.wait_ms), full)
+            if full:
+                values = [*structural_values(own[:, 2], own[:, 3:11]), *payload_values(own[:, 3:11]), *timing_values(own[:, -1])]
+                out.append(self.row(key, window, "full", own, values))
+            else:
+                kept.append(own)
+        self.save(np.concatenate(kept) if kept else frames[:0], windows, timer)
+        if out:
+            yield self.table(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        packed, emitted, until = self.state.get()
-        if until > expiredTimerInfo.getExpiryTimeInMs():  # frames of a later time came after the timer was set
-            self.handle.registerTimer(until)
-            return
-        self.state.clear()
-        if not emitted:
-            frames = np.frombuffer(packed, np.int64).reshape(-1, len(FRAME))
-            yield self.row(key, "ended", frames, None)
+        frames, windows, _ = self.load()
+        passed = timerValues.getCurrentWatermarkInMs()
+        ended = [w for w, (until, _) in windows.items() if until <= passed]
+        gone = np.isin(frames[:, 0], ended)
+        out = [self.row(key, window, "ended", own, None) for window, own in self.parts(frames[gone])] if gone.any() else []
+        self.save(frames[~gone], {w: v for w, v in windows.items() if w not in set(ended)}, None)
+        if out:
+            yield self.table(out)
+
+    @staticmethod
+    def row(key, window: int, status: str, frames: np.ndarray, values: Sequence | None) -> tuple:
+        return (key[0], window, status, len(frames), int(frames[0, 1]), int(frames[-1, 1]), int(frames[:, 11].sum()), values)
 
     @staticmethod
-    def row(key, status: str, frames: np.ndarray, values: Sequence | None) -> pd.DataFrame:
-        return pd.DataFrame({"capture": [key[0]], "window_index": [int(key[1])], "status": [status], "frames": [len(frames)],
-                             "start_row": [int(frames[0, 0])], "end_row": [int(frames[-1, 0])],
-                             "attack_frame_count": [int(frames[:, 10].sum())], "features": [values]})
+    def table(rows: Sequence[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["capture", "window_index", "status", "frames", "start_row", "end_row", "attack_frame_count", "features"])
 
     def close(self) -> None:
         pass
@@ -133,7 +171,7 @@ class OnlineMonitor(StatefulProcessor):
         self.state = handle.getValueState("state", "last bigint, bad int, good int, active int, trust double", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, bad, good, active, trust = self.state.get() if self.state.exists() else (-1, 0, 0, 0, self.initial)
+        last, bad, good, active, trust = self.state.get() or (-1, 0, 0, 0, self.initial)
         batch = pd.concat(list(rows)).sort_values("seq")
         out = []
         for seq, score, fused, cap in zip(batch["seq"], batch["score"], batch["fused"], batch["cap"]):
@@ -163,8 +201,9 @@ def stream_windows(frames: DataFrame, size: int, delay: str = "10 minutes", wait
     Event time is origin_us + ts_us, in microseconds of the epoch, and must lie after its start. Frames later than `delay` behind the latest one may be dropped; a window ends
     `wait_ms` after that.
     """
-    timed = frames.select("capture", "window_index", *FRAME, F.timestamp_micros(F.col("ts_us") + origin_us).alias("event_time"))
-    out = timed.withWatermark("event_time", delay).groupBy("capture", "window_index").transformWithStateInPandas(
+    timed = frames.select("capture", F.floor(F.col("window_index") / TOGETHER).alias("window_group"), "window_index", *FRAME,
+                          F.timestamp_micros(F.col("ts_us") + origin_us).alias("event_time"))
+    out = timed.withWatermark("event_time", delay).groupBy("capture", "window_group").transformWithStateInPandas(
         statefulProcessor=WindowCarry(size, wait_ms, origin_us), outputStructType=WINDOW_OUTPUT, outputMode="Append", timeMode="EventTime")
     return out.select(*[c for c in out.columns if c != "features"], *[F.get("features", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
 
@@ -175,10 +214,20 @@ def stream_monitor(rows: DataFrame, threshold: float) -> DataFrame:
         statefulProcessor=OnlineMonitor(threshold), outputStructType=MONITOR_OUTPUT, outputMode="Append", timeMode="ProcessingTime")
 
 
-def run_to_table(stream: DataFrame, folder: str) -> str:
-    """Drain the available input into a Parquet folder with a checkpoint beside it; a later call goes on from there."""
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-             .trigger(availableNow=True).start())
+def run_to_table(stream: DataFrame, folder: str, empty_batches: bool = True) -> str:
+    """Drain the available input into a Parquet folder with a checkpoint beside it; a later call goes on from there.
+
+    Batches without data let event time end windows. State that ends by the clock asks for such batches without
+    end, so its streams are drained without them (`empty_batches` False); it ends with the next data.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, str(empty_batches and before == "true").lower())
+    try:  # the query takes its settings when it starts
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+                 .trigger(availableNow=True).start())
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
     return f"{folder}/out"

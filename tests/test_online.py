@@ -1,6 +1,7 @@
 """Windows of a stream: shuffled, split, repeated and late deliveries give the rows of the batch operators; the rest ends."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,38 @@ def test_unfinished_windows_end_and_late_frames_open_none(spark, tmp_path):
     got = deliver(spark, tmp_path, [frame(4, 4000), frame(30, 40_000), frame(202, 200 * second)], **settings)  # late: dropped
     got = deliver(spark, tmp_path, [frame(400, 400 * second)], **settings)
     assert sorted((r["window_index"], r["status"], r["frames"]) for r in got) == [(0, "full", 20), (1, "ended", 7), (10, "ended", 3)]
+
+
+def test_windows_of_one_group_end_apart(spark, tmp_path):
+    """A later delivery brings a window of the same group that ends before the one the timer was set for."""
+    second = 1_000_000
+    frame = lambda seq, ts: ("A", seq, 1, *[0] * 8, 0, ts)
+    settings = {"delay": "10 seconds", "wait_ms": 5000}
+    deliver(spark, tmp_path, [frame(25, 9 * second)], **settings)
+    deliver(spark, tmp_path, [frame(45, 1 * second), frame(5000, 17 * second)], **settings)
+    got = deliver(spark, tmp_path, [frame(5001, 18 * second)], **settings)
+    assert [(r["window_index"], r["status"]) for r in got] == [(2, "ended")]
+    deliver(spark, tmp_path, [frame(5002, 40 * second)], **settings)
+    got = deliver(spark, tmp_path, [frame(5003, 41 * second)], **settings)
+    assert sorted((r["window_index"], r["start_row"], r["frames"]) for r in got) == [(1, 25, 1), (2, 45, 1)]
+
+
+def test_monitor_drains(spark, tmp_path):
+    """State that ends by the clock must not keep a drained stream going."""
+    rows = [(run, seq, 0.1 if seq in (2, 3) else 0.9, 0.9, 1.0) for run in (1, 2) for seq in range(8)]
+    schema = "run bigint, seq bigint, score double, fused double, cap double"
+    own = spark.newSession()  # a stream that does not end is stopped with its session's streams
+    online.use_rocksdb(own)
+    for part in (rows[:6], rows[6:]):
+        own.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = online.stream_monitor(own.readStream.schema(schema).parquet(f"{tmp_path}/in"), 0.3)
+        worker = threading.Thread(target=online.run_to_table, args=(stream, str(tmp_path), False))
+        worker.start()
+        worker.join(90)
+        ended = not worker.is_alive()
+        for query in own.streams.active:
+            query.stop()
+        worker.join(60)
+        assert ended
+    got = {(r["run"], r["seq"]): (r["active"], r["late"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(run, seq): (int(3 <= seq <= 5), 0) for run in (1, 2) for seq in range(8)}

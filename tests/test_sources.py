@@ -159,3 +159,14 @@ def test_malformed_report_shows_the_first_lines(spark):
     assert got["a"]["examples"] == ["1: l1", "3: l3", "5: l5", "7: l7", "9: l9"]
     assert (got["a"]["rows"], got["a"]["malformed_rows"], got["a"]["passed"]) == (20, 10, 0)
     assert (got["b"]["examples"], got["b"]["passed"]) == ([], 1)
+
+
+def test_runs_have_one_file_each(spark, tmp_path):
+    """Rows of a run that lie in several tasks meet in one file, a long run's in one for each part."""
+    rows = spark.range(400).select((F.col("id") % 20).alias("run"), F.floor(F.col("id") / 20).alias("seq")).repartition(8)
+    captures.write_gathered(rows, f"{tmp_path}/one", "run", F.floor(F.col("seq") / 100))
+    assert len(list((tmp_path / "one").glob("run=*/*.parquet"))) == 20
+    captures.write_gathered(rows, f"{tmp_path}/two", "run", F.floor(F.col("seq") / 10))
+    assert 20 <= len(list((tmp_path / "two").glob("run=*/*.parquet"))) <= 40
+    read = spark.read.parquet(f"{tmp_path}/two")
+    assert read.count() == 400 and read.groupBy("run").count().where("count <> 20").count() == 0
