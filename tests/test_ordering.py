@@ -292,3 +292,30 @@ def test_trust_memory_of_any_length(spark, memory):
         cap = 1.0 if cap is None else cap
         trust = max(0.0, min(1.0, cap, memory * trust + (1 - memory) * min(x, cap)))
         assert out[i] == pytest.approx(trust, abs=1e-9), i
+
+
+def test_tasks_follow_the_counted_rows(spark):
+    """A task's share stays bounded whatever spark.sql.shuffle.partitions says, and the features are the same."""
+    from busward.operators import windows
+    bytes_ = [((F.col("id") * (i + 3)) % 7).cast("int").alias(b) for i, b in enumerate(windows.BYTES)]
+    frames = spark.range(4_000).select(
+        F.concat(F.lit("c"), F.col("id") % 2).alias("capture"), F.floor(F.col("id") / 2).alias("seq"), (F.col("id") % 5).cast("int").alias("can_id"),
+        *bytes_, (F.col("id") % 50 == 0).cast("int").alias("is_attack"), (F.col("id") * 10).alias("ts_us"))
+
+    def tasks(df):
+        """Tasks that hold rows after the last shuffle of the rows themselves."""
+        return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for build in (windows.window_features, windows.timing_features):
+            dealt = build(frames, 20, rows=5 * ordering.TASK_ROWS)
+            assert tasks(dealt) == 5
+            assert sorted(dealt.collect(), key=str) == sorted(build(frames, 20).collect(), key=str)
+        numbered = ordering.number_rows(frames.drop("seq"), ["capture"], ["ts_us"], F.floor(F.col("ts_us") / 999), rows=6 * ordering.TASK_ROWS)
+        assert tasks(numbered) == 6
+        assert sorted(r["seq"] for r in numbered.collect()) == sorted(2 * list(range(2_000)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ordering.dealt(frames, ["capture"], None) is frames
