@@ -91,7 +91,7 @@ def ordered_capture(t, rows, name):
 
 
 def ordered_lines(t, rows, name):
-    lines = captures.with_capture_order(captures.read_lines(t.spark, ordered_capture(t, rows, name)))
+    lines = captures.with_capture_order(captures.read_lines(t.spark, ordered_capture(t, rows, name)), whole_files=True)
     return lines.withColumn("line", F.col("value"))
 
 
@@ -99,13 +99,20 @@ def typed_in_order(t):
     """The damaged typed rows without a row number of their own, read back in the order of their files."""
     rows = typed_raw(t).withColumnRenamed("source_row_number", "seq").withColumn("part", F.lit(0))
     raw = captures.read_typed_csv(t.spark, ordered_capture(t, rows, "ordered"))
-    return captures.parse_typed(captures.with_capture_order(raw))
+    return captures.parse_typed(captures.with_capture_order(raw, whole_files=True))
 
 
-def file_windows(frames):
-    """Structural and timing features of 20-frame windows in one row."""
-    timing = windows.timing_features(frames).select("capture", "window_index", *windows.TIMING)
-    return windows.window_features(frames, 20).join(timing, ["capture", "window_index"])
+def file_windows(t, name, build):
+    """Structural and timing features of 20-frame windows in one row; the files are read and parsed once for both."""
+    frames = t.staged(f"{name}_frames", build)
+    rows = frames.count()
+    timing = windows.timing_features(frames, rows=rows).select("capture", "window_index", *windows.TIMING)
+    return windows.window_features(frames, 20, rows=rows).join(timing, ["capture", "window_index"])
+
+
+def parsed_lines(t, rows, name, parse):
+    """Parsed lines of the files of the captures, as a table: it is numbered anew in two passes."""
+    return t.staged(f"{name}_parsed", lambda: parse(ordered_lines(t, rows, name).drop("line")))
 
 
 _bytes_sql = ", ".join(f"CASE WHEN seq % 9 > {i} THEN {b} ELSE 0 END AS {b}" for i, b in enumerate(PAYLOAD))
@@ -125,18 +132,26 @@ def windowed_sql(kind):
 
 @query("s3_log_windows", WINDOWED, windowed_sql("log"))
 def s3_windows(t):
-    return file_windows(captures.valid_frames(captures.parse_text_log(ordered_lines(t, text_log(t), "textlog")), "ts"))
+    def build():
+        rows = parsed_lines(t, text_log(t), "textlog", captures.parse_text_log)
+        return captures.valid_frames(rows, "ts", rows=rows.count())
+    return file_windows(t, "textlog", build)
 
 
 @query("s4_dump_windows", WINDOWED, windowed_sql("dump"))
 def s4_windows(t):
-    return file_windows(captures.valid_frames(captures.parse_bus_dump(ordered_lines(t, bus_dump(t), "dump")), "elapsed"))
+    def build():
+        rows = parsed_lines(t, bus_dump(t), "dump", captures.parse_bus_dump)
+        return captures.valid_frames(rows, "elapsed", rows=rows.count())
+    return file_windows(t, "dump", build)
 
 
 @query("s5_typed_windows", WINDOWED, windowed_sql("raw"))
 def s5_windows(t):
-    rows = captures.typed_values(typed_in_order(t)).withColumn("ts", F.col("ts") / 1e6)
-    return file_windows(captures.valid_frames(rows, "ts", F.col("label") == "T"))
+    def build():
+        rows = captures.typed_values(t.staged("typed_parsed", lambda: typed_in_order(t))).withColumn("ts", F.col("ts") / 1e6)
+        return captures.valid_frames(rows, "ts", F.col("label") == "T", rows=rows.count())
+    return file_windows(t, "typed", build)
 
 
 def report_sql(source, bad, example, limit):

@@ -143,6 +143,27 @@ def test_capture_order_over_files_and_blocks(spark, tmp_path):
     assert len(rows) == 1802 and all(r["value"] == f"line {r['seq']}" for r in rows)
 
 
+def test_order_of_whole_files_moves_no_line(spark, tmp_path):
+    """Lines of whole files are numbered, and stamps counted from a capture's first, without a shuffle of the lines."""
+    for name, first in (("a", 0), ("b", 900)):
+        (tmp_path / "capture=x").mkdir(exist_ok=True)
+        (tmp_path / "capture=x" / f"{name}.log").write_text("".join(f"({i}.5) can0 {i:X}#00\n" for i in range(first, first + 900)))
+    (tmp_path / "capture=y").mkdir()
+    (tmp_path / "capture=y" / "a.log").write_text("(7.5) can0 0#00\n\n(8.5) can0 1#00\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        parsed = captures.parse_bus_dump(captures.with_capture_order(captures.read_lines(spark, f"file://{tmp_path}"), whole_files=True))
+        rows = parsed.collect()
+        text = parsed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 1802
+    assert all(r["can_id"] == r["elapsed"] == r["seq"] for r in rows if r["capture"] == "x")
+    assert sorted((r["seq"], r["elapsed"]) for r in rows if r["capture"] == "y") == [(0, 0.0), (2, 1.0)]
+    assert "SortMergeJoin" not in text
+
+
 def test_valid_frames_are_numbered_without_gaps(spark):
     rows = [("c", i, i % 3 != 1, i / 10) for i in range(30)]
     parsed = spark.createDataFrame(rows, "capture string, seq long, valid boolean, ts double").selectExpr(
