@@ -55,7 +55,9 @@ def a2(t):
                     "quantile_cont({f}, 0.25::DOUBLE)) / 1.349e0, 0.05e0, 1e-4 * greatest(abs(m), 1e0)) AS scale FROM signals, "
                     "(SELECT median({f}) AS m FROM signals) GROUP BY m", ("s1", "s2", "s3", "s4")))
 def a3(t):
-    return stats.three_way_scale(t.signals(), ["s1", "s2", "s3", "s4"])
+    counted = t.staged("signal_value_counts", lambda: stats.value_counts(
+        stats.long_features(t.signals(), [], ["s1", "s2", "s3", "s4"]), ["feature"], "value"))
+    return stats.three_way_scale_of(counted, ["feature"], "value")
 
 
 @query("a4_scale_floors", "feature floor:d", " UNION ALL ".join(
