@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 #: The characters between words (Spark's trim and translate take them as a set).
 BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
+#: Bytes of texts that go to a Python worker at once; 10,000 whole texts, Spark's own bound, take over 100 MB on both sides.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,8 +34,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, unless the cluster's settings do."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
+    bounded_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
