@@ -115,3 +115,34 @@ def test_keys_of_any_name(spark, monkeypatch):
     cut = ordering.value_buckets(rows, ["_all"], "value", bucket_values=4)
     totals = ordering.running_totals(cut.withColumn("one", F.lit(1)), ["_all"], "value", "_bucket", {"upto": "one"})
     assert totals.groupBy("_all").agg(F.max("upto").alias("n")).collect()[0]["n"] == 40
+
+
+def test_previous_values_cross_chunks_and_one_shuffle_carries_the_rows(spark, monkeypatch):
+    dice = np.random.default_rng(3)
+    rows = [("c", i, int(dice.integers(0, 3)), float(i) if i % 4 else None) for i in range(0, 400, 2)]
+    df = spark.createDataFrame(rows, "capture string, seq long, can_id int, s double").repartition(3)
+    monkeypatch.setattr(signals, "CHUNK_ROWS", 16)
+    out = signals.with_previous(df, ["s"], "p_", count=len(rows))
+    last, want = {}, {}
+    for _, seq, can_id, s in rows:
+        want[seq], last[can_id] = last.get(can_id), s
+    assert {r["seq"]: r["p_s"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan
+
+
+def test_counted_values_are_staged_and_not_counted_again(profiled):
+    rows, profile = profiled
+    names = []
+    deltas = signals.with_deltas(rows, NAMES)
+    table = signals.profile_table(deltas, deltas, NAMES, 50, 20, lambda name, df: (names.append(name), df.localCheckpoint())[1])
+    assert names == ["values", "deltas"]
+    assert sorted(map(repr, table.collect())) == sorted(map(repr, profile.collect()))
+
+
+def test_counted_rows_are_ranked_without_another_count(spark):
+    counted = spark.createDataFrame([("a", 1.0, 2), ("a", 1.0, 1), ("a", 5.0, 3), ("b", None, 4), ("b", 2.0, 1)], "k string, v double, n long")
+    found = ordering.exact_quantiles(counted, ["k"], "v", {"m": 0.5}, "n", "rows")
+    assert {r["k"]: (r["rows"], r["m"]) for r in found.collect()} == {"a": (6, 3.0), "b": (1, 2.0)}
+    ranked = ordering.values_at_ranks(counted, ["k"], "v", lambda n: F.array(n - 1), "n")
+    assert "sum(n" not in ranked._jdf.queryExecution().optimizedPlan().toString()
