@@ -319,3 +319,9 @@ def test_tasks_follow_the_counted_rows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert ordering.dealt(frames, ["capture"], None) is frames
+
+
+def test_hysteresis_carries_once_for_all_monitors(spark):
+    _, df = bits(spark)
+    out = state.hysteresis(df, ["run"], "seq", {"on": (F.col("alarm") == 1, 2, 3), "low": (F.col("score") < 0.3, 1, 2)})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
