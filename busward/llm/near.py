@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from busward.llm.bits import as_flags, bit_set
 from busward.llm.common import running, staged
 from busward.llm.components import components
-from busward.llm.text import Vocabulary, shingle_set, words_of
+from busward.llm.text import shingle_sets
 
 _SEEDS = np.random.default_rng(20240229)
 _XOR = _SEEDS.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -29,11 +29,21 @@ _ODD = _SEEDS.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """The minimum of each of `coordinates` permutations of 32-bit values over a set."""
-    low = shingles.astype(np.uint32)
-    xor, odd = _XOR[:coordinates, None], _ODD[:coordinates, None]
-    parts = [((low[at : at + 2048] ^ xor) * odd).min(axis=1) for at in range(0, len(low), 2048)]
-    return np.minimum.reduce(parts).view(np.int32)
+    """For each of `coordinates` permutations of the lower halves of a set of hashes, the upper half of the one that comes first.
+
+    The minima themselves crowd into a range that shrinks with the set, and would soon agree by chance; upper
+    halves are spread over all 32 bits.
+    """
+    low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    xor, odd, rows = _XOR[:coordinates, None], _ODD[:coordinates, None], np.arange(coordinates)
+    least = value = None
+    for at in range(0, len(low), 2048):
+        order = low[at : at + 2048] ^ xor
+        order *= odd
+        first = order.argmin(axis=1)
+        best, own = order[rows, first], high[at + first]
+        least, value = (best, own) if least is None else (np.minimum(best, least), np.where(best < least, own, value))
+    return value.view(np.int32)
 
 
 def _set_hash(shingles: bytes) -> np.ndarray:
@@ -50,11 +60,9 @@ def sketches(docs: DataFrame, shingle_width: int, coordinates: int) -> DataFrame
     """doc_id, h1, h2, n_shingles, c1, c2 (128-bit hash of the set), sig; sig is null for an empty set."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Vocabulary()
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                own = shingle_set(words.hashes(words_of(text)), shingle_width) if text else np.zeros(0, np.uint64)
+            for own in shingle_sets(pdf["text"], shingle_width):
                 rows.append((len(own), *_set_hash(own.tobytes()), signature(own, coordinates) if len(own) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "sig"])
             yield out.assign(doc_id=pdf["doc_id"].to_numpy(), h1=pdf["h1"].to_numpy(), h2=pdf["h2"].to_numpy())
@@ -64,7 +72,7 @@ def sketches(docs: DataFrame, shingle_width: int, coordinates: int) -> DataFrame
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def shingle_sets(docs: DataFrame, shingle_width: int, wanted: bytes, bits: int) -> DataFrame:
+def wanted_sets(docs: DataFrame, shingle_width: int, wanted: bytes, bits: int) -> DataFrame:
     """own, c1, c2: the sorted distinct shingle hashes of a document as bytes, and their hash.
 
     Documents are left out where the bit of their h1 is not set in `wanted`; so few texts are read twice in
@@ -72,10 +80,10 @@ def shingle_sets(docs: DataFrame, shingle_width: int, wanted: bytes, bits: int)
     """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, flags = Vocabulary(), as_flags(wanted)
+        flags = as_flags(wanted)
         for pdf in batches:
             pdf = pdf[flags[pdf["h1"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)]]
-            own = [shingle_set(words.hashes(words_of(t or "")), shingle_width).tobytes() for t in pdf["text"]]
+            own = [x.tobytes() for x in shingle_sets(pdf["text"], shingle_width)]
             hashes = np.array([_set_hash(x) for x in own], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"own": own, "c1": hashes[:, 0], "c2": hashes[:, 1]})
 
@@ -107,77 +115,110 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, matches: int) ->
             keep = []
             for x, y in zip(pdf["own_a"], pdf["own_b"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = np.sort(np.concatenate([x, y]))
+                both = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
     return joined.mapInPandas(linked, "a long, b long")
 
 
+#: Blocks of a large family that a task compares with as many others at a time, and the most documents of a block.
+SIDE, MOST_DOCS = 4, 2048
+_BLOCK = ("id", "root", "sig", "own")
+
+
 def block_links(apart: DataFrame, sets: DataFrame, percent: int, matches: int, block_bytes: int) -> DataFrame:
     """The links (a, b) between documents of different roots that share a list. apart: key, id, root.
 
     Lists with a common document are a family; links exist inside families only. A block holds whole small
     families, or a part of a family above block_bytes, in the order of roots. A document counts its set, a
-    512th of block_bytes at least. Blocks are compared with themselves, and with the blocks of their own
-    large family unless both hold one and the same root.
+    share of block_bytes at least that allows MOST_DOCS. Blocks are compared with themselves, and with the
+    blocks of their own large family.
     """
     first = apart.groupBy("key").agg(F.min("id").alias("b"))
     near = components(apart.join(first, "key").select(F.col("id").alias("a"), "b")).withColumnRenamed("root", "family")
     docs = apart.select("id", "root").distinct().join(sets.select("id", "sig", "own"), "id").join(near, F.col("id") == F.col("node")).drop("node")
-    weighed = docs.withColumns({"_all": F.lit(0), "_weight": F.greatest(F.octet_length("own"), F.lit(block_bytes // 512)).cast("long")})
+    weighed = docs.withColumns({"_all": F.lit(0), "_weight": F.greatest(F.octet_length("own"), F.lit(max(1, block_bytes // MOST_DOCS))).cast("long")})
     placed = running(weighed, "_all", [F.col("family"), F.col("root"), F.col("id")], "_weight", "_at", "block-order")
     extent = placed.groupBy("family").agg(F.min("_at").alias("_from"), F.sum("_weight").alias("_total"))
     large, cut = F.col("_total") > block_bytes, lambda x: F.floor(x / block_bytes)
     placed = placed.join(extent, "family").select(
         "id", "root", "sig", "own", large.alias("large"), F.when(large, F.col("family")).otherwise(cut(F.col("_from"))).alias("part"),
         F.when(large, cut(F.col("_at") - F.col("_from"))).otherwise(0).alias("chunk"),
+        F.when(large, cut(F.col("_total") - 1)).otherwise(0).alias("last"),
     )
-    blocks = placed.groupBy("large", "part", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sort_array(F.collect_list(F.struct("id", "root", "sig", "own"))).alias("m"))
-    blocks = staged(blocks.select("large", "part", "chunk", "low", "high", *[F.col(f"m.{c}").alias(c) for c in _BLOCK]), "blocks")
-    nothing = [F.lit(None).cast(dict(blocks.dtypes)[c]).alias(f"{c}_b") for c in _BLOCK]
-    alone = blocks.filter("low <> high").select(*[F.col(c).alias(f"{c}_a") for c in _BLOCK], *nothing)
-    one = blocks.filter("large").select("part", F.col("chunk").alias("x"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), *[F.col(c).alias(f"{c}_a") for c in _BLOCK])
-    two = blocks.filter("large").select("part", F.col("chunk").alias("y"), "low", "high", *[F.col(c).alias(f"{c}_b") for c in _BLOCK])
-    apart_blocks = one.join(two, "part").filter("x < y AND (low_a <> high_a OR low <> high OR low_a <> low)").select(*alone.columns)
+    blocks = placed.groupBy("large", "part", "chunk", "last").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sort_array(F.collect_list(F.struct("id", "root", "sig", "own"))).alias("m"))
+    blocks = staged(blocks.filter("large OR low <> high").select("large", "part", "chunk", "last", *[F.col(f"m.{c}").alias(c) for c in _BLOCK]), "blocks")
 
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                found = _compared([row.id_a, row.root_a, row.sig_a, row.own_a], None if row.id_b is None else [row.id_b, row.root_b, row.sig_b, row.own_b], percent, matches)
-                yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+    def linked(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["chunk"].to_numpy() // SIDE
+        one, two = pdf[side == key[2]], pdf[side == key[3]]
+        found = _compared(one, None if key[2] == key[3] else two, percent, matches)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return alone.union(apart_blocks).mapInPandas(linked, "a long, b long")
+    return cells(blocks).groupBy("large", "part", "x", "y").applyInPandas(linked, "a long, b long")
 
 
-_BLOCK = ("id", "root", "sig", "own")
+def cells(blocks: DataFrame) -> DataFrame:
+    """Each block in every cell (x, y), x <= y, of its own side; a cell holds two sides of SIDE blocks, or one and the same.
+
+    So blocks meet without a join, and the cells of one family lie in all tasks.
+    """
+    own, other = F.floor(F.col("chunk") / SIDE), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / SIDE)))
+    pairs = blocks.select("*", own.alias("_own"), other.alias("_other")).drop("last")
+    named = pairs.withColumns({"x": F.least("_own", "_other"), "y": F.greatest("_own", "_other")}).drop("_own", "_other")
+    return named.repartition(4 * blocks.sparkSession.sparkContext.defaultParallelism, "large", "part", "x", "y")
+
 
+def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many coordinates signatures agree, for all pairs; both have a row for each coordinate."""
+    out, same = np.zeros((one.shape[1], two.shape[1]), np.uint8), np.empty((one.shape[1], two.shape[1]), bool)
+    for x, y in zip(one, two, strict=True):
+        np.equal(x[:, None], y, out=same)
+        out += same.view(np.uint8)
+    return out
 
-def _compared(one: list, two: list | None, percent: int, matches: int) -> list[tuple[int, int]]:
-    """Links that join different roots, inside a block or between two; a pair already joined is skipped."""
-    skip = len(one[0]) if two else 0
-    ids, roots, sigs, owns = ([*x, *y] for x, y in zip(one, two, strict=True)) if two else map(list, one)
-    owns = [np.frombuffer(x, np.uint64) for x in owns]
-    up = {r: r for r in roots}
-
-    def top(r: int) -> int:
-        while up[r] != r:
-            up[r] = r = up[up[r]]
-        return r
-
-    sigs, names, sizes, found = np.stack([np.asarray(x) for x in sigs]), np.asarray(roots), np.array([len(x) for x in owns]), []
-    for i in range(len(one[0])):
-        at = max(skip, i + 1)
-        same = (sigs[at:] == sigs[i]).sum(axis=1) >= matches
-        alike = 100 * np.minimum(sizes[at:], sizes[i]) >= percent * np.maximum(sizes[at:], sizes[i])
-        for j in np.flatnonzero(same & alike & (names[at:] != names[i])) + at:
-            x, y = top(roots[i]), top(roots[j])
-            if x == y:
+
+def _compared(one: pd.DataFrame, two: pd.DataFrame | None, percent: int, matches: int) -> list[tuple[int, int]]:
+    """Links that join different roots, among the documents of one or between those of one and two; a pair already joined is skipped.
+
+    Signatures meet in tiles. What a document shares with all that may be linked to it is looked up in one pass over their sets.
+    """
+    both = one if two is None else pd.concat([one, two])
+    if not (len(one) and len(both) > (two is not None) * len(one)):
+        return []
+    ids, names = (np.concatenate(both[c].tolist()) for c in ("id", "root"))
+    sigs = np.ascontiguousarray(np.stack([x for block in both["sig"] for x in block]).T)
+    sets = [np.frombuffer(x, np.uint64) for block in both["own"] for x in block]
+    n, sizes, found = sum(map(len, one["id"])), np.array([len(x) for x in sets]), []
+    begin, skip = np.concatenate([[0], np.cumsum(sizes)]), 0 if two is None else n
+    terms = None
+    tile = max(1, (1 << 18) // (len(ids) - skip))
+    for low in range(0, n, tile):
+        rows, start = slice(low, min(low + tile, n)), max(skip, low)
+        near = _agreeing(sigs[:, rows], sigs[:, start:]) >= matches
+        least, most = np.minimum(sizes[rows, None], sizes[start:]), np.maximum(sizes[rows, None], sizes[start:])
+        near &= (100 * least >= percent * most) & (names[rows, None] != names[start:])
+        for i in np.flatnonzero(near.any(axis=1)) + low:
+            others = np.flatnonzero(near[i - low]) + start
+            others = others[(others > i) & (names[others] != names[i])]
+            if not len(others):
                 continue
-            both = len(np.intersect1d(owns[i], owns[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                up[max(x, y)] = min(x, y)
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if terms is None:
+                known, terms = np.unique(np.concatenate(sets), return_inverse=True)
+                held = np.zeros(len(known), np.int32)
+            held[terms[begin[i] : begin[i + 1]]] = 1
+            first, last = others[0], others[-1] + 1
+            if 2 * sizes[others].sum() > begin[last] - begin[first]:
+                shared = np.add.reduceat(held[terms[begin[first] : begin[last]]], begin[first:last] - begin[first])[others - first]
+            else:
+                shared = np.array([held[terms[begin[j] : begin[j + 1]]].sum() for j in others])
+            held[terms[begin[i] : begin[i + 1]]] = 0
+            for j in others[100 * shared >= percent * (sizes[i] + sizes[others] - shared)]:
+                if names[i] != names[j]:
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    names[names == max(names[i], names[j])] = min(names[i], names[j])
     return found
 
 
@@ -187,7 +228,7 @@ def linked_components(reps: DataFrame, docs: DataFrame, shingle_width: int, perc
     # Texts that no list holds drop out by the hash of their set.
     alive = staged(posts.select("id").distinct().join(reps.select("id", "c1", "c2", "sig", "h1"), "id"), "posted")
     bits = min(MOST_BITS, max(16, alive.count().bit_length() + 4))
-    read = shingle_sets(docs, shingle_width, bit_set(alive, F.col("h1"), bits), bits)
+    read = wanted_sets(docs, shingle_width, bit_set(alive, F.col("h1"), bits), bits)
     sets = staged(read.join(alive.drop("h1"), ["c1", "c2"]).dropDuplicates(["id"]), "sets")
     lead = posts.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1")
     similar = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
