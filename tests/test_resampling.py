@@ -113,3 +113,36 @@ def test_pieces_of_replicates_equal_whole_blocks(spark, monkeypatch):
         assert [got[k, b] for b in range(0, 300, 60)] == pytest.approx(sums[::60].tolist())
     tasks = resampling.spread(cut, ["_key", "_block"]).select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks > 1
+
+
+def test_keys_share_draws(monkeypatch):
+    """Keys that take different numbers of draws from a block share them; before, each made its own."""
+    dice = np.random.default_rng(6)
+    values = dice.normal(size=(12, 64))
+    values[3, 5], values[7, 9] = np.nan, np.inf
+    counts = dice.binomial(640, 0.1, (12, 50))
+    made = []
+    scramble = resampling._scrambled
+    monkeypatch.setattr(resampling, "_scrambled", lambda x: made.append(x.size) or scramble(x))
+    monkeypatch.setattr(resampling, "TILE", 1000)
+    got = resampling.drawn_sums(values, counts, 30, 128, 9)
+    assert sum(made) <= 50 * (counts.max() + 1)
+    for b in range(50):
+        drawn = resampling.draw_numbers(9, 0, np.array(30 + b), np.arange(128, 128 + counts.max())) % 64
+        for k in range(12):
+            assert got[k, b] == pytest.approx(values[k, drawn[: counts[k, b]]].sum(), nan_ok=True)
+
+
+def test_sums_of_a_task_leave_it_once(spark, monkeypatch):
+    """The blocks of a key that a task holds are added before the shuffle; before, every block was a row of it."""
+    monkeypatch.setattr(resampling, "BLOCK", 16)
+    units = spark.createDataFrame([(k, i, 1.0) for k in "ab" for i in range(160)], "g string, unit int, v double").coalesce(1)
+    cut = resampling.blocks(units, ["g"], "unit", "v", 3).coalesce(1).cache()
+    assert cut.count() == 20
+    summed = resampling.added_parts(cut, ["g"], lambda rows: ((r, 0, np.ones(3)) for r in rows))
+    assert {r["g"]: r["_sums"] for r in summed.collect()} == {"a": [10.0] * 3, "b": [10.0] * 3}
+    plan = summed._jdf.queryExecution().executedPlan()
+    while "MapInPandas" not in plan.nodeName():
+        plan = plan.children().head() if plan.children().nonEmpty() else plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan.plan()
+    assert plan.metrics().get("pythonNumRowsReceived").get().value() == 2
+    cut.unpersist()
